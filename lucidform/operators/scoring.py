@@ -114,40 +114,58 @@ def score_column(df: DataFrame, value: Column, label: str = "y", by: Sequence[st
     return scores_from_prefix(tie_prefix(count_values(long, by), by, small_keys=False), by)
 
 
-def _cut_sums(counts: DataFrame, cuts: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """Per key: positives and rows strictly above and strictly below each cut."""
-    j = counts.join(F.broadcast(cuts), list(keys)) if keys else counts.crossJoin(F.broadcast(cuts))
-    aggs = [F.sum("p").alias("pos"), F.sum("n").alias("tot"), F.max("qs").alias("qs")]
-    for i in range(k):
-        c = F.get("qs", F.lit(i))
-        for name, hit in (("gt", F.col("v") > c), ("lt", F.col("v") < c)):
-            aggs.append(F.sum(F.when(hit, F.col("p")).otherwise(0)).alias(f"_{name}p{i}"))
-            aggs.append(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias(f"_{name}n{i}"))
-    return j.groupBy(*keys).agg(*aggs)
+def covers_percentile(percentiles: Sequence[float]) -> Column:
+    """Whether a row of running totals holds an order statistic of any percentile."""
+    first = F.col("tot") - F.col("np")
+    hit = F.lit(False)
+    for q in percentiles:
+        pos = (F.col("tot") - 1) * F.lit(float(q)) / F.lit(100.0)
+        for rank in (F.floor(pos), F.ceil(pos)):
+            hit = hit | ((rank >= first) & (rank < first + F.col("n")))
+    return hit
 
 
 def cut_table(prefix: DataFrame, keys: Sequence[str], percentiles: Sequence[float], both: bool = True) -> DataFrame:
     """One row per (keys, percentile, direction): counts for that cut.
 
-    ``prefix`` are running totals; the cuts are their exact percentiles.
+    A percentile lies at one or between two neighbouring values, so the rows of
+    the running totals that cover those ranks say what is above and below it.
     """
-    qs = quantiles_of(prefix, keys, [q / 100.0 for q in percentiles])
-    wide = _cut_sums(prefix.select(*keys, "v", "p", "n"), qs, keys, len(percentiles))
-    rows = []
-    for i, q in enumerate(percentiles):
-        for name, sign in (("gt", ">"), ("lt", "<")) if both else (("gt", ">"),):
-            rows.append(
-                F.struct(
-                    F.lit(float(q)).alias("percentile"),
-                    F.lit(sign).alias("direction"),
-                    F.get("qs", F.lit(i)).alias("threshold"),
-                    F.col(f"_{name}p{i}").alias("tp"),
-                    F.col(f"_{name}n{i}").alias("predicted"),
-                )
-            )
-    return wide.select(*keys, "pos", "tot", F.explode(F.array(*rows)).alias("c")).select(*keys, "pos", "tot", "c.*").withColumn(
-        "f1",
-        F.when((F.col("tp") > 0), F.lit(2.0) * F.col("tp") / (F.col("predicted") + F.col("pos"))).otherwise(F.lit(0.0)),
+    first = F.col("tot") - F.col("np")
+    pos = (F.col("tot") - 1) * F.col("percentile") / F.lit(100.0)
+    on_lo = (F.floor(pos) >= first) & (F.floor(pos) < first + F.col("n"))
+    on_hi = (F.ceil(pos) >= first) & (F.ceil(pos) < first + F.col("n"))
+    # exploding keeps the compiled code small, which is faster than one long predicate
+    hits = prefix.withColumn("percentile", F.explode(F.array(*[F.lit(float(q)) for q in percentiles]))).where(on_lo | on_hi)
+    at = F.struct("v", "tp", "np", "p", "n")
+    ends = hits.groupBy(*keys, "percentile").agg(
+        F.max(F.when(on_lo, at)).alias("lo"),
+        F.max(F.when(on_hi, at)).alias("hi"),
+        F.max(pos - F.floor(pos)).alias("frac"),
+        F.max("pos").alias("pos"),
+        F.max("tot").alias("tot"),
+    )
+    lo, hi = F.col("lo"), F.col("hi")
+    cut = F.when(lo["v"] == hi["v"], lo["v"]).otherwise(lo["v"] + (hi["v"] - lo["v"]) * F.col("frac"))
+    ends = ends.withColumn("threshold", cut)
+    t = F.col("threshold")
+    above = F.when(hi["v"] > t, F.struct(hi["tp"].alias("tp"), hi["np"].alias("np"))).otherwise(
+        F.struct((hi["tp"] - hi["p"]).alias("tp"), (hi["np"] - hi["n"]).alias("np"))
+    )
+    below = F.when(
+        lo["v"] < t,
+        F.struct((F.col("pos") - lo["tp"] + lo["p"]).alias("tp"), (F.col("tot") - lo["np"] + lo["n"]).alias("np")),
+    ).otherwise(F.struct((F.col("pos") - lo["tp"]).alias("tp"), (F.col("tot") - lo["np"]).alias("np")))
+    sides = [F.struct(F.lit(">").alias("direction"), above["tp"].alias("tp"), above["np"].alias("predicted"))]
+    if both:
+        sides.append(F.struct(F.lit("<").alias("direction"), below["tp"].alias("tp"), below["np"].alias("predicted")))
+    return (
+        ends.select(*keys, "percentile", "threshold", "pos", "tot", F.explode(F.array(*sides)).alias("c"))
+        .select(*keys, "percentile", "threshold", "pos", "tot", "c.*")
+        .withColumn(
+            "f1",
+            F.when(F.col("tp") > 0, F.lit(2.0) * F.col("tp") / (F.col("predicted") + F.col("pos"))).otherwise(F.lit(0.0)),
+        )
     )
 
 

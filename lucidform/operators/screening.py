@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lucidform.functions.formulas import OpSet
 from lucidform.functions.traces import Trace, apply_step, evaluate
 from lucidform.operators.ranking import hash_order
-from lucidform.operators.scoring import VAR_FLOOR
+from lucidform.operators.scoring import SWEEP, VAR_FLOOR, best_cut, covers_percentile, cut_table
 from lucidform.sources.labelled import Labelled
 
 BINS = 96
@@ -304,6 +304,7 @@ def histograms(
         F.max("hi").alias("hi"),
         # a bin with one distinct value has no threshold inside
         (F.max("m") + F.when(F.min("a") == F.max("a"), 0).otherwise(1)).alias("m"),
+        F.min("a").alias("a"),
     )
 
 
@@ -618,3 +619,98 @@ def _finish(lab, traces, edges, todo, waiting, best_so_far, ops, cols, k, folded
         b = r["b"]
         if b["f1"] > s.f1:
             s.f1, s.direction, s.threshold = b["f1"], b["d"], b["t"]
+
+
+def percentile_scores(
+    lab: Labelled,
+    traces: Sequence[Trace],
+    percentiles: Sequence[float] = SWEEP,
+    ops: OpSet | None = None,
+    sample: list[np.ndarray] | None = None,
+    max_tasks: int | None = None,
+) -> DataFrame:
+    """(cand, f1, threshold, direction) of the percentile sweep for many candidates.
+
+    Bins locate the order statistics the percentiles need; only rows of those
+    bins are counted per value.  Same numbers as ``scoring.percentile_f1``.
+    """
+    ops = ops or OpSet()
+    traces = list(traces)
+    sample = sample if sample is not None else sample_columns(lab)
+    with np.errstate(all="ignore"):
+        values = [evaluate(t, sample, ops) for t in traces]
+    edges = [quantile_edges(v) for v in values]
+    distinct = [len(np.unique(v)) for v in values]
+    spread = [u if u < len(v) / 2 else 1 << 62 for u, v in zip(distinct, values)]
+    del values
+    spark = lab.df.sparkSession
+    settled: list[np.ndarray | None] = [None] * len(traces)
+    known: list[tuple] = []
+    live = list(range(len(traces)))
+    pieces: DataFrame | None = None
+    above = Window.partitionBy("cand").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("cand")
+    for turn in range(MAX_REFINE):
+        h = histograms(lab, [traces[c] for c in live], [edges[c] for c in live], [0.0] * len(live), ops, (), 1, max_tasks)
+        h = h.select(
+            "cand", "bin", "n", "p", "m", "a", "lo", "hi",
+            F.sum("p").over(above).alias("tp"),
+            F.sum("n").over(above).alias("np"),
+            F.sum("p").over(whole).alias("pos"),
+            F.sum("n").over(whole).alias("tot"),
+        )
+        rows = h.where(covers_percentile(percentiles)).toArrow().to_pylist()  # at most two bins per candidate and percentile
+        open_bins: dict[int, set[int]] = {}
+        heads, span, load = [], {}, 0
+        for r in rows:
+            c, b = live[r["cand"]], r["bin"]
+            if settled[c] is not None and settled[c][b]:
+                continue
+            if r["m"] == 0:
+                known.append((c, r["a"], r["p"], r["n"], r["tp"], r["np"], r["pos"], r["tot"]))
+                continue
+            span[c] = (r["lo"], r["hi"])
+            open_bins.setdefault(c, set()).add(b)
+            heads.append((c, b, r["tp"] - r["p"], r["np"] - r["n"], r["pos"], r["tot"]))
+            load += min(r["n"], spread[c] * (1 + r["tot"] // BATCH))
+        if not open_bins:
+            break
+        table_rows = max(r["tot"] for r in rows)
+        if load <= max(OPEN_ROW_FACTOR * table_rows, OPEN_ROWS_SMALL) or turn == MAX_REFINE - 1:
+            pieces = _open_prefix(lab, traces, edges, open_bins, heads, ops)
+            break
+        live = sorted(open_bins)
+        for c in live:
+            edges[c], settled[c] = split_edges(edges[c], sorted(open_bins[c]), *span[c])
+    prefix = None
+    if known:
+        prefix = spark.createDataFrame(known, "cand int, v double, p long, n long, tp long, np long, pos long, tot long")
+    if pieces is not None:
+        prefix = pieces if prefix is None else prefix.unionByName(pieces)
+    return best_cut(cut_table(prefix, ["cand"], percentiles), ["cand"])
+
+
+def _open_prefix(lab, traces, edges, open_bins, heads, ops) -> DataFrame:
+    """Running totals for the distinct values of the open bins."""
+    spark = lab.df.sparkSession
+    cands = sorted(open_bins)
+    wanted = []
+    for c in cands:
+        w = np.zeros(len(edges[c]) + 1, dtype=bool)
+        w[list(open_bins[c])] = True
+        wanted.append(w)
+    task = _open_rows_task([traces[c] for c in cands], [edges[c] for c in cands], wanted, ops, len(lab.features), 0)
+    rows = (
+        _kernel_input(lab, ()).mapInArrow(task, _OPEN).groupBy("cand", "bin", "v").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    )
+    at = {c: i for i, c in enumerate(cands)}
+    head = spark.createDataFrame(
+        [(at[c], c, *rest) for c, *rest in heads], "cand int, id int, bin int, tp0 long, np0 long, pos long, tot long"
+    )
+    w = Window.partitionBy("cand", "bin").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(F.broadcast(head), ["cand", "bin"]).select(
+        F.col("id").alias("cand"), "v", "p", "n",
+        (F.col("tp0") + F.sum("p").over(w)).alias("tp"),
+        (F.col("np0") + F.sum("n").over(w)).alias("np"),
+        "pos", "tot",
+    )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -157,3 +158,21 @@ def embedded_items(spark: SparkSession, sf_dir: str, positive: int = 3, size: in
         F.col("vec_id").cast("string"),
         extra=[F.col("label")],
     )
+
+
+@contextmanager
+def working_copy(lab: Labelled) -> Iterator[Labelled]:
+    """The columns a search reads again and again, spread over the cluster and kept
+    (memory first, then disk); lost blocks are recomputed from the source."""
+    df = lab.df
+    if not df.isStreaming and df.storageLevel.useMemory:
+        yield lab
+        return
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        df = df.repartition(n)
+    df = df.persist()
+    try:
+        yield lab.with_df(df)
+    finally:
+        df.unpersist()

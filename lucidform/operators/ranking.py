@@ -159,6 +159,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Column, out: str = "r
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     heads = sizes.select(*keys, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*keys, "_b").orderBy("_h")
+    # at most 16**digits offsets per key; AQE broadcasts them where that is small
     joined = _join_keys(d, heads, [*keys, "_b"], False)
     return joined.withColumn(out, F.col("_off") + F.row_number().over(inside)).drop("_h", "_b", "_off")
 

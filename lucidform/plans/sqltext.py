@@ -100,9 +100,9 @@ def sql_cuts(values: str, ps: str, keys: str = "formula", both: bool = True) ->
 WITH vals AS MATERIALIZED ({values}),
  qs(q) AS (VALUES {ps}),
  arr AS (SELECT {keys}, list(v ORDER BY v) AS vs, count(*) AS tot, sum(y)::BIGINT AS pos FROM vals GROUP BY {keys}),
- at AS (SELECT {keys}, q, tot, pos, (tot - 1) * q / 100.0::DOUBLE AS r, vs FROM arr, qs),
+ ranked AS (SELECT {keys}, q, tot, pos, (tot - 1) * q / 100.0::DOUBLE AS r, vs FROM arr, qs),
  cuts AS (SELECT {keys}, q, tot, pos, CASE WHEN vs[floor(r)::BIGINT + 1] = vs[ceil(r)::BIGINT + 1] THEN vs[floor(r)::BIGINT + 1]
-   ELSE vs[floor(r)::BIGINT + 1] + (vs[ceil(r)::BIGINT + 1] - vs[floor(r)::BIGINT + 1]) * (r - floor(r)) END AS t FROM at),
+   ELSE vs[floor(r)::BIGINT + 1] + (vs[ceil(r)::BIGINT + 1] - vs[floor(r)::BIGINT + 1]) * (r - floor(r)) END AS t FROM ranked),
  d AS (SELECT {keys}, v, sum(y)::BIGINT AS p, count(*) AS n FROM vals GROUP BY {keys}, v),
  sums AS (SELECT {cols}, q, t, any_value(pos) AS pos, any_value(tot) AS tot,
    coalesce(sum(p) FILTER (v > t), 0)::BIGINT AS gtp, coalesce(sum(n) FILTER (v > t), 0)::BIGINT AS gtn,

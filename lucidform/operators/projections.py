@@ -10,6 +10,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,21 @@ def moments_of(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray,
     return n, mean, g[:-1, :-1] - np.outer(g[:-1, -1], g[-1, :-1]) / n
 
 
+INLINE_TERMS = 256  # larger maps run as matrix products on Arrow batches
+
+
+def batch_map(df: DataFrame, features: Sequence[str], names: Sequence[str], fn) -> DataFrame:
+    """Adds ``names`` = columns of ``fn(rows x features matrix)``, batch by batch."""
+
+    @F.pandas_udf("array<double>")
+    def call(x: pd.Series) -> pd.Series:
+        m = np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(features)))
+        return pd.Series(list(fn(m)))
+
+    wide = df.withColumn("_m", call(F.array(*[F.col(f).cast("double") for f in features])))
+    return wide.select(*df.columns, *[F.col("_m")[i].alias(n) for i, n in enumerate(names)])
+
+
 class LinearModel(Model):
     """Adds ``(x - mean) / scale @ weights`` as columns."""
 
@@ -68,7 +84,10 @@ class LinearModel(Model):
         return out
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.withColumns(self.columns())
+        if self.weights.size <= INLINE_TERMS:
+            return dataset.withColumns(self.columns())
+        mean, w = self.mean, self.weights / self.scale[:, None]
+        return batch_map(dataset, self.features, self.names, lambda x: (x - mean) @ w)
 
     def to_json(self) -> str:
         return json.dumps(
@@ -282,18 +301,19 @@ class KernelModel(Model):
         return self.inner.names
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        wide = dataset.select("*", *_kernel_columns(self.features, self.landmarks, self.gamma))
+        wide = _kernel_table(dataset, self.features, self.landmarks, self.gamma)
         return self.inner.transform(wide).drop(*[f"_k{i}" for i in range(len(self.landmarks))])
 
 
-def _kernel_columns(features, landmarks: np.ndarray, gamma: float) -> list[Column]:
-    out = []
-    for i, z in enumerate(landmarks):
-        d2 = F.lit(0.0)
-        for f, v in zip(features, z):
-            d2 = d2 + (F.col(f) - F.lit(float(v))) * (F.col(f) - F.lit(float(v)))
-        out.append(F.exp(F.lit(-gamma) * d2).alias(f"_k{i}"))
-    return out
+def _kernel_table(df: DataFrame, features, landmarks: np.ndarray, gamma: float) -> DataFrame:
+    """Gaussian similarity to each landmark as columns ``_k0..``."""
+    sq = (landmarks * landmarks).sum(axis=1)
+
+    def similar(x: np.ndarray) -> np.ndarray:
+        d2 = (x * x).sum(axis=1)[:, None] + sq - 2.0 * (x @ landmarks.T)
+        return np.exp(-gamma * np.maximum(d2, 0.0))
+
+    return batch_map(df, features, [f"_k{i}" for i in range(len(landmarks))], similar)
 
 
 class NystromKPCA(Projection):
@@ -308,7 +328,7 @@ class NystromKPCA(Projection):
     def _fit(self, dataset: DataFrame) -> KernelModel:
         rows = dataset.select(*self.features, hash_order(42, self.rid).alias("_h")).orderBy("_h", *self.features).limit(self.landmarks).drop("_h").collect()
         z = np.array([list(r) for r in rows], dtype=float)
-        wide = dataset.select(*_kernel_columns(self.features, z, self.gamma))
+        wide = _kernel_table(dataset.select(*self.features), self.features, z, self.gamma)
         inner = PCA([f"_k{i}" for i in range(len(z))], self.k).fit(wide)
         inner.prefix = self.prefix
         return KernelModel(self.features, z, self.gamma, inner)
@@ -324,8 +344,8 @@ class NeuralModel(Model):
         return [f"{self.prefix}{i}" for i in range(len(self.b))]
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        lin = LinearModel(self.features, self.mean, self.scale, self.w, self.prefix).columns()
-        return dataset.withColumns({n: F.greatest(c + F.lit(float(b)), F.lit(0.0)) for (n, c), b in zip(lin.items(), self.b)})
+        lin = LinearModel(self.features, self.mean, self.scale, self.w, self.prefix).transform(dataset)
+        return lin.withColumns({n: F.greatest(F.col(n) + F.lit(float(b)), F.lit(0.0)) for n, b in zip(self.names, self.b)})
 
 
 class NeuralProjection(Projection):

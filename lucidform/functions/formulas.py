@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -180,8 +181,6 @@ class OpSet:
 
 def python_op(name: str, arity: int, fn: Callable[..., np.ndarray], **flags) -> Op:
     """An opaque array function as an operator; plans reach it through a pandas UDF."""
-    import pandas as pd
-
     if arity == 2:
 
         @F.pandas_udf("double")

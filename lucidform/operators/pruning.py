@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,10 @@ from lucidform.functions.formulas import OpSet
 from lucidform.functions.traces import Trace, binary, leaf, project_formulas, text, unary
 from lucidform.operators import candidates as cd
 from lucidform.operators.scoring import score
+from lucidform.operators.screening import _batch_columns, _tree, _walk
 from lucidform.sources.labelled import Labelled
 
+INLINE = 64  # larger families of criteria are evaluated on Arrow batches
 META = ("f1", "auroc", "nf", "f1_gap", "auc_gap", "prev", "f1xa", "a_nf", "fg_ag", "depth")
 
 
@@ -116,6 +120,8 @@ def criterion_search(
     Two aggregates over (node, criterion) values; no value is collected.
     """
     src = nodes if below_depth is None else nodes.where(F.col("depth") < below_depth)
+    if len(traces) > INLINE and not by:
+        return _many_criteria(src, list(traces), names, ops or OpSet(), least)
     parts = []
     for i in range(0, len(traces), 64):
         chunk = list(traces[i : i + 64])
@@ -148,6 +154,77 @@ def criterion_search(
     ).where(F.col("prune_rate") > least)
 
 
+def _extremes_task(traces, ops, d):
+    """Per criterion: range over alive nodes, overall range and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = _tree(traces)
+        low, high = np.full(len(traces), np.inf), np.full(len(traces), -np.inf)
+        least, most = low.copy(), high.copy()
+        alive = dead = 0
+        for b in batches:
+            cols = _batch_columns(b, d)
+            live = b.column(d).to_numpy(zero_copy_only=False) == 1
+            alive, dead = alive + int(live.sum()), dead + int((~live).sum())
+            for c, v in _walk(tree, cols, ops):
+                if len(v):
+                    least[c], most[c] = min(least[c], v.min()), max(most[c], v.max())
+                if live.any():
+                    low[c], high[c] = min(low[c], v[live].min()), max(high[c], v[live].max())
+        n = len(traces)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(n, dtype=np.int32)), *(pa.array(x) for x in (low, high, least, most)), pa.array(np.full(n, alive)), pa.array(np.full(n, dead))],
+            names=["c", "low", "high", "least", "most", "alive", "dead"],
+        )
+
+    return run
+
+
+def _spared_task(traces, ops, d, low, high):
+    """Per criterion: dead nodes outside the range of the alive ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = _tree(traces)
+        dn, up = np.zeros(len(traces), dtype=np.int64), np.zeros(len(traces), dtype=np.int64)
+        for b in batches:
+            cols = _batch_columns(b, d)
+            gone = b.column(d).to_numpy(zero_copy_only=False) != 1
+            for c, v in _walk(tree, cols, ops):
+                dn[c] += int((v[gone] < low[c]).sum())
+                up[c] += int((v[gone] > high[c]).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(traces), dtype=np.int32)), pa.array(dn), pa.array(up)], names=["c", "dn", "up"])
+
+    return run
+
+
+def _many_criteria(src: DataFrame, traces: list[Trace], names: Sequence[str], ops: OpSet, least: float) -> DataFrame:
+    """Two passes over the nodes for a large family of criteria; tasks send one row per criterion."""
+    spark = src.sparkSession
+    rows = src.select(*[F.col(n).cast("double").alias(n) for n in names], F.col("alive").cast("int"))
+    first = rows.mapInArrow(_extremes_task(traces, ops, len(names)), "c int, low double, high double, least double, most double, alive long, dead long")
+    cut = first.groupBy("c").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.sum("alive").alias("alive"), F.sum("dead").alias("dead"),
+    ).toArrow().to_pylist()  # one row per criterion
+    low, high = np.full(len(traces), -np.inf), np.full(len(traces), np.inf)
+    for r in cut:
+        low[r["c"]], high[r["c"]] = r["low"], r["high"]
+    hit = rows.mapInArrow(_spared_task(traces, ops, len(names), low, high), "c int, dn long, up long").groupBy("c").agg(F.sum("dn").alias("dn"), F.sum("up").alias("up"))
+    found = {r["c"]: (r["dn"], r["up"]) for r in hit.collect()}  # one row per criterion
+    out = []
+    for r in cut:
+        dn, up = found[r["c"]]
+        if r["alive"] == 0 or r["dead"] == 0 or r["least"] == r["most"] or max(dn, up) / r["dead"] <= least:
+            continue
+        down = dn >= up
+        out.append(
+            (text(traces[r["c"]], names), ">" if down else "<", float(r["low"] if down else r["high"]), max(dn, up), r["dead"], r["alive"], max(dn, up) / r["dead"])
+        )
+    return spark.createDataFrame(
+        out, "criterion string, direction string, threshold double, pruned long, total_dead long, total_alive long, prune_rate double"
+    )
+
+
 def deep_criteria(nodes: DataFrame, keep: int = 50, below_depth: int | None = None, ops: OpSet | str = "full") -> DataFrame:
     """Criteria to depth 3: the best ``keep`` shorter ones are expanded once more."""
     ops = OpSet.preset(ops) if isinstance(ops, str) else ops
@@ -236,8 +313,6 @@ def pruned_beam(lab: Labelled, criterion: Trace, direction: str, threshold: floa
     from lucidform.functions.traces import evaluate, feats
     from lucidform.plans.search import beam_search
 
-    import numpy as np
-
     full = OpSet()
 
     def survive(scores, d):

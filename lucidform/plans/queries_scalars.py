@@ -12,7 +12,11 @@ from lucidform.plans.registry import query
 from lucidform.plans.sqltext import BINARY_SQL, ITEMS, NAMES, UNARY_SQL, sql_formula
 from lucidform.sources.labelled import returned_items, table
 
-_A, _B = F.col("l_quantity") - 25.0, F.col("l_discount") - 0.05
+
+def _args() -> tuple[Column, Column]:
+    return F.col("l_quantity") - 25.0, F.col("l_discount") - 0.05
+
+
 _SQL_A, _SQL_B = "(l_quantity - 25.0::DOUBLE)", "(l_discount - 0.05::DOUBLE)"
 _EXACT = """SELECT l_returnflag, count(*) AS n, count(DISTINCT v) AS n_distinct, min(v) AS low, max(v) AS high,
  (sum(CASE WHEN v > 0 THEN 1 ELSE 0 END))::BIGINT AS n_positive
@@ -47,12 +51,12 @@ def _rounded(spark: SparkSession, sf: str, value: Column) -> DataFrame:
 _NAMED = {"+": "add", "-": "sub", "*": "mul", "/": "div"}
 for _i, (_name, _op) in enumerate(BINARY.items(), 1):
     query(f"b{_i:02d}_{_NAMED.get(_name, _name)}", _EXACT.format(e=BINARY_SQL[_name].format(a=_SQL_A, b=_SQL_B)))(
-        lambda spark, sf, op=_op: _exact(spark, sf, op.column(_A, _B))
+        lambda spark, sf, op=_op: _exact(spark, sf, op.column(*_args()))
     )
 for _i, (_name, _op) in enumerate(UNARY.items(), 11):
     _soft = _name in ("log", "sigmoid", "tanh")
     query(f"b{_i:02d}_{_name}", (_ROUND if _soft else _EXACT).format(e=UNARY_SQL[_name].format(x=_SQL_A)))(
-        lambda spark, sf, op=_op, soft=_soft: (_rounded if soft else _exact)(spark, sf, op.column(_A))
+        lambda spark, sf, op=_op, soft=_soft: (_rounded if soft else _exact)(spark, sf, op.column(_args()[0]))
     )
 
 _CHECK_SQL = {

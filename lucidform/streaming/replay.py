@@ -17,7 +17,13 @@ from lucidform.operators.scoring import predict
 
 
 def score_stream(
-    stream: DataFrame, features: Sequence[str], trace: Trace, direction: int, threshold: float, ops: OpSet | None = None
+    stream: DataFrame,
+    features: Sequence[str],
+    trace: Trace,
+    direction: int,
+    threshold: float,
+    ops: OpSet | None = None,
+    name: str = "score",
 ) -> DataFrame:
-    """The stream plus ``value`` and ``predicted``."""
-    return replay(stream, features, trace, ops=ops).withColumn("predicted", predict(F.col("value"), direction, threshold))
+    """The stream plus the formula's value (``name``) and ``predicted``."""
+    return replay(stream, features, trace, name, ops).withColumn("predicted", predict(F.col(name), direction, threshold))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lucidform.functions.formulas import OpSet
 from lucidform.functions.traces import Trace, project_formulas, text
 from lucidform.operators.ranking import quantiles_of, tie_prefix
-from lucidform.sources.labelled import Labelled
+from lucidform.sources.labelled import Labelled, spread
 
 CHUNK = 48
 VAR_FLOOR = 1e-20  # below this variance a formula counts as constant
@@ -30,7 +30,8 @@ def long_values(
     lab: Labelled, traces: Sequence[Trace], by: Sequence[str] = (), ops: OpSet | None = None
 ) -> DataFrame:
     """(by.., y, cand, v): one row per input row and candidate."""
-    wide = project_formulas(lab.df, lab.features, traces, keep=[*by, F.col(lab.label).alias("y")], ops=ops)
+    src = spread(lab.df.select(*by, lab.label, *lab.features))
+    wide = project_formulas(src, lab.features, traces, keep=[*by, F.col(lab.label).alias("y")], ops=ops)
     vs = [F.col(f"v{k}") for k in range(len(traces))]
     return wide.select(*by, "y", F.posexplode(F.array(*vs)).alias("cand", "v"))
 

@@ -160,6 +160,18 @@ def embedded_items(spark: SparkSession, sf_dir: str, positive: int = 3, size: in
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions for a table in fewer files than there are cores.
+
+    Looks at the file list only, so nothing is executed; a table in many files
+    is left as it is.
+    """
+    if df.isStreaming:
+        return df
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 @contextmanager
 def working_copy(lab: Labelled) -> Iterator[Labelled]:
     """The columns a search reads again and again, spread over the cluster and kept
@@ -168,10 +180,7 @@ def working_copy(lab: Labelled) -> Iterator[Labelled]:
     if not df.isStreaming and df.storageLevel.useMemory:
         yield lab
         return
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        df = df.repartition(n)
-    df = df.persist()
+    df = spread(df).persist()
     try:
         yield lab.with_df(df)
     finally:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lucidform.session import checkpoint_dir
 
@@ -27,6 +28,15 @@ def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that may be broadcast: some 16 bytes each.
+FEW_IDS = 1_000_000
+
+
+def few_ids(ids: DataFrame) -> DataFrame:
+    """A written column of ids with a broadcast hint if they are few; beyond that Spark joins by shuffle."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -44,7 +54,7 @@ def make_folder(uri: str) -> None:
     fs.create_dir(path, recursive=True)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most about ``most`` bytes in a text column; one longer text is a slice of its own."""
     for batch in batches:
         lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)

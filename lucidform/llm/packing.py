@@ -166,3 +166,9 @@ def with_crc(pieces: DataFrame, width: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(crc, pa.int64())], names=[*kept, "ids_crc32"])
 
     return pieces.mapInArrow(run, ", ".join([*(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in kept), "ids_crc32 bigint"]))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of ``docs``."""
+    placed = place(with_crc(token_pieces(docs)))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

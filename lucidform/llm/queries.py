@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidform.llm import packing, token_index
+from lucidform.llm import archives, minhash, mixing, packing, token_index, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,5 +40,27 @@ def op1(spark, sf_dir):
 
 @query("op3_best_two_fit_packing")
 def op3(spark, sf_dir):
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"))
-    return packing.place(packing.with_crc(pieces)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@query("op8_mix_sources", mixing.SQL)
+def op8(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_minhash_near_dedup")
+def op10(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "sentences")
+
+
+@query("op5_warc_dictionary", archives.SQL)
+def op5(spark, sf_dir):
+    listed = archives.write_archives(table(spark, sf_dir, "pages"))
+    return archives.read_archives(listed).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
@@ -67,3 +68,43 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20)
         if len(lengths) > lo:
             yield batch.slice(lo)
 
+
+
+def by_group(df: DataFrame, keys: Sequence[str], fn: Callable[[tuple, pa.RecordBatch], list[tuple] | None], schema: str) -> DataFrame:
+    """Rows of ``fn(key, rows of the key)`` for every key of whole numbers.
+
+    For very many small groups: a task walks its sorted rows and holds one group at a time.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    types = [kinds[c.split()[1]] for c in schema.split(", ")]
+
+    def join(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, rows = None, [], []
+        for got in batches:
+            if not got.num_rows:
+                continue
+            cols = [got.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+            for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), got.num_rows]):
+                key = tuple(int(c[lo]) for c in cols)
+                if held and key != now:
+                    rows += fn(now, join(held)) or []
+                    held = []
+                now = key
+                held.append(got.slice(lo, hi - lo))
+            if len(rows) > 20_000:
+                yield batch(rows)
+                rows = []
+        if held:
+            rows += fn(now, join(held)) or []
+        if rows:
+            yield batch(rows)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

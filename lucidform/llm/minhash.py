@@ -20,14 +20,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidform.llm.common import chunks, cut, few_ids
+from lucidform.llm.common import by_group, chunks, cut, few_ids
 from lucidform.llm.components import components
 from lucidform.llm.words import split_words
 
@@ -137,23 +136,23 @@ def met(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return at.select("key", "id", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
 
-def _may_link(pdf: pd.DataFrame, key: int, x: int, y: int) -> np.ndarray:
+def _likely(key: tuple[int, int, int], rows: pa.RecordBatch) -> list[tuple]:
     """Members that have a likely partner whose first shared bucket is this one."""
-    sig = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint8).reshape(-1, BANDS * ROWS)
-    keys, own, band = band_keys(sig), pdf["own"].to_numpy(), key >> 48
-    hit = np.zeros(len(pdf), dtype=bool)
+    sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
+    own, ids, band = rows.column("own").to_numpy(), rows.column("id").to_numpy(), key[0] >> 48
+    keys = sig.reshape(len(sig), BANDS, ROWS)[:, :band]
+    hit = np.zeros(len(ids), dtype=bool)
     need = int(np.ceil(LIKELY * sig.shape[1]))
-    for i in range(len(pdf) - 1):
-        rest = slice(i + 1, None)
-        ok = (sig[rest] == sig[i]).sum(1) >= need
-        if x != y:
-            ok &= own[rest] != own[i]
+    for i in range(len(ids) - 1):
+        ok = (sig[i + 1 :] == sig[i]).sum(1) >= need
+        if key[1] != key[2]:
+            ok &= own[i + 1 :] != own[i]
         if ok.any():
-            ok[ok] = ~(keys[rest][ok][:, :band] == keys[i, :band]).any(1)
+            ok[ok] = ~(keys[i + 1 :][ok] == keys[i]).all(2).any(1)
         if ok.any():
             hit[i] = True
-            hit[rest] |= ok
-    return hit
+            hit[i + 1 :] |= ok
+    return [(*key, int(o), int(d)) for o, d in zip(own[hit], ids[hit])]
 
 
 def forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -210,21 +209,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     members = met(banded.join(several, "key"), block)
     grouped = members.join(classes.select("id", "signature"), "id")
 
-    def check(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        hit = _may_link(pdf, *key)
-        return pdf.loc[hit, ["key", "x", "y", "own", "id"]]
-
-    likely = cut(grouped.groupBy("key", "x", "y").applyInPandas(check, "key bigint, x int, y int, own int, id bigint"), "likely")
+    likely = cut(by_group(grouped, ["key", "x", "y"], _likely, "key bigint, x int, y int, own int, id bigint"), "likely")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
     wanted = few_ids(cut(likely.select("id").distinct(), "wanted"))
     sets = cut(full_sets(texts.join(wanted, "id", "left_semi")), "full-sets")
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        side = pdf["own"].to_numpy() if key[1] != key[2] else None
-        links = forest(pdf["id"].to_numpy(), [np.frombuffer(b, dtype=np.uint64) for b in pdf["shingles"]], side, percent)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    def compare(key: tuple[int, int, int], rows: pa.RecordBatch) -> list[tuple]:
+        side = rows.column("own").to_numpy() if key[1] != key[2] else None
+        return forest(rows.column("id").to_numpy(), [np.frombuffer(b, dtype=np.uint64) for b in rows.column("shingles").to_pylist()], side, percent)
 
-    links = likely.join(sets, "id").groupBy("key", "x", "y").applyInPandas(compare, "a bigint, b bigint")
+    links = by_group(likely.join(sets, "id"), ["key", "x", "y"], compare, "a bigint, b bigint")
     found = components(links)
     labels = cut(classes.join(found, "id", "left").select("words", F.coalesce("component", "id").alias("component")), "labels")
     own = F.when(F.col("words").isNull(), F.col("doc_id")).otherwise(F.col("component"))

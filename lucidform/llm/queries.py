@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidform.llm import archives, minhash, mixing, packing, token_index, toxicity
+from lucidform.llm import archives, caps, licenses, minhash, mixing, packing, probing, quotes, token_index, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,3 +64,23 @@ def op7(spark, sf_dir):
 def op5(spark, sf_dir):
     listed = archives.write_archives(table(spark, sf_dir, "pages"))
     return archives.read_archives(listed).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_quotation_linking")
+def op2(spark, sf_dir):
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op4_multiprobe_neighbours")
+def op4(spark, sf_dir):
+    return probing.nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_cap_filter_near_dedup")
+def op6(spark, sf_dir):
+    return caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_license_scan")
+def op9(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))

@@ -103,14 +103,15 @@ def build_index(templates: Sequence[tuple[str, str]] = TEMPLATES, gram: int = GR
     return Index(np.array([p[0] for p in posts], dtype=np.uint64), np.array([p[1] for p in posts], dtype=np.int64), np.array([p[2] for p in posts], dtype=np.int64), words, [n for n, _ in templates])
 
 
-def align(template: Sequence[str], text: Sequence[str], diagonal: int, band: int = BAND) -> Match | None:
-    """Best local alignment with text place - template place within ``band`` of ``diagonal``: equal words score 2,
-    others and gaps -1.  Of equal scores the one that ends first counts."""
+def align(template: Sequence[str], text: Sequence[str], diagonal: int, band: int = BAND, lo: int = 0, hi: int | None = None) -> Match | None:
+    """Best local alignment within text[lo:hi] with text place - template place within ``band`` of ``diagonal``: equal
+    words score 2, others and gaps -1.  Of equal scores the one that ends first counts."""
+    hi = len(text) if hi is None else hi
     best = (0, 0, 0, 0)
     before: dict[int, tuple[int, int, int]] = {}
     for i, word in enumerate(template):
         now: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i + diagonal - band), min(len(text), i + diagonal + band + 1)):
+        for j in range(max(lo, i + diagonal - band), min(hi, i + diagonal + band + 1)):
             score, matched, start = before.get(j - 1, (0, 0, j))
             if score == 0:
                 matched, start = 0, j
@@ -136,9 +137,13 @@ def matches(index: Index, words: Sequence[str], hits: list[tuple[int, int, int]]
         groups.setdefault(near, []).append(q - p)
     for (t, _), diagonals in groups.items():
         for d in sorted({diagonals[0], diagonals[len(diagonals) // 2], diagonals[-1]}):
-            m = align(index.words[t], words, d)
-            if m and m.matched >= covered * len(index.words[t]):
-                found.add(m._replace(template=t))
+            open_ = [(0, len(words))]
+            while open_:  # what lies on either side of a match may hold another
+                lo, hi = open_.pop()
+                m = align(index.words[t], words, d, lo=lo, hi=hi)
+                if m and m.matched >= covered * len(index.words[t]):
+                    found.add(m._replace(template=t))
+                    open_ += [(lo, m.start), (m.end, hi)]
     kept: list[Match] = []
     for m in sorted(found, key=lambda m: (-m.matched, -m.matched / len(index.words[m.template]), m.template, m.start)):
         if all(m.end <= k.start or m.start >= k.end for k in kept):

@@ -60,7 +60,7 @@ def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]
     n = np.diff(bounds)
     rolled = np.zeros(len(words), dtype=np.uint64)
     for j in range(SHINGLE):
-        rolled[: len(words) - j if j else None] += _mixed(words[j:] + _P[j]) * _P[j]
+        rolled[: max(0, len(words) - j)] += _mixed(words[j:] + _P[j]) * _P[j]
     own = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     keep = np.arange(len(words)) - np.repeat(bounds[:-1], n) < np.repeat(own, n)
     out = rolled[keep]
@@ -197,8 +197,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     """(doc_id, n_shingles, component_id, kept) for every document.
 
     Null, empty and blank texts have no shingles and link with nothing.  Rows with a null doc_id link with nothing
-    and have a null component; they are kept.  Rows that repeat a doc_id are one document
-    with each of their texts and share its component.  Columns other than
+    and have a null component; they are kept.  Rows that repeat a doc_id are taken row by row;
+    where they stand for their texts, these count as one.  Columns other than
     doc_id and text are ignored.  ``percent`` should not be below 80: bands and check are laid out for it.
     """
     sketched = cut(sketch(docs), "sketches")
@@ -227,11 +227,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that stand for their groups, with all their columns.  Rows that repeat a doc_id are one document."""
-    found = cut(near_duplicates(docs, percent).select("doc_id", "kept"), "kept")
-    dropped = cut(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    rest = docs.join(few_ids(dropped), "doc_id", "left_anti")
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
+    """The documents that stand for their groups, with all their columns.
+
+    Of rows that repeat a doc_id and its text one stays; a doc_id that has a text of its own keeps all its texts.
+    """
+    found = cut(near_duplicates(docs, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "kept")
+    dropped = cut(found.where(~F.col("kept")).select("doc_id"), "dropped")
+    rest = docs.join(few_ids(dropped), "doc_id", "left_anti").select(*docs.columns)
+    if found.where("n > 1 AND doc_id IS NOT NULL").isEmpty():
         return rest
-    return rest.where("doc_id IS NULL").unionByName(rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    return rest.where("doc_id IS NULL").unionByName(rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))

@@ -37,16 +37,16 @@ def passages(lines: str) -> Column:
     """array<struct<level, text>>: runs of lines of one level."""
     return F.expr(f"""
         transform(
-          filter(sequence(0, size({lines}) - 1), i -> i = 0 OR {lines}[i].level <> {lines}[i - 1].level),
+          filter(sequence(0, size({lines}) - 1), i -> i = 0 OR {lines}[i].level <> get({lines}, i - 1).level),
           s -> named_struct('level', {lines}[s].level, 'text', array_join(transform(
-            slice({lines}, s + 1, coalesce(filter(sequence(s, size({lines}) - 1), j -> {lines}[j].level <> {lines}[s].level)[0], size({lines})) - s),
+            slice({lines}, s + 1, coalesce(get(filter(sequence(s, size({lines}) - 1), j -> {lines}[j].level <> {lines}[s].level), 0), size({lines})) - s),
             x -> x.body), '\\n')))
     """)
 
 
 def own_lines(lines: str) -> Column:
     """The unquoted lines, without those that announce a quote."""
-    kept = f"filter({lines}, (x, i) -> x.level = 0 AND NOT (coalesce({lines}[i + 1].level, 0) > 0 AND x.body RLIKE '{ANNOUNCES.replace(chr(92), chr(92) * 2)}'))"
+    kept = f"filter({lines}, (x, i) -> x.level = 0 AND NOT (coalesce(get({lines}, i + 1).level, 0) > 0 AND x.body RLIKE '{ANNOUNCES.replace(chr(92), chr(92) * 2)}'))"
     return F.expr(f"array_join(transform({kept}, x -> x.body), '\\n')")
 
 

@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
-A sentence's chance to offend is a logistic function of its words; a document is toxic if any sentence offends
-(noisy-or), so its score is 1 - prod(1 - p).  The weights are fitted to document labels through that product; the
+A sentence's chance to offend is a logistic function of its known words, and 0 if it has none, so that length alone
+is no evidence; a document is toxic if any sentence offends (noisy-or), so its score is 1 - prod(1 - p).  The weights are fitted to document labels through that product; the
 sentence scores then say where the offence is.
 """
 
@@ -24,6 +24,8 @@ SAMPLE = 8000
 #: A word is a feature if it is in this many of them, its rates under the two labels differ by this many standard
 #: errors, and it is among those that tell the labels apart best.
 IN_DOCUMENTS, ERRORS, FEATURES = 4, 4.0, 2048
+#: Beside whole words, their openings of these lengths are features, which tell inflected and joined forms.
+OPENINGS = (4, 5, 6)
 #: Weight of the penalty on word weights, as a share of one document's likelihood.
 PENALTY = 0.02
 THRESHOLD = 0.3
@@ -64,6 +66,20 @@ def split_sentences(texts: pa.Array) -> Sentences:
     return Sentences(codes, plain, distinct, np.append(starts, len(codes)), np.searchsorted(starts, bounds))
 
 
+def features(plain: pa.Array) -> list[pa.Array]:
+    """Of each word itself and its openings (null where the word is no longer), marked by a final ``|``."""
+    out = [plain]
+    for n in OPENINGS:
+        longer = pc.greater(pc.utf8_length(plain), n)
+        out.append(pc.if_else(longer, pc.binary_join_element_wise(pc.utf8_slice_codeunits(plain, 0, n), "|", ""), pa.scalar(None, pa.string())))
+    return out
+
+
+def _numbers(plain: pa.Array, names: pa.Array) -> np.ndarray:
+    """(features of a word, words): numbers in ``names``, or -1."""
+    return np.array([pc.fill_null(pc.index_in(f, value_set=names), -1).to_numpy(zero_copy_only=False) for f in features(plain)], dtype=np.int64)
+
+
 def _soft(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
@@ -95,21 +111,22 @@ def _word_counts(rows: DataFrame) -> DataFrame:
         for batch in chunks(batches, "text"):
             s = split_sentences(batch.column("text"))
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            plain = pc.dictionary_encode(s.plain)
-            names, codes = plain.dictionary, plain.indices.to_numpy(zero_copy_only=False).astype(np.int64)[s.codes]
             owner = np.repeat(np.arange(len(toxic)), np.diff(s.starts[s.bounds]))
-            pairs = np.unique(owner * len(names) + codes) if len(codes) else codes
-            word = pairs % max(1, len(names))
-            bad = toxic[pairs // max(1, len(names))] > 0
-            yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(word, bad, len(names)).astype(np.int64)), pa.array(np.bincount(word, ~bad, len(names)).astype(np.int64))], names=["word", "toxic", "clean"])
+            for feature in features(s.plain):
+                encoded = pc.dictionary_encode(feature)
+                names, code = encoded.dictionary, pc.fill_null(encoded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)[s.codes]
+                if len(names):
+                    pairs = np.unique((owner * len(names) + code)[code >= 0])
+                    word, bad = pairs % len(names), toxic[pairs // len(names)] > 0
+                    yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(word, bad, len(names)).astype(np.int64)), pa.array(np.bincount(word, ~bad, len(names)).astype(np.int64))], names=["word", "toxic", "clean"])
 
     return rows.select("toxic", "text").mapInArrow(run, "word string, toxic bigint, clean bigint")
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, features: int = FEATURES, steps: int = 250) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, most: int = FEATURES, steps: int = 250) -> Model:
     """Learn word weights from document labels.
 
-    The driver gets at most ``features`` words and, for each sampled document, the numbers of its known words:
+    The driver gets at most ``most`` features and, for each sampled document, the numbers of its known features:
     bounded by ``limit``.  Without labels of both kinds the model scores everything 0.
     """
     rows = training_rows(docs, labels, limit)
@@ -120,16 +137,16 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, features: int =
     rate = (F.col("toxic") + F.col("clean")) / (n[0] + n[1])
     counts = _word_counts(rows).where("word <> ''").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= IN_DOCUMENTS)
     telling = F.abs(bad - good) / F.sqrt((rate * (1 - rate) + 1e-9) * (1 / n[0] + 1 / n[1]))
-    words = [r["word"] for r in counts.where(telling >= ERRORS).orderBy(telling.desc(), "word").limit(features).collect()]
+    words = [r["word"] for r in counts.where(telling >= ERRORS).orderBy(telling.desc(), "word").limit(most).collect()]
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(words, pa.string())
         for batch in chunks(batches, "text"):
             s = split_sentences(batch.column("text"))
-            code = pc.fill_null(pc.index_in(s.plain, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)[s.codes]
-            sentence = np.repeat(np.arange(len(s.starts) - 1), np.diff(s.starts))
+            code = _numbers(s.plain, names)[:, s.codes].T.ravel()
+            sentence = np.repeat(np.arange(len(s.starts) - 1), len(OPENINGS + (0,)) * np.diff(s.starts))
             ok = np.flatnonzero(code >= 0)
-            at = np.searchsorted(ok, s.starts[s.bounds])
+            at = np.searchsorted(ok, len(OPENINGS + (0,)) * s.starts[s.bounds])
             each = [(code[ok[a:b]].astype("<i4").tobytes(), (sentence[ok[a:b]] - lo).astype("<i4").tobytes()) for a, b, lo in zip(at[:-1], at[1:], s.bounds[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(np.diff(s.bounds), pa.int64()), pa.array([a for a, _ in each], pa.binary()), pa.array([b for _, b in each], pa.binary())], names=["toxic", "n", "words", "sentences"])
 
@@ -145,15 +162,16 @@ def _descend(words: list[str], rows: list, steps: int) -> Model:
     sentence = np.concatenate([np.frombuffer(r["sentences"], dtype="<i4") + lo for r, lo in zip(rows, bounds)]).astype(np.int64)
     toxic = np.array([r["toxic"] > 0 for r in rows])
     bad = np.repeat(toxic, number)
+    told = np.bincount(sentence, minlength=bounds[-1]) > 0
     theta = np.zeros(len(words) + 1)
     theta[-1] = -6.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
         z = theta[-1] + np.bincount(sentence, theta[code], bounds[-1])
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        total = np.clip(_sums(_soft(z), bounds), 1e-9, 500)  # -log of the chance that no sentence offends
+        total = np.clip(_sums(_soft(z) * told, bounds), 1e-6, 500)  # -log of the chance that no sentence offends
         pull = np.repeat(1 / np.expm1(total), number)
-        g = np.where(bad, -pull, 1.0) * p / len(rows)
+        g = np.where(bad, -pull, 1.0) * p * told / len(rows)
         grad = np.append(np.bincount(code, g[sentence], len(words)), g.sum())
         grad[:-1] += PENALTY / len(rows) * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
@@ -175,8 +193,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         weights = np.append(model.weights, 0.0)
         for batch in chunks(batches, "text"):
             s = split_sentences(batch.column("text"))
-            code = pc.fill_null(pc.index_in(s.plain, value_set=names), len(names)).to_numpy(zero_copy_only=False)
-            z = model.bias + _sums(weights[code][s.codes], s.starts)
+            code = _numbers(s.plain, names)
+            z = model.bias + _sums(weights[code].sum(0)[s.codes], s.starts)
+            z[_sums((code >= 0).any(0)[s.codes], s.starts) == 0] = -np.inf
             scores = np.clip(-np.expm1(-_sums(_soft(z), s.bounds)), 0.0, 1.0)
             predicted = scores >= threshold
             found = [None] * len(scores)

@@ -35,10 +35,14 @@ def fold_split(assigned: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     return assigned.where(F.col("fold") != fold), assigned.where(F.col("fold") == fold)
 
 
-def holdout(df: DataFrame, fraction: float, seed: int = 42, rid: str = "rid") -> DataFrame:
-    """``held``: a digest-based share of the rows."""
+def holdout(df: DataFrame, fraction: float, seed: int = 42, rid: str = "rid", least: int = 20) -> DataFrame:
+    """``held``: a digest-based share of the rows; if that would hold back fewer than
+    ``least``, the share that holds about so many."""
     from lucidform.sources.grids import uniform
 
+    rows = df.count()
+    if fraction * rows < least:
+        fraction = min(1.0, least / max(1, rows))
     return df.withColumn("held", uniform(seed, F.col(rid)) < fraction)
 
 

@@ -228,13 +228,13 @@ def cond_mutual_info(binned: DataFrame, base: str, features: Sequence[str], labe
 
 
 def paired_compare(scores: DataFrame, ours: str, base: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by.., n, mean, diff, sd, t, sigma, dir) of paired differences."""
+    """(by.., n, mean, diff, sd, t, sigma, dir, p) of paired differences; p is two-sided."""
     d = F.col(ours) - F.col(base)
     g = scores.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(base).alias("mean"), F.avg(d).alias("diff"), F.stddev_samp(d).alias("sd")
     )
     t = F.when(F.col("sd") > 0, F.col("diff") / (F.col("sd") / F.sqrt(F.col("n")))).otherwise(F.lit(0.0))
-    return g.withColumn("t", t).withColumn("sigma", F.abs("t")).withColumn("dir", F.when(F.col("diff") > 0, "A*>").otherwise("<"))
+    return g.withColumn("t", t).withColumn("sigma", F.abs("t")).withColumn("dir", F.when(F.col("diff") > 0, "ahead").otherwise("behind")).withColumn("p", F.when(F.col("n") > 1, student_p(F.col("t"), F.col("n") - 1)))
 
 
 def corrected_t(compared: DataFrame, folds: int) -> DataFrame:
@@ -251,33 +251,19 @@ def ci_outcome(compared: DataFrame, margin: float = 0.005, z: float = 1.96) -> D
     return c.withColumn("outcome", F.when(tie, "tie").when(F.col("diff") > 0, "win").otherwise("loss"))
 
 
-def t_p_value(t: float, dof: int) -> float:
-    """Two-sided p-value of Student's t by the continued fraction of the incomplete beta function."""
-    x = dof / (dof + t * t)
-    a, b = dof / 2.0, 0.5
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-
-    def safe(v: float) -> float:
-        return v if abs(v) > 1e-300 else 1e-300
-
-    def fraction(x: float, a: float, b: float) -> float:
-        c, d = 1.0, 1.0 / safe(1.0 - (a + b) * x / (a + 1.0))
-        h = d
-        for m in range(1, 300):
-            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            for num in (even, odd):
-                d = 1.0 / safe(1.0 + num * d)
-                c = safe(1.0 + num / c)
-                h *= d * c
-            if abs(d * c - 1.0) < 1e-15:
-                break
-        return h
-
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * fraction(x, a, b) / a
-    return 1.0 - front * fraction(1.0 - x, b, a) / b
+def student_p(t: Column, dof: Column) -> Column:
+    """Two-sided p of Student's t for whole degrees of freedom: the finite series in the angle atan(t / sqrt(dof))."""
+    angle = F.atan(F.abs(t) / F.sqrt(dof))
+    even = F.pmod(dof, F.lit(2)) == 0
+    start = F.when(even, F.lit(1.0)).otherwise(F.cos(angle))
+    last = F.floor((dof - F.when(even, 2).otherwise(3)) / 2).cast("int")
+    steps = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+
+    def add(acc: Column, k: Column) -> Column:
+        ratio = F.when(even, (2 * k - 1) / (2 * k)).otherwise(2 * k / (2 * k + 1))
+        term = acc["term"] * ratio * F.cos(angle) * F.cos(angle)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    series = F.aggregate(steps, F.struct(start.alias("term"), start.alias("sum")), add)["sum"]
+    odd = F.lit(2.0 / math.pi) * (angle + F.when(dof > 1, F.sin(angle) * series).otherwise(0.0))
+    return F.greatest(F.lit(1.0) - F.when(even, F.sin(angle) * series).otherwise(odd), F.lit(0.0))

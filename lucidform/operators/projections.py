@@ -240,17 +240,19 @@ class InteractionModel(Model):
 
 
 class InteractionSVD(Projection):
-    """Leading directions of all pair products (a sample of pairs when d > 50)."""
+    """Leading directions of all pair products; ``pairs`` limits them to so many drawn at random."""
 
     prefix = "tkr"
 
+    def __init__(self, features, k: int = 8, label: str = "y", pairs: int | None = None):
+        super().__init__(features, k, label)
+        self.pairs = pairs
+
     def _fit(self, dataset: DataFrame) -> InteractionModel:
         f = self.features
         pairs = [(a, b) for i, a in enumerate(f) for b in f[i:]]
-        if len(f) > 50:
-            rng = np.random.default_rng(42)
-            take = min(len(pairs), min(20 * self.k, 500))
-            pairs = [pairs[i] for i in sorted(rng.choice(len(pairs), take, replace=False))]
+        if self.pairs is not None and self.pairs < len(pairs):
+            pairs = [pairs[i] for i in sorted(np.random.default_rng(42).choice(len(pairs), self.pairs, replace=False))]
         wide = dataset.select(*[(F.col(a) * F.col(b)).alias(f"_x{i}") for i, (a, b) in enumerate(pairs)])
         inner = PCA([f"_x{i}" for i in range(len(pairs))], self.k).fit(wide)
         inner.prefix = self.prefix
@@ -424,12 +426,12 @@ def augment(lab, kinds: Sequence[str], k: int = 8):
     return replace(lab, df=df, features=tuple(names)), models
 
 
-def top_pair_products(lab, k: int = 4, first: int = 20):
-    """(formula, f1): best products of two different features among the first ones."""
+def top_pair_products(lab, k: int = 4):
+    """(formula, f1): best products of two different features."""
     from lucidform.functions.traces import binary, leaf, text
     from lucidform.operators.screening import search_scores
 
-    d = min(first, len(lab.features))
+    d = len(lab.features)
     traces = [binary(leaf(i), "*", j) for i in range(d) for j in range(i + 1, d)]
     got = search_scores(lab, traces, keep=k)
     return sorted(((text(s.trace, lab.features), s.f1, s.trace) for s in got), key=lambda r: (-r[1], r[0]))[:k]

@@ -18,7 +18,8 @@ from lucidform.operators.screening import _batch_columns, _tree, _walk
 from lucidform.sources.labelled import Labelled
 
 INLINE = 64  # larger families of criteria are evaluated on Arrow batches
-META = ("f1", "auroc", "nf", "f1_gap", "auc_gap", "prev", "f1xa", "a_nf", "fg_ag", "depth")
+#: Properties of a formula that criteria are made of: where it stands, what it scores, and what it lacks.
+NODE_PROPERTIES = ("depth", "inputs", "base_rate", "f1", "f1_missing", "auroc", "auroc_missing", "f1_times_auroc", "auroc_per_feature", "both_missing")
 
 
 def catalog(lab: Labelled, depth: int = 2, ops: OpSet | str = "minimal") -> DataFrame:
@@ -76,34 +77,34 @@ def node_features(cat: DataFrame, prevalence: float) -> DataFrame:
     f1, a, nf = F.col("f1"), F.col("auroc"), F.col("n_features").cast("double")
     return cat.withColumns(
         {
-            "nf": nf,
-            "f1_gap": F.lit(1.0) - f1,
-            "auc_gap": F.lit(1.0) - a,
-            "prev": F.lit(float(prevalence)),
-            "f1xa": f1 * a,
-            "a_nf": a / F.greatest(nf, F.lit(0.01)),
-            "fg_ag": (F.lit(1.0) - f1) * (F.lit(1.0) - a),
+            "inputs": nf,
+            "f1_missing": F.lit(1.0) - f1,
+            "auroc_missing": F.lit(1.0) - a,
+            "base_rate": F.lit(float(prevalence)),
+            "f1_times_auroc": f1 * a,
+            "auroc_per_feature": a / F.greatest(nf, F.lit(0.01)),
+            "both_missing": (F.lit(1.0) - f1) * (F.lit(1.0) - a),
         }
     )
 
 
-def criteria(family: str, ops: OpSet | None = None, names: Sequence[str] = META) -> list[Trace]:
+def criteria(family: str, ops: OpSet | None = None, names: Sequence[str] = NODE_PROPERTIES) -> list[Trace]:
     """Criterion formulas over node features: a few fixed ones, or all to depth 2."""
     at = {n: i for i, n in enumerate(names)}
     small = [leaf(at["f1"]), leaf(at["auroc"])]
-    six = [*small, leaf(at["f1xa"]), leaf(at["a_nf"]), binary(leaf(at["f1"]), "+", at["auroc"]), binary(leaf(at["f1"]), "/", at["nf"])]
+    six = [*small, leaf(at["f1_times_auroc"]), leaf(at["auroc_per_feature"]), binary(leaf(at["f1"]), "+", at["auroc"]), binary(leaf(at["f1"]), "/", at["inputs"])]
     if family == "2":
         return small
     if family == "6":
         return six
     if family == "12":
         return six + [
-            binary(leaf(at["auroc"]), "-", at["f1_gap"]),
+            binary(leaf(at["auroc"]), "-", at["f1_missing"]),
             binary(leaf(at["f1"]), "max", at["auroc"]),
             binary(leaf(at["f1"]), "min", at["auroc"]),
             binary(leaf(at["f1"]), "geometric", at["auroc"]),
             binary(leaf(at["auroc"]), "/", at["depth"]),
-            leaf(at["fg_ag"]),
+            leaf(at["both_missing"]),
         ]
     ops = ops or OpSet.preset("full")
     one = [leaf(i) for i in range(len(names))]
@@ -112,7 +113,7 @@ def criteria(family: str, ops: OpSet | None = None, names: Sequence[str] = META)
 
 
 def criterion_search(
-    nodes: DataFrame, traces: Sequence[Trace], below_depth: int | None = None, by: Sequence[str] = (), least: float = 0.01, names: Sequence[str] = META, ops: OpSet | None = None
+    nodes: DataFrame, traces: Sequence[Trace], below_depth: int | None = None, by: Sequence[str] = (), least: float = 0.01, names: Sequence[str] = NODE_PROPERTIES, ops: OpSet | None = None
 ) -> DataFrame:
     """Per criterion: the cut that spares every alive node and the share of dead
     nodes it removes, in the better direction.
@@ -229,10 +230,10 @@ def deep_criteria(nodes: DataFrame, keep: int = 50, below_depth: int | None = No
     """Criteria to depth 3: the best ``keep`` shorter ones are expanded once more."""
     ops = OpSet.preset(ops) if isinstance(ops, str) else ops
     first = criteria("all", ops)
-    by_text = {text(t, META): t for t in first}
+    by_text = {text(t, NODE_PROPERTIES): t for t in first}
     found = criterion_search(nodes, first, below_depth, ops=ops)
     top = [r["criterion"] for r in found.orderBy(F.desc("prune_rate"), "criterion").limit(keep).collect()]
-    more = [binary(by_text[c], o, j) for c in top for o in ops.binary for j in range(len(META))] + [unary(u, by_text[c]) for c in top for u in ops.unary]
+    more = [binary(by_text[c], o, j) for c in top for o in ops.binary for j in range(len(NODE_PROPERTIES))] + [unary(u, by_text[c]) for c in top for u in ops.unary]
     return found.unionByName(criterion_search(nodes, more, below_depth, ops=ops)) if more else found
 
 
@@ -247,7 +248,7 @@ def pareto(cat: DataFrame, prevalence: float, eps: Sequence[float], traces: Sequ
     ).select("eps", "b.*")
 
 
-def cross_check(nodes: DataFrame, found: DataFrame, traces: Sequence[Trace], names: Sequence[str] = META) -> DataFrame:
+def cross_check(nodes: DataFrame, found: DataFrame, traces: Sequence[Trace], names: Sequence[str] = NODE_PROPERTIES) -> DataFrame:
     """(criterion, fn, tn, fp, tp, prune_rate, admissible): criteria applied to another catalog."""
     by_text = {text(t, names): t for t in traces}
     chosen = [by_text[r["criterion"]] for r in found.select("criterion").distinct().orderBy("criterion").collect()]
@@ -290,7 +291,7 @@ def with_hstar(cat: DataFrame) -> DataFrame:
     return j.withColumn("hstar", h).drop("_b", "_d")
 
 
-def admissible_heuristics(nodes: DataFrame, traces: Sequence[Trace], names: Sequence[str] = META) -> DataFrame:
+def admissible_heuristics(nodes: DataFrame, traces: Sequence[Trace], names: Sequence[str] = NODE_PROPERTIES) -> DataFrame:
     """(criterion, alpha, violations, slack, tightness): largest scale of each value
     that never exceeds the levels to go."""
     wide = project_formulas(nodes, names, traces, keep=["hstar"])
@@ -321,7 +322,7 @@ def pruned_beam(lab: Labelled, criterion: Trace, direction: str, threshold: floa
         f1 = np.array([s.f1 for s in scores])
         au = np.array([(s.auroc_low + s.auroc_high) / 2 for s in scores])
         nf = np.array([float(len(feats(s.trace))) for s in scores])
-        cols = [f1, au, nf, 1 - f1, 1 - au, np.full(len(f1), prevalence), f1 * au, au / np.maximum(nf, 0.01), (1 - f1) * (1 - au), np.full(len(f1), float(d))]
+        cols = [np.full(len(f1), float(d)), nf, np.full(len(f1), prevalence), f1, 1 - f1, au, 1 - au, f1 * au, au / np.maximum(nf, 0.01), (1 - f1) * (1 - au)]
         v = evaluate(criterion, cols, full)
         ok = v >= threshold if direction == ">" else v <= threshold
         kept = [s for s, k in zip(scores, ok) if k]

@@ -14,7 +14,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = 6  # 2**6 buckets per key
+LEVELS = 6  # 2**6 buckets per key at least
+MOST_LEVELS = 13
+BUCKET_BYTES = 128 << 20
+
+
+def levels_for(df: DataFrame) -> int:
+    """Levels that keep a bucket of one key near BUCKET_BYTES even if the key holds
+    the whole input; from the sizes of the plan's sources, without a job."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)  # a source of unknown size reports the largest number
+    return min(MOST_LEVELS, max(LEVELS, (known // BUCKET_BYTES).bit_length()))
 
 
 def _find_bucket(df: DataFrame, value: str, cuts: str, levels: int, out: str) -> DataFrame:
@@ -46,7 +57,7 @@ def tie_prefix(
     counts: DataFrame,
     keys: Sequence[str],
     value: str = "v",
-    levels: int = LEVELS,
+    levels: int | None = None,
     small_keys: bool = True,
 ) -> DataFrame:
     """Running totals over distinct values.
@@ -56,6 +67,7 @@ def tie_prefix(
     value at or above this one, and per key ``pos``, ``tot`` and ``var`` (population
     variance of the value over rows).
     """
+    levels = levels_for(counts) if levels is None else levels
     k = 1 << levels
     # p and n are read here as well, so that every branch below needs the same
     # columns and all of them share one exchange of ``counts``

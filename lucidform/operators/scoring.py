@@ -102,7 +102,7 @@ def score(
     """(by.., formula, f1, auroc, direction, threshold, positives, rows, var)."""
     parts = [
         with_formula(
-            scores_from_prefix(tie_prefix(value_counts(lab, part, by, ops), [*by, "cand"]), [*by, "cand"]), lab, part
+            scores_from_prefix(tie_prefix(value_counts(lab, part, by, ops), [*by, "cand"], small_keys=not by), [*by, "cand"]), lab, part
         )
         for part in _chunks(list(traces))
     ]
@@ -192,7 +192,7 @@ def percentile_f1(
     parts = []
     for part in _chunks(list(traces)):
         keys = [*by, "cand"]
-        prefix = tie_prefix(value_counts(lab, part, by, ops), keys)
+        prefix = tie_prefix(value_counts(lab, part, by, ops), keys, small_keys=not by)
         parts.append(with_formula(best_cut(cut_table(prefix, keys, percentiles), keys), lab, part))
     return reduce(DataFrame.unionByName, parts)
 

@@ -53,7 +53,7 @@ def _d13(spark, sf):
 
 
 @query("d14_model_vs_baseline", """WITH a AS (SELECT l_suppkey AS k, avg(l_discount) AS a FROM lineitem WHERE l_returnflag = 'R' GROUP BY k), b AS (SELECT l_suppkey AS k, avg(l_discount) AS b FROM lineitem WHERE l_returnflag = 'A' GROUP BY k)
- SELECT count(*) AS n, round(avg(b), 8) AS mean, round(avg(a - b), 8) AS diff, CASE WHEN avg(a - b) > 0 THEN 'A*>' ELSE '<' END AS dir FROM a JOIN b USING (k)""")
+ SELECT count(*) AS n, round(avg(b), 8) AS mean, round(avg(a - b), 8) AS diff, CASE WHEN avg(a - b) > 0 THEN 'ahead' ELSE 'behind' END AS dir FROM a JOIN b USING (k)""")
 def _d14(spark, sf):
     li = table(spark, sf, "lineitem")
     side = lambda v, n: li.where(F.col("l_returnflag") == v).groupBy("l_suppkey").agg(F.avg("l_discount").alias(n))

@@ -324,7 +324,7 @@ def _paired(spark, sf):
 
 @query(
     "e29_paired_compare",
-    f"""SELECT s, n, round(mean, 8) AS mean, round(diff, 8) AS diff, round(sd, 8) AS sd, round(diff / (sd / sqrt(n)), 5) AS t, round(abs(diff / (sd / sqrt(n))), 5) AS sigma, CASE WHEN diff > 0 THEN 'A*>' ELSE '<' END AS dir
+    f"""SELECT s, n, round(mean, 8) AS mean, round(diff, 8) AS diff, round(sd, 8) AS sd, round(diff / (sd / sqrt(n)), 5) AS t, round(abs(diff / (sd / sqrt(n))), 5) AS sigma, CASE WHEN diff > 0 THEN 'ahead' ELSE 'behind' END AS dir
  FROM (SELECT s, count(*) AS n, avg(b) AS mean, avg(a - b) AS diff, stddev_samp(a - b) AS sd FROM {_PAIRED} GROUP BY s)""",
 )
 def _e29(spark, sf):

@@ -13,7 +13,7 @@ from lucidform.sources.labelled import Labelled, returned_items
 
 _FEATS = ("qty", "disc", "tax")
 _OPS = OpSet({k: OpSet().binary[k] for k in ("+", "*", "-")}, {k: OpSet().unary[k] for k in ("sq", "sqrt")})
-_META6 = pr.criteria("6")
+_SIX = pr.criteria("6")
 
 
 def _lab(spark, sf) -> Labelled:
@@ -66,17 +66,17 @@ def _j01(spark, sf):
     return _nodes(spark, sf).select("formula", "alive")
 
 
-_FEAT_SQL = """SELECT *, n_features::DOUBLE AS nf, 1 - f1 AS f1_gap, 1 - auroc AS auc_gap, (SELECT avg(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) FROM lineitem) AS prev,
- f1 * auroc AS f1xa, auroc / greatest(n_features, 0.01::DOUBLE) AS a_nf, (1 - f1) * (1 - auroc) AS fg_ag FROM nodes"""
+_FEAT_SQL = """SELECT *, n_features::DOUBLE AS inputs, 1 - f1 AS f1_missing, 1 - auroc AS auroc_missing, (SELECT avg(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) FROM lineitem) AS base_rate,
+ f1 * auroc AS f1_times_auroc, auroc / greatest(n_features, 0.01::DOUBLE) AS auroc_per_feature, (1 - f1) * (1 - auroc) AS both_missing FROM nodes"""
 
 
-@query("j02_node_features", f"{_ALIVE} SELECT formula, depth, nf, round(f1_gap, 8) AS f1_gap, round(auc_gap, 8) AS auc_gap, round(prev, 8) AS prev, round(f1xa, 8) AS f1xa, round(a_nf, 8) AS a_nf, round(fg_ag, 8) AS fg_ag FROM ({_FEAT_SQL})")
+@query("j02_node_features", f"{_ALIVE} SELECT formula, depth, inputs, round(f1_missing, 8) AS f1_missing, round(auroc_missing, 8) AS auroc_missing, round(base_rate, 8) AS base_rate, round(f1_times_auroc, 8) AS f1_times_auroc, round(auroc_per_feature, 8) AS auroc_per_feature, round(both_missing, 8) AS both_missing FROM ({_FEAT_SQL})")
 def _j02(spark, sf):
     d = pr.node_features(_nodes(spark, sf), _prev(spark, sf))
-    return d.select("formula", "depth", "nf", *[F.round(c, 8).alias(c) for c in ("f1_gap", "auc_gap", "prev", "f1xa", "a_nf", "fg_ag")])
+    return d.select("formula", "depth", "inputs", *[F.round(c, 8).alias(c) for c in ("f1_missing", "auroc_missing", "base_rate", "f1_times_auroc", "auroc_per_feature", "both_missing")])
 
 
-_CRIT_SQL = {"f1": "f1", "auroc": "auroc", "f1xa": "f1xa", "a_nf": "a_nf", "(f1 + auroc)": "f1 + auroc", "(f1 / nf)": "f1 / (nf + 1e-30)"}
+_CRIT_SQL = {"f1": "f1", "auroc": "auroc", "f1_times_auroc": "f1_times_auroc", "auroc_per_feature": "auroc_per_feature", "(f1 + auroc)": "f1 + auroc", "(f1 / inputs)": "f1 / (inputs + 1e-30)"}
 _LONG = " UNION ALL ".join(f"SELECT '{k}' AS criterion, {e} AS v, alive FROM feat" for k, e in _CRIT_SQL.items())
 _FOUND = f"""feat AS MATERIALIZED ({_FEAT_SQL}), vals AS ({_LONG}),
  cut AS (SELECT criterion, min(v) FILTER (alive = 1) AS low, max(v) FILTER (alive = 1) AS high, count(*) FILTER (alive = 1) AS total_alive, count(*) FILTER (alive = 0) AS total_dead FROM vals GROUP BY criterion),
@@ -85,7 +85,7 @@ _FOUND = f"""feat AS MATERIALIZED ({_FEAT_SQL}), vals AS ({_LONG}),
 
 
 def _found(spark, sf):
-    return pr.criterion_search(pr.node_features(_nodes(spark, sf), _prev(spark, sf)), _META6)
+    return pr.criterion_search(pr.node_features(_nodes(spark, sf), _prev(spark, sf)), _SIX)
 
 
 @query("j03_criterion_search", f"{_ALIVE}, {_FOUND} SELECT criterion, direction, round(threshold, 8) AS threshold, pruned, total_dead, total_alive, prune_rate FROM found")
@@ -105,7 +105,7 @@ _EPSES = (0.000001, 0.00001, 0.0001, 0.001)
 
 @query("j04_pareto_sweep")
 def _j04(spark, sf):
-    return pr.pareto(pr.catalog(_lab(spark, sf), 2, _OPS).persist(), _prev(spark, sf), _EPSES, _META6, 3)
+    return pr.pareto(pr.catalog(_lab(spark, sf), 2, _OPS).persist(), _prev(spark, sf), _EPSES, _SIX, 3)
 
 
 @query("j04_alive_by_eps", f"""WITH cat AS MATERIALIZED (SELECT * FROM {_CAT}), e(eps) AS (VALUES {', '.join(f'({x!r}::DOUBLE)' for x in _EPSES)}),
@@ -126,17 +126,17 @@ def _j04b(spark, sf):
 )
 def _j05(spark, sf):
     nodes = pr.node_features(_nodes(spark, sf), _prev(spark, sf)).persist()
-    return pr.cross_check(nodes, pr.criterion_search(nodes, _META6), _META6)
+    return pr.cross_check(nodes, pr.criterion_search(nodes, _SIX), _SIX)
 
 
 @query(
     "j06_meta_ablation",
-    f"""{_ALIVE}, feat AS ({_FEAT_SQL}), vals AS (SELECT alive, 'f1' AS feature, f1 AS v FROM feat UNION ALL SELECT alive, 'auroc', auroc FROM feat UNION ALL SELECT alive, 'nf', nf FROM feat),
+    f"""{_ALIVE}, feat AS ({_FEAT_SQL}), vals AS (SELECT alive, 'f1' AS feature, f1 AS v FROM feat UNION ALL SELECT alive, 'auroc', auroc FROM feat UNION ALL SELECT alive, 'inputs', inputs FROM feat),
  r AS (SELECT feature, min(v) FILTER (alive = 1) AS alive_low, max(v) FILTER (alive = 1) AS alive_high, min(v) FILTER (alive = 0) AS dead_low, max(v) FILTER (alive = 0) AS dead_high FROM vals GROUP BY feature)
  SELECT r.*, least(alive_high, dead_high) - greatest(alive_low, dead_low) >= 0 AS overlap, p AS prune_rate FROM r JOIN (SELECT feature, avg(CASE WHEN v < alive_low THEN 1.0::DOUBLE ELSE 0 END) AS p FROM vals JOIN r USING (feature) WHERE alive = 0 GROUP BY feature) USING (feature)""",
 )
 def _j06(spark, sf):
-    return pr.feature_ranges(pr.node_features(_nodes(spark, sf), _prev(spark, sf)), ["f1", "auroc", "nf"])
+    return pr.feature_ranges(pr.node_features(_nodes(spark, sf), _prev(spark, sf)), ["f1", "auroc", "inputs"])
 
 
 @query("j07_hstar", f"WITH cat AS MATERIALIZED (SELECT * FROM {_CAT}), b AS (SELECT max(f1) AS b FROM cat), o AS (SELECT min(depth) AS d FROM cat, b WHERE f1 >= b - 0.001) SELECT formula, CASE WHEN f1 >= b - 0.001 THEN 0 ELSE greatest(d - depth, 0) END AS hstar FROM cat, b, o")
@@ -147,14 +147,14 @@ def _j07(spark, sf):
 @query("j07_admissible_heuristics")
 def _j07b(spark, sf):
     nodes = pr.node_features(pr.with_hstar(pr.catalog(_lab(spark, sf), 2, _OPS)), _prev(spark, sf))
-    return pr.admissible_heuristics(nodes, _META6)
+    return pr.admissible_heuristics(nodes, _SIX)
 
 
 @query("j08_pruned_beam")
 def _j08(spark, sf):
     """Learn a criterion on a catalog, then search deeper with it."""
     lab, prev = _lab(spark, sf), _prev(spark, sf)
-    by_text = {text(t, pr.META): t for t in _META6}
+    by_text = {text(t, pr.NODE_PROPERTIES): t for t in _SIX}
     best = _found(spark, sf).orderBy(F.desc("prune_rate"), "criterion").first()
     if best is None:
         crit, direction, threshold = by_text["f1"], ">", 0.0

@@ -62,7 +62,7 @@ def _i06t(spark, sf):
 def _i06m(spark, sf):
     lab = returned_items(spark, sf)
     rows = []
-    for mode, kw in (("fast", {"auroc_threshold": 0.5015, "depth": 2}), ("auto", {"depth": 2, "max_expansions": 100}), ("adaptive", {"depth": 2, "beam": 10})):
+    for mode, kw in (("fast", {"auroc_threshold": 0.5015, "depth": 2}), ("auto", {"depth": 3, "max_expansions": 300}), ("adaptive", {"depth": 4, "beam": 10})):
         r = se.search(lab, mode, ops="minimal", **kw)
         rows.append((mode, text(r.best.trace, lab.features), float(r.best.f1), r.stopped_at, r.tested))
     return spark.createDataFrame(rows, "mode string, formula string, f1 double, depth int, tested int")

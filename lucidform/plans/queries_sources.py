@@ -124,7 +124,7 @@ def _documents(spark, sf):
     m = lambda mean, dirn: F.struct(mean.alias("mean"), (F.col("a") - mean).alias("diff"), F.abs(F.col("a") - mean).alias("sigma"), dirn.alias("dir"))
     o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("N"), F.max("o_totalprice").alias("hi"), F.min("o_totalprice").alias("lo"))
     o = o.withColumn("a", F.col("lo") / F.col("hi"))
-    up = F.when(F.col("a") > 0.5, F.lit("A*>")).otherwise(F.lit("<"))
+    up = F.when(F.col("a") > 0.5, F.lit("ahead")).otherwise(F.lit("behind"))
     return o.select(
         F.concat(F.lit("cust"), F.col("o_custkey")).alias("name"), "N", F.lit(4).alias("d"), F.col("a").alias("test_f1"), F.col("a").alias("train_f1"),
         F.repeat(F.concat(F.lit("f"), F.col("o_custkey")), 15).alias("formula"), F.lit(1.0).alias("stability"),
@@ -143,13 +143,15 @@ def _a09(spark, sf):
 
 @query(
     "a10_collect_results",
-    """SELECT 'cust' || o_custkey AS name, "N", 4 AS d, a AS test_f1, a AS train_f1, substr(repeat('f' || o_custkey, 15), 1, 40) AS formula, a > 0.5 AS beats_gb
+    """SELECT 'cust' || o_custkey AS name, "N", 4 AS d, a AS test_f1, a AS train_f1, substr(repeat('f' || o_custkey, 15), 1, 40) AS formula, a > 0.5 AS beats_gb,
+ format('{:.1f}', abs(a - 0.5)) || CASE WHEN a > 0.5 THEN ' ahead' ELSE ' behind' END AS vs_gb, format('{:.1f}', abs(a - 0.25)) || CASE WHEN a > 0.5 THEN ' ahead' ELSE ' behind' END AS vs_rf,
+ format('{:.1f}', abs(a)) || CASE WHEN a > 0.5 THEN ' ahead' ELSE ' behind' END AS vs_lr
  FROM (SELECT o_custkey, count(*) AS "N", min(o_totalprice) / max(o_totalprice) AS a FROM orders GROUP BY o_custkey)""",
 )
 def _a10(spark, sf):
     path = _folder(spark, "results")
     results.write_results(_documents(spark, sf), path)
-    return results.collect_results(spark, path).drop("vs_gb", "vs_rf", "vs_lr")
+    return results.collect_results(spark, path)
 
 
 @query("a11_pending_jobs", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY ALL")

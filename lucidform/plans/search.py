@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucidform.functions.formulas import OpSet
-from lucidform.functions.traces import Trace, evaluate, feats, leaf, text
+from lucidform.functions.traces import Trace, evaluate, feats, leaf, project_formulas, text
 from lucidform.operators import candidates as cd
 from lucidform.operators.ranking import hash_order
 from lucidform.operators.scoring import score, with_formula
@@ -49,6 +49,7 @@ class SearchResult:
     tested: int = 0
     mode: str = "beam"
     stopped_at: int = 0
+    limited_at: int | None = None  # the first depth at which a budget, not the rule, decided what was kept
 
     def ranked(self) -> list[tuple[int, int, Score]]:
         return sorted(self.found, key=lambda x: (-x[2].f1, text(x[2].trace, self.lab.features)))
@@ -98,7 +99,7 @@ def _level_candidates(
     return out
 
 
-def _top(scores: Sequence[Score], names: Sequence[str], b: int) -> list[Score]:
+def _top(scores: Sequence[Score], names: Sequence[str], b: int | None) -> list[Score]:
     return sorted(scores, key=lambda s: (-s.f1, text(s.trace, names)))[:b]
 
 
@@ -106,7 +107,7 @@ def _top(scores: Sequence[Score], names: Sequence[str], b: int) -> list[Score]:
 def beam_search(
     lab: Labelled,
     depth: int = 3,
-    beam: int = 100,
+    beam: int | None = 100,
     ops: OpSet | str = "beam",
     schedule: dict[int, int] | None = None,
     ids: Sequence[int] | None = None,
@@ -115,7 +116,6 @@ def beam_search(
     target: float | None = None,
     level_filter: Callable[[list[Score], int], list[Score]] | None = None,
     select: Callable[[list[Score], int, int], list[Score]] | None = None,
-    max_per_level: int | None = None,
     min_auroc: float | None = None,
     sample: list[np.ndarray] | None = None,
     max_tasks: int | None = None,
@@ -124,8 +124,8 @@ def beam_search(
 
     ``schedule`` gives the width per depth; ``target`` stops after the first
     level that reaches it, so the depth found is minimal; ``level_filter`` and
-    ``select`` replace the survival rule and the ranking; ``max_per_level`` is a
-    search budget (an option of the caller, none by default).
+    ``select`` replace the survival rule and the ranking.  Without ``beam`` every
+    formula of a level is kept.
     """
     ops = OpSet.preset(ops) if isinstance(ops, str) else ops
     sample = sample if sample is not None else sample_columns(lab)
@@ -135,8 +135,6 @@ def beam_search(
     seen = {cd.canonical_text(t, names) for t in level}
     for d in range(1, depth + 1):
         width = (schedule or {}).get(d, beam)
-        if max_per_level is not None:
-            level = level[:max_per_level]
         res.tested += len(level)
         need = None if (level_filter or select or min_auroc is not None) else width
         scores = search_scores(lab, level, keep=need, ops=ops, sample=sample, max_tasks=max_tasks)
@@ -197,7 +195,6 @@ def phased_search(
     top_singles: int = 8,
     templates: str = "basic",
     ensemble: bool = False,
-    report: int = 100,
 ) -> PhasedResult:
     """Singles, pairs, unary maps of the best pairs, triples of the best singles,
     each with the quick percentile sweep."""
@@ -232,7 +229,7 @@ def phased_search(
             conv[p] = run
     cols = ("formula", "phase", "f1", "threshold", "direction")
     table = spark.createDataFrame(
-        [tuple(r[c] for c in cols) for r in rows[:report]],
+        [tuple(r[c] for c in cols) for r in rows],
         "formula string, phase int, f1 double, threshold double, direction string",
     )
     out = PhasedResult(table, len(rows), conv, rows[0]["f1"], rows[0]["formula"])
@@ -290,12 +287,23 @@ def ablation(lab: Labelled, ops: OpSet | str = "full", top_pairs: int = 30) -> D
 
 
 def semantic_keys(sample: Sequence[np.ndarray], traces: Sequence[Trace], ops: OpSet, probes: int = 7) -> list[tuple]:
-    """Values on a few probe rows, rounded; formulas with equal keys count as the same."""
+    """Values on a few probe rows, rounded; formulas with equal keys may be the same."""
     rows = [c[:probes] for c in sample]
     with np.errstate(all="ignore"):
         return [tuple(np.round(evaluate(t, rows, ops), 6).tolist()) for t in traces]
 
 
+def same_values(lab: Labelled, pairs: Sequence[tuple[Trace, Trace]], ops: OpSet, chunk: int = 40) -> list[bool]:
+    """Whether two formulas agree to 1e-6 on every row; one pass per chunk of pairs."""
+    out = []
+    for i in range(0, len(pairs), chunk):
+        part = pairs[i : i + chunk]
+        wide = project_formulas(lab.df, lab.features, [t for p in part for t in p], ops=ops)
+        row = wide.agg(*[F.max((F.abs(F.col(f"v{2 * k}") - F.col(f"v{2 * k + 1}")) > 1e-6).cast("int")).alias(f"d{k}") for k in range(len(part))]).first()
+        out += [not row[k] for k in range(len(part))]
+    return out
+
+
 @_on_working_copy
 def diverse_beam(
     lab: Labelled,
@@ -305,19 +313,20 @@ def diverse_beam(
     min_auroc: float = 0.55,
     ops: OpSet | str = "full",
 ) -> SearchResult:
-    """Beam that drops formulas equal on probe rows, prunes by AUROC and trades
-    F1 against correlation with what is already in the beam."""
+    """Beam that drops formulas equal on all rows (those equal on probe rows are
+    compared there), prunes by AUROC and trades F1 against correlation with what is already in the beam."""
     ops = OpSet.preset(ops) if isinstance(ops, str) else ops
     sample = sample_columns(lab)
-    state: dict = {"beam": [], "keys": set()}
+    state: dict = {"beam": [], "first": {}}
 
     def choose(scores: list[Score], width: int, d: int) -> list[Score]:
         ranked = _top(scores, lab.features, len(scores))
-        fresh = []
+        fresh, alike = [], []
         for s, key in zip(ranked, semantic_keys(sample, [s.trace for s in ranked], ops)):
-            if key not in state["keys"]:
-                state["keys"].add(key)
-                fresh.append(s)
+            first = state["first"].setdefault(key, s.trace)
+            (fresh if first == s.trace else alike).append(s)
+        same = same_values(lab, [(s.trace, state["first"][k]) for s, k in zip(alike, semantic_keys(sample, [s.trace for s in alike], ops))], ops)
+        fresh += [s for s, drop in zip(alike, same) if not drop]
         # a correlation pass is needed only where the penalty can change the cut
         if not fresh:
             return []
@@ -388,14 +397,15 @@ def search(
     mode: str = "auto",
     target: float = 0.0,
     depth: int = 3,
-    max_expansions: int = 50_000,
+    max_expansions: int | None = None,
     auroc_threshold: float = 0.55,
     beam: int | None = None,
     ops: OpSet | str = "full",
 ) -> SearchResult:
-    """``strict`` keeps everything, ``fast`` prunes by AUROC, ``auto`` is strict
-    while the level fits the budget and fast after that, ``adaptive`` is wide to
-    depth 3 and narrow below."""
+    """``strict`` keeps everything, ``fast`` what passes the AUROC limit, ``auto`` is
+    strict while the level fits the caller's budget ``max_expansions`` and then
+    narrows to it, ``adaptive`` is wide to depth 3 and narrow below.  ``beam`` is a
+    width of the caller's.  Where a budget decided, ``limited_at`` tells the depth."""
     ops_ = OpSet.preset(ops) if isinstance(ops, str) else ops
     goal = target if target > 0 else None
     d = len(lab.features)
@@ -405,11 +415,15 @@ def search(
         schedule = {k: wide if k <= 3 else max(1, wide // (4 ** (k - 3))) for k in range(1, 6)}
         res = beam_search(lab, min(depth, 5), wide, ops_, schedule=schedule, target=goal)
     elif mode == "fast":
-        res = beam_search(lab, depth, beam or max_expansions, ops_, target=goal, min_auroc=auroc_threshold)
+        res = beam_search(lab, depth, beam, ops_, target=goal, min_auroc=auroc_threshold)
+    elif mode == "strict":
+        res = beam_search(lab, depth, beam, ops_, target=goal)
     else:
+        if max_expansions is None:
+            raise ValueError("auto needs a budget: max_expansions")
         width = beam or max_expansions
         fits = d * branching ** (depth - 1) <= max_expansions
-        if mode == "auto" and not fits:
+        if not fits:
             strict_depth = max(1, int(np.floor(1 + np.log(max_expansions / d) / np.log(branching))))
             res = beam_search(lab, min(strict_depth, depth), width, ops_, target=goal)
             reached = goal is not None and res.best.f1 >= goal
@@ -418,6 +432,7 @@ def search(
                 res = beam_search(
                     lab, depth, max(1, max_expansions // branching), ops_, target=goal, min_auroc=auroc_threshold
                 )
+                res.limited_at = strict_depth + 1
         else:
             res = beam_search(lab, depth, width, ops_, target=goal)
     res.mode = mode

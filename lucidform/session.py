@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import SparkSession
 
 
@@ -31,6 +33,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     configured = conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    where = str(sc._jsc.sc().getCheckpointDir().get() if not sc._jsc.sc().getCheckpointDir().isEmpty() else configured or "")
+    if configured is None and not sc.master.startswith("local") and urlparse(where).scheme in ("", "file"):
+        raise ValueError("executors don't share a local folder: set spark.checkpoint.dir to one that they do")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if configured is None:
             import tempfile

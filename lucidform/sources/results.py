@@ -27,7 +27,7 @@ def write_results(df: DataFrame, path: str) -> None:
 
 
 def collect_results(spark: SparkSession, path: str) -> DataFrame:
-    """Flat dashboard rows from nested result documents; unreadable ones are skipped."""
+    """Flat dashboard rows from nested result documents; ``rejected_results`` has those that can't be read."""
     raw = spark.read.schema(RESULT_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     d = raw.where(F.col("_corrupt").isNull())
 
@@ -45,10 +45,16 @@ def collect_results(spark: SparkSession, path: str) -> DataFrame:
         versus("GB").alias("vs_gb"),
         versus("RF").alias("vs_rf"),
         versus("LR").alias("vs_lr"),
-        F.coalesce(F.col("baselines.GB.dir") == "A*>", F.lit(False)).alias("beats_gb"),
+        F.coalesce(F.col("baselines.GB.dir") == "ahead", F.lit(False)).alias("beats_gb"),
     )
 
 
+def rejected_results(spark: SparkSession, path: str) -> DataFrame:
+    """(document) of what is no readable result document."""
+    raw = spark.read.schema(RESULT_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return raw.where(F.col("_corrupt").isNotNull()).select(F.col("_corrupt").alias("document"))
+
+
 def pending_jobs(jobs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return jobs.join(done.select(key), key, "left_anti")
 

@@ -8,7 +8,7 @@ from lucidform.functions.formulas import Op, OpSet, python_op
 from lucidform.functions.traces import binary, leaf, text
 from lucidform.operators import pruning as pr
 from lucidform.operators.folds import stratified_folds
-from lucidform.operators.metrics import t_p_value
+from lucidform.operators.metrics import student_p
 from lucidform.operators.projections import PCA, PLS, LinearModel, augment
 from lucidform.operators.ranking import dense_codes, exact_quantiles, row_numbers, hash_order
 from lucidform.operators.scoring import score
@@ -151,9 +151,11 @@ def test_components_and_gram(spark):
     assert np.allclose(sv["0"], np.linalg.svd(x[::2].T @ x[::2], compute_uv=False))
 
 
-def test_p_values():
-    assert t_p_value(2.228, 10) == pytest.approx(0.05, abs=1e-4)
-    assert t_p_value(0.0, 5) == 1.0
+def test_p_values(spark):
+    # published critical values of Student's t
+    rows = [(12.706, 1, 0.05), (4.303, 2, 0.05), (2.228, 10, 0.05), (2.0484, 28, 0.05), (2.7564, 29, 0.01), (1.9623, 1000, 0.05), (0.0, 5, 1.0)]
+    for r in spark.createDataFrame(rows, "t double, n int, p double").withColumn("got", student_p(F.col("t"), F.col("n"))).collect():
+        assert r["got"] == pytest.approx(r["p"], abs=2e-4)
 
 
 def test_stream_scoring(spark, tmp_path):

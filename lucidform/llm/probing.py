@@ -32,7 +32,7 @@ TABLES, REACH = 3, 0.62
 #: Width of a cell as a share of the norm: about 2 bits a projection.
 WIDTH = 1.1
 #: Vectors of a bucket on the average, of a slot, and queries of a block.
-BUCKET, SLOT, QUERIES = 256, 2048, 4096
+BUCKET, SLOT, QUERIES = 512, 2048, 4096
 #: Vectors sampled for the floor; queries sampled for the distance of neighbours; cells a query considers in a table.
 FLOOR_SAMPLE, DISTANCE_SAMPLE, CELLS = 2048, 64, 4096
 #: Vectors that a query's floor should leave, about.

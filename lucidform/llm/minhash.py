@@ -35,7 +35,7 @@ BANDS, ROWS = 32, 6
 #: Least share of agreeing minima for two sets to be compared in full.
 LIKELY = 0.70
 #: Members of a block; two blocks meet in a group.
-BLOCK = 96
+BLOCK = 256
 
 _RNG = np.random.default_rng(20240711)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -222,21 +222,66 @@ class SparsePCA(Projection):
         return LinearModel(self.features, mean, std, _fix_signs(np.array(out).T), self.prefix)
 
 
+#: Products whose moment matrix (this number squared, in doubles) the driver holds at most.
+MOST_PRODUCTS = 8192
+
+
+def product_moments(df: DataFrame, features: Sequence[str], left: np.ndarray, right: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and centred second moments of products of two features.
+
+    Tasks add up matrices of their rows; Spark sums them row by row of the matrix.
+    """
+    wide = df.select(F.array(*[F.col(f).cast("double") for f in features]).alias("_m"))
+
+    def products(batch: pa.RecordBatch) -> np.ndarray:
+        x = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, len(features))
+        return x[:, left] * x[:, right]
+
+    def summed(shift: np.ndarray | None) -> dict[int, np.ndarray]:
+        """Row 0 of the result sums ones and products; with a shift, all rows of the Gram matrix follow."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((1 if shift is None else len(left), len(left) + (shift is None)))
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1000):
+                    z = products(batch.slice(lo, 1000))
+                    if shift is None:
+                        total[0, 0] += len(z)
+                        total[0, 1:] += z.sum(0)
+                    else:
+                        z -= shift
+                        total += z.T @ z
+            for lo in range(0, len(total), 256):
+                part = total[lo : lo + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), pa.array([r.tobytes() for r in part], pa.binary())], names=["i", "v"])
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"i": pdf["i"].iloc[:1], "v": [np.sum([np.frombuffer(v) for v in pdf["v"]], axis=0).tobytes()]})
+
+        rows = wide.mapInArrow(run, "i bigint, v binary").groupBy("i").applyInPandas(add, "i bigint, v binary").collect()
+        return {r["i"]: np.frombuffer(r["v"]) for r in rows}
+
+    first = summed(None)[0]
+    n = max(int(first[0]), 1)
+    mean = first[1:] / n
+    got = summed(mean)
+    return n, mean, np.array([got[i] for i in range(len(left))])
+
+
 class InteractionModel(Model):
     """Pair products, then a linear map."""
 
-    def __init__(self, pairs: Sequence[tuple[str, str]], inner: LinearModel):
+    def __init__(self, features: Sequence[str], left: np.ndarray, right: np.ndarray, inner: LinearModel):
         super().__init__()
-        self.pairs, self.inner = list(pairs), inner
+        self.features, self.left, self.right, self.inner = list(features), left, right, inner
 
     @property
     def names(self) -> list[str]:
         return self.inner.names
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        prod = {f"_x{i}": F.col(a) * F.col(b) for i, (a, b) in enumerate(self.pairs)}
-        wide = dataset.select("*", *[c.alias(n) for n, c in prod.items()])
-        return self.inner.transform(wide).drop(*prod)
+        left, right, mean, w = self.left, self.right, self.inner.mean, self.inner.weights
+        return batch_map(dataset, self.features, self.names, lambda x: (x[:, left] * x[:, right] - mean) @ w)
 
 
 class InteractionSVD(Projection):
@@ -249,14 +294,17 @@ class InteractionSVD(Projection):
         self.pairs = pairs
 
     def _fit(self, dataset: DataFrame) -> InteractionModel:
-        f = self.features
-        pairs = [(a, b) for i, a in enumerate(f) for b in f[i:]]
-        if self.pairs is not None and self.pairs < len(pairs):
-            pairs = [pairs[i] for i in sorted(np.random.default_rng(42).choice(len(pairs), self.pairs, replace=False))]
-        wide = dataset.select(*[(F.col(a) * F.col(b)).alias(f"_x{i}") for i, (a, b) in enumerate(pairs)])
-        inner = PCA([f"_x{i}" for i in range(len(pairs))], self.k).fit(wide)
-        inner.prefix = self.prefix
-        return InteractionModel(pairs, inner)
+        left, right = np.triu_indices(len(self.features))
+        if self.pairs is not None and self.pairs < len(left):
+            some = np.sort(np.random.default_rng(42).choice(len(left), self.pairs, replace=False))
+            left, right = left[some], right[some]
+        if len(left) > MOST_PRODUCTS:
+            raise ValueError(f"{len(left)} products: give pairs, at most {MOST_PRODUCTS}")
+        _, mean, s = product_moments(dataset, self.features, left, right)
+        w, v = np.linalg.eigh(s)
+        top = _fix_signs(v[:, np.argsort(w)[::-1][: min(self.k, len(w))]])
+        inner = LinearModel([f"{self.features[i]}*{self.features[j]}" for i, j in zip(left, right)], mean, np.ones(len(mean)), top, self.prefix)
+        return InteractionModel(self.features, left, right, inner)
 
 
 class FourierModel(Model):

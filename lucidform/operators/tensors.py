@@ -140,6 +140,34 @@ def block_structure(norms: DataFrame, keys: Sequence[str], threshold: float = 1e
     return norms.groupBy(*keys).agg(off.alias("cross")).withColumn("is_block_diagonal", F.col("cross") < threshold)
 
 
+def body_structure(cells: DataFrame, keys: Sequence[str], kind: tuple[Column, Column], body: tuple[Column, Column], threshold: float = 1e-6) -> DataFrame:
+    """(keys, cross, coupling, is_block_diagonal, is_separable) of a matrix whose rows and
+    columns each have a kind and a body: the largest norm, relative to max |v|, of a block
+    between bodies of one kind, and of a block between kinds."""
+    parts = cells.select(*keys, "v", *[c.alias(n) for n, c in zip(("_k1", "_k2", "_b1", "_b2"), (*kind, *body))])
+    blocks = parts.groupBy(*keys, "_k1", "_k2", "_b1", "_b2").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_f"), F.max(F.abs("v")).alias("_m"))
+    same = F.col("_k1") == F.col("_k2")
+    out = blocks.groupBy(*keys).agg(
+        F.max("_m").alias("_s"),
+        F.coalesce(F.max(F.when(same & (F.col("_b1") != F.col("_b2")), F.col("_f"))), F.lit(0.0)).alias("_c"),
+        F.coalesce(F.max(F.when(~same, F.col("_f"))), F.lit(0.0)).alias("_q"),
+    )
+    scale = F.when(F.col("_s") < 1e-30, F.lit(1.0)).otherwise(F.col("_s"))
+    out = out.withColumns({"cross": F.col("_c") / scale, "coupling": F.col("_q") / scale}).drop("_s", "_c", "_q")
+    flat = F.col("cross") < threshold
+    return out.withColumn("is_block_diagonal", flat).withColumn("is_separable", flat & (F.col("coupling") < threshold))
+
+
+def mode_symmetry(coo: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, symmetry): 1 - |S - S'| / |S| of the matrix S over two modes, summed over all others."""
+    s = coo.groupBy(*keys, a, b).agg(F.sum("v").alias("v"))
+    turned = s.select(*keys, F.col(a).alias(b), F.col(b).alias(a), (-F.col("v")).alias("v"))
+    both = s.withColumn("own", F.col("v")).unionByName(turned.withColumn("own", F.lit(0.0)))
+    cells = both.groupBy(*keys, a, b).agg(F.sum("v").alias("_d"), F.sum("own").alias("_v"))
+    norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
+    return cells.groupBy(*keys).agg((F.lit(1.0) - norm("_d") / (norm("_v") + 1e-30)).alias("symmetry"))
+
+
 def exchange_symmetry(coo: DataFrame, swap: dict[str, str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, symmetry): 1 - |T - T'| / (2 |T|) where T' has the given modes exchanged."""
     modes = [*swap, *swap.values()]
@@ -269,10 +297,20 @@ def scenario_sweep(edges: DataFrame, scales: Sequence[float]) -> DataFrame:
     return edges.crossJoin(F.broadcast(s)).withColumns({"r": F.col("r") * F.col("scale"), "x": F.col("x") * F.col("scale")})
 
 
-def leave_one_edge_out(edges: DataFrame, every: int = 4) -> DataFrame:
-    """A scenario per ``every``-th edge (by ``edge_id``) holding all other edges."""
-    dropped = edges.where(F.pmod(F.col("edge_id"), F.lit(every)) == 0).select(F.col("edge_id").alias("dropped"))
-    return edges.join(dropped, F.col("edge_id") != F.col("dropped"))
+def leave_one_edge_out(edges: DataFrame, sums: Sequence[str], every: int = 4) -> DataFrame:
+    """(dropped, edges, sums..) of what is left without each ``every``-th edge (by
+    ``edge_id``): totals minus the edge, so a scenario costs one row."""
+    total = edges.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_{c}") for c in sums])
+    dropped = edges.where(F.pmod(F.col("edge_id"), F.lit(every)) == 0).crossJoin(F.broadcast(total))  # one row
+    return dropped.select(F.col("edge_id").alias("dropped"), (F.col("_n") - 1).alias("edges"), *[(F.col(f"_{c}") - F.coalesce(c, F.lit(0.0))).alias(c) for c in sums])
+
+
+def leave_one_out_stamps(edges: DataFrame, every: int = 4) -> DataFrame:
+    """(dropped, i, j, re, im): the entries of the admittance matrix that dropping an
+    edge changes, as they are then; all others are those of ``laplacian``."""
+    whole = laplacian(edges).select("i", "j", F.col("re").alias("_re"), F.col("im").alias("_im"))
+    own = laplacian(edges.where(F.pmod(F.col("edge_id"), F.lit(every)) == 0).withColumn("dropped", F.col("edge_id")), ["dropped"])
+    return own.join(whole, ["i", "j"]).select("dropped", "i", "j", (F.col("_re") - F.col("re")).alias("re"), (F.col("_im") - F.col("im")).alias("im"))
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -78,14 +78,14 @@ def _l03(spark, sf):
 
 @query("l04_baselines")
 def _l04(spark, sf):
-    return ev.baselines(returned_items(spark, sf), folds=3, sizes={"GB": 5, "RF": 10, "LR": 50})
+    return ev.baselines(returned_items(spark, sf), folds=3)
 
 
 @query("l05_compare")
 def _l05(spark, sf):
     lab = returned_items(spark, sf)
     cv = ev.fair_cv(lab, folds=3, depth=1, beam=5)
-    return ev.compare(cv, ev.baselines(lab, folds=3, models=["LR"], sizes={"LR": 20}))
+    return ev.compare(cv, ev.baselines(lab, folds=3, models=["LR", "RF"]))
 
 
 @query("l06_tree_rules")
@@ -98,7 +98,7 @@ def _l06(spark, sf):
 def _l07(spark, sf):
     lab = returned_items(spark, sf)
     model, _ = ev.tree_rules(lab, 4, 50)
-    lr = ev.classifier("LR").setMaxIter(20).fit(ev.assembled(lab))
+    lr = ev.classifier("LR").fit(ev.assembled(lab))
     a = ev.feature_importance(spark, model, lab.features).withColumn("model", F.lit("tree"))
     return a.unionByName(ev.feature_importance(spark, lr, lab.features).withColumn("model", F.lit("LR")))
 
@@ -107,12 +107,12 @@ def _l07(spark, sf):
 def _l08(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     lab = load_labelled(d, {"chars": F.col("n_chars"), "words": F.size(F.split("text", " "))}, F.col("toxic") == 1, F.col("doc_id").cast("string"), [F.col("lang")])
-    return ev.per_scenario_models(lab, "lang", least=3)
+    return ev.per_scenario_models(lab, "lang")
 
 
 @query("l09_cv_score")
 def _l09(spark, sf):
-    b = ev.baselines(returned_items(spark, sf), folds=3, models=["LR"], sizes={"LR": 20})
+    b = ev.baselines(returned_items(spark, sf), folds=3, models=["LR", "RF"])
     return b.groupBy("model").agg(F.avg("f1").alias("mean"), F.stddev_pop("f1").alias("std"))
 
 
@@ -152,9 +152,9 @@ def _projection_query(name, make):
 _projection_query("k01_pca", lambda lab: pj.PCA(lab.features, 6))
 _projection_query("k01_pca_variance", lambda lab: pj.PCA(lab.features, share=0.5))
 _projection_query("k02_pls", lambda lab: pj.PLS(lab.features, 4))
-_projection_query("k03_interaction_svd", lambda lab: pj.InteractionSVD(lab.features[:12], 4))
-_projection_query("k06_nystrom_kpca", lambda lab: pj.NystromKPCA(lab.features, 4, landmarks=16))
-_projection_query("k07_neural_projection", lambda lab: pj.NeuralProjection(lab.features, 4, epochs=5))
+_projection_query("k03_interaction_svd", lambda lab: pj.InteractionSVD(lab.features, 4))
+_projection_query("k06_nystrom_kpca", lambda lab: pj.NystromKPCA(lab.features, 4))
+_projection_query("k07_neural_projection", lambda lab: pj.NeuralProjection(lab.features, 4))
 _projection_query("k08_sparse_pca", lambda lab: pj.SparsePCA(lab.features, 4))
 
 

@@ -96,11 +96,12 @@ def _j03(spark, sf):
 @query("j03_deep_criteria")
 def _j03d(spark, sf):
     """Criteria to depth 3 over node features."""
-    d = pr.deep_criteria(pr.node_features(_nodes(spark, sf), _prev(spark, sf)).persist(), keep=3, ops="minimal")
+    d = pr.deep_criteria(pr.node_features(_nodes(spark, sf), _prev(spark, sf)).persist(), ops="minimal")
     return d.orderBy(F.desc("prune_rate"), "criterion").limit(20)
 
 
-_EPSES = (0.000001, 0.00001, 0.0001, 0.001)
+# the first seven are fixed values: the tolerances swept; the others tell these close formulas apart
+_EPSES = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.10, 0.000001, 0.00001, 0.0001)
 
 
 @query("j04_pareto_sweep")

@@ -106,7 +106,7 @@ def _i02(spark, sf):
 @query("i07_autotune")
 def _i07(spark, sf):
     cs = [st.Config("raw", ops="minimal", depth=1), st.Config("pls2", ("pls",), 2, 1, "minimal"), st.Config("minimal", ops="minimal")]
-    return st.autotune(returned_items(spark, sf), cs, (1000, 4000), 10)
+    return st.autotune(returned_items(spark, sf), cs, beam=10)
 
 
 _REG = [*[binary(leaf(i), o, j) for i in range(2) for j in range(2) if i != j for o in ("+", "-", "*", "/", "max", "min", "hypot")]]
@@ -153,5 +153,5 @@ def _i14(spark, sf):
 @query("i15_ceiling_benchmark")
 def _i15(spark, sf):
     wide = embedded_items(spark, sf, size=64)
-    return st.ceiling_benchmark({"items": returned_items(spark, sf), "vectors": wide.select_features(range(4))}, folds=2, sizes={"GB": 5})
+    return st.ceiling_benchmark({"items": returned_items(spark, sf), "vectors": wide}, folds=2, sizes={"GB": 20})
 

@@ -103,14 +103,27 @@ def _m04b(spark, sf):
     return s.withColumn("cross", F.round("cross", 6))
 
 
+def _bodies(g):
+    """Columns 0 and 1 are of one kind, 2 and 3 of another; even ones of one body, odd ones of another."""
+    half = lambda c: F.floor(F.col(c) / 2).cast("int")
+    return tensors.body_structure(g, ["k"], (half("i"), half("j")), (F.pmod("i", F.lit(2)), F.pmod("j", F.lit(2))))
+
+
+@query("m04_separable", f"""SELECT k, round(c / s, 6) AS "cross", round(q / s, 6) AS coupling, c / s < 1e-6 AS is_block_diagonal, c / s < 1e-6 AND q / s < 1e-6 AS is_separable FROM (
+ SELECT k, max(m) AS s, max(CASE WHEN k1 = k2 AND b1 <> b2 THEN f ELSE 0 END) AS c, max(CASE WHEN k1 <> k2 THEN f ELSE 0 END) AS q FROM (
+  SELECT k, i // 2 AS k1, j // 2 AS k2, i % 2 AS b1, j % 2 AS b2, sqrt(sum(v * v)) AS f, max(abs(v)) AS m FROM {_GRAM} GROUP BY ALL) GROUP BY k)""")
+def _m04c(spark, sf):
+    s = _bodies(_gram(spark, sf))
+    return s.select("k", F.round("cross", 6).alias("cross"), F.round("coupling", 6).alias("coupling"), "is_block_diagonal", "is_separable")
+
+
 @query("b42_complexity_score")
 def _b42(spark, sf):
     g = _gram(spark, sf)
-    n = tensors.block_norms(g, ["k"], F.floor(F.col("i") / 2).cast("int"), F.floor(F.col("j") / 2).cast("int"))
-    st = tensors.block_structure(n, ["k"])
+    st = _bodies(g)
     s = tensors.spectrum(g, ["k"]).join(st, "k")
     sv = F.col("sv")
-    score = sp.complexity_score(sp.participation_ratio(sv), 4, F.col("cross"), sp.spectral_entropy(sv, True), F.col("is_block_diagonal"), F.col("is_block_diagonal"))
+    score = sp.complexity_score(sp.participation_ratio(sv), 4, F.col("cross"), sp.spectral_entropy(sv, True), F.col("is_block_diagonal"), F.col("is_separable"))
     return s.select("k", F.round(score, 4).alias("score"))
 
 
@@ -174,6 +187,16 @@ def _trade(spark, sf):
     return j.select(F.pmod("s_nationkey", F.lit(5)).alias("a"), F.pmod("c_nationkey", F.lit(5)).alias("b"), F.col("l_quantity").alias("v"))
 
 
+@query(
+    "m08_spatial_symmetry",
+    """WITH t AS (SELECT s_nationkey % 5 AS a, c_nationkey % 5 AS b, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)
+ SELECT round(1 - sqrt(sum((coalesce(x.v, 0) - coalesce(y.v, 0)) * (coalesce(x.v, 0) - coalesce(y.v, 0)))) / (sqrt(sum(coalesce(x.v, 0) * coalesce(x.v, 0))) + 1e-30), 6) AS symmetry
+ FROM t x FULL JOIN t y ON x.a = y.b AND x.b = y.a""",
+)
+def _m08c(spark, sf):
+    return tensors.mode_symmetry(_trade(spark, sf), "a", "b").withColumn("symmetry", F.round("symmetry", 6))
+
+
 @query("m08_decoupling", f"SELECT round(1 - sqrt(sum(CASE WHEN u < t THEN v * v ELSE 0 END)) / (sqrt(sum(v * v)) + 1e-30), 6) AS decoupling FROM {_COO}")
 def _m08b(spark, sf):
     return tensors.decoupling(_coo(spark, sf), "u", "t").withColumn("decoupling", F.round("decoupling", 6))
@@ -250,7 +273,7 @@ def _m13(spark, sf):
 
 @query("m13_leave_one_edge_out", f"SELECT d.edge_id AS dropped, count(*) AS edges, round(sum(e.x), 4) AS x FROM {_EDGE} e, {_EDGE} d WHERE d.edge_id % 4 = 0 AND e.edge_id <> d.edge_id GROUP BY ALL")
 def _m13b(spark, sf):
-    return tensors.leave_one_edge_out(_edges(spark, sf)).groupBy("dropped").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("x"), 4).alias("x"))
+    return tensors.leave_one_edge_out(_edges(spark, sf), ["x"]).select("dropped", "edges", F.round("x", 4).alias("x"))
 
 
 @query(

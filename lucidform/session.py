@@ -43,3 +43,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
             configured = tempfile.mkdtemp(prefix="lucidform-ckpt-")
         sc.setCheckpointDir(configured)
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers of a cluster where it isn't installed."""
+    import io
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    target = f"{checkpoint_dir(spark)}/lucidform.zip"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(target)

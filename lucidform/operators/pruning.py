@@ -309,26 +309,32 @@ def admissible_heuristics(nodes: DataFrame, traces: Sequence[Trace], names: Sequ
 
 
 def pruned_beam(lab: Labelled, criterion: Trace, direction: str, threshold: float, prevalence: float, depth: int = 3, beam: int = 50, ops="beam"):
-    """Beam whose levels keep only nodes that satisfy a learned criterion; the best
-    raw features stay when nothing does."""
+    """Beam whose levels keep only nodes that satisfy a learned criterion; when none
+    does, the best single features end the search.  AUROC is exact: where the screen
+    only bounds it, it is computed."""
     from lucidform.functions.traces import evaluate, feats
     from lucidform.plans.search import beam_search
 
-    full = OpSet()
+    full, own, roots = OpSet(), OpSet.preset(ops) if isinstance(ops, str) else ops, []
 
     def survive(scores, d):
         if not scores:
             return scores
+        if d == 1:
+            roots.extend(sorted(scores, key=lambda s: (-s.f1, text(s.trace, lab.features)))[:beam])
+        open_ = [s for s in scores if s.auroc_low < s.auroc_high]
+        if open_:
+            exact = {r["formula"]: r["auroc"] for r in score(lab, [s.trace for s in open_], ops=own).select("formula", "auroc").collect()}
+            for s in open_:
+                s.auroc_low = s.auroc_high = exact[text(s.trace, lab.features)]
         f1 = np.array([s.f1 for s in scores])
-        au = np.array([(s.auroc_low + s.auroc_high) / 2 for s in scores])
+        au = np.array([s.auroc_low for s in scores])
         nf = np.array([float(len(feats(s.trace))) for s in scores])
         cols = [np.full(len(f1), float(d)), nf, np.full(len(f1), prevalence), f1, 1 - f1, au, 1 - au, f1 * au, au / np.maximum(nf, 0.01), (1 - f1) * (1 - au)]
         v = evaluate(criterion, cols, full)
         ok = v >= threshold if direction == ">" else v <= threshold
         kept = [s for s, k in zip(scores, ok) if k]
-        if kept or d > 1:
-            return kept
-        return sorted(scores, key=lambda s: -s.f1)[:beam]
+        return kept or roots
 
     return beam_search(lab, depth, beam, ops, level_filter=survive)
 

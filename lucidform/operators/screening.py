@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucidform.functions.formulas import OpSet
-from lucidform.functions.traces import Trace, apply_step, evaluate
+from lucidform.functions.traces import Trace, apply_step, evaluate, text
 from lucidform.operators.ranking import hash_order
-from lucidform.operators.scoring import SWEEP, VAR_FLOOR, best_cut, covers_percentile, cut_table
+from lucidform.operators.scoring import SWEEP, VAR_FLOOR, best_cut, covers_percentile, cut_table, percentile_f1, score
 from lucidform.sources.labelled import Labelled
 
 BINS = 96
@@ -445,6 +445,19 @@ def contenders(b: DataFrame, keep: int | None) -> DataFrame:
     )
 
 
+def batchable(traces: Sequence[Trace], ops: OpSet) -> bool:
+    """Whether all operators of the formulas have an array form."""
+    used = {(op, 2 if kind.startswith("binary") else 1) for t in traces for kind, op, _ in t if kind != "leaf"}
+    return all(ops.op(name, arity).array is not None for name, arity in used)
+
+
+def _scores_by_columns(lab: Labelled, traces: Sequence[Trace], ops: OpSet) -> list[Score]:
+    """Exact scores through Column expressions, for operators without an array form."""
+    by_text = {text(t, lab.features): t for t in traces}
+    rows = score(lab, traces, ops=ops).collect()  # one row per candidate
+    return [Score(by_text[r["formula"]], 0, r["f1"], r["direction"], r["threshold"], r["auroc"], r["auroc"]) for r in rows if r["f1"] > 0]
+
+
 def search_scores(
     lab: Labelled,
     traces: Sequence[Trace],
@@ -465,6 +478,10 @@ def search_scores(
     traces = list(traces)
     if not traces:
         return []
+    if not batchable(traces, ops):
+        if folds:
+            raise ValueError("folds need operators with an array form")
+        return _scores_by_columns(lab, traces, ops)
     cols, repeats, k = folds if folds else ((), 1, 1)
     n_groups = repeats * k if folds else 1
     sample = sample if sample is not None else sample_columns(lab)
@@ -636,6 +653,9 @@ def percentile_scores(
     """
     ops = ops or OpSet()
     traces = list(traces)
+    if not batchable(traces, ops):
+        names = lab.df.sparkSession.createDataFrame([(i, text(t, lab.features)) for i, t in enumerate(traces)], "cand int, formula string")
+        return percentile_f1(lab, traces, percentiles, ops=ops).join(names, "formula").select("cand", "f1", "threshold", "direction")
     sample = sample if sample is not None else sample_columns(lab)
     with np.errstate(all="ignore"):
         values = [evaluate(t, sample, ops) for t in traces]

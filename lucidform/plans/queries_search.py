@@ -42,6 +42,16 @@ def _i03(spark, sf):
     return r.to_df().select("depth", "formula", "f1")
 
 
+_OWN = OpSet.of({"mean": lambda a, b: (a + b) / 2.0}, {"cube": lambda x: x * x * x})
+
+
+@query("u01_user_operators", f"""SELECT 1 AS depth, formula, f1 FROM ({sql_scores(sql_values(_ONE))}) UNION ALL
+ SELECT 2 AS depth, formula, f1 FROM ({sql_scores(sql_values(_children(_ONE, _OWN)))})""")
+def _u01(spark, sf):
+    """Operators that a user gives as Column functions."""
+    return se.beam_search(returned_items(spark, sf), 2, None, _OWN).to_df().select("depth", "formula", "f1")
+
+
 @query("i03_beam_search_depth3")
 def _i03b(spark, sf):
     return se.beam_search(returned_items(spark, sf), 3, 20, "beam").to_df(20).select("depth", "formula", "f1", "direction", "threshold")

@@ -17,8 +17,10 @@ BINARY_SQL = {
     "diff_sq": "(({a} - {b}) * ({a} - {b}))",
     "harmonic": "(2.0::DOUBLE * {a} * {b} / ({a} + {b} + 1e-30))",
     "geometric": "(sign({a} * {b}) * sqrt(abs({a} * {b})))",
+    "mean": "(({a} + {b}) / 2.0::DOUBLE)",
 }
 UNARY_SQL = {
+    "cube": "({x} * {x} * {x})",
     "log": "ln(abs({x}) + 1e-30)",
     "sqrt": "sqrt(abs({x}))",
     "sq": "({x} * {x})",

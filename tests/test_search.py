@@ -171,3 +171,15 @@ def test_stream_scoring(spark, tmp_path):
     got = spark.read.parquet(out)
     assert got.count() == d.count()
     assert got.where("predicted = 1").count() == d.where("value * value >= 100").count()
+
+
+def test_user_operators_are_searched(make):
+    """Operators given as Column functions only: the search takes the exact path."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    lab = make(x, (x[:, 0] + x[:, 2]) / 2 > 0.3)
+    ops = OpSet.of({"avg": lambda a, b: (a + b) / 2.0}, {"cube": lambda a: a * a * a})
+    best = se.beam_search(lab, 2, 5, ops).best
+    assert best.f1 == 1.0 and text(best.trace, lab.features) in ("(x0 avg x2)", "(x2 avg x0)")
+    more = OpSet.preset("minimal").extended(Op("avg", 2, lambda a, b: (a + b) / 2.0))
+    assert se.phased_search(lab, more, 3, 3).ceiling > 0.9

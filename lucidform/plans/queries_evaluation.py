@@ -78,7 +78,7 @@ def _l03(spark, sf):
 
 @query("l04_baselines")
 def _l04(spark, sf):
-    return ev.baselines(returned_items(spark, sf), folds=3)
+    return ev.baselines(returned_items(spark, sf), folds=2)
 
 
 @query("l05_compare")

@@ -163,5 +163,5 @@ def _i14(spark, sf):
 @query("i15_ceiling_benchmark")
 def _i15(spark, sf):
     wide = embedded_items(spark, sf, size=64)
-    return st.ceiling_benchmark({"items": returned_items(spark, sf), "vectors": wide}, folds=2, sizes={"GB": 20})
+    return st.ceiling_benchmark({"items": returned_items(spark, sf), "vectors": wide}, "RF", folds=2)
 

@@ -160,12 +160,13 @@ def hash_order(seed: int | str, rid: str | Column = "rid") -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(rid) if isinstance(rid, str) else rid))
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Column, out: str = "rn", digits: int = 2) -> DataFrame:
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Column, out: str = "rn", digits: int | None = None) -> DataFrame:
     """Exact 1-based row numbers per key in the order of a hex digest.
 
     The leading hex digits are the bucket, so a key with most rows is numbered
-    by 16**digits tasks.
+    by 16**digits tasks; their number follows from the size of the plan's sources.
     """
+    digits = max(2, -(-levels_for(df) // 4)) if digits is None else digits
     d = df.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, digits))
     sizes = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -176,9 +177,10 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Column, out: str = "r
     return joined.withColumn(out, F.col("_off") + F.row_number().over(inside)).drop("_h", "_b", "_off")
 
 
-def dense_codes(distinct: DataFrame, column: str, levels: int = LEVELS) -> DataFrame:
+def dense_codes(distinct: DataFrame, column: str, levels: int | None = None) -> DataFrame:
     """Sorted distinct values numbered from 0.  Cut points are a hash-ordered
     sample of at most 2**levels - 1 values."""
+    levels = levels_for(distinct) if levels is None else levels
     k = (1 << levels) - 1
     sample = distinct.orderBy(F.xxhash64(column), column).limit(k)
     cuts = sample.agg(F.sort_array(F.collect_list(column)).alias("_cuts"))

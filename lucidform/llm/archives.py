@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidform.llm.common import cut, file_system, make_folder, shared_folder
+from lucidform.llm.common import bounded_batches, cut, file_system, make_folder, shared_folder
 
 #: Records that the dictionary is trained on, about; bytes of each of them; bytes of the dictionary.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 32 << 10, 64 << 10
@@ -106,6 +106,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, date: str = DATE
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
 
+    bounded_batches(pages)
     return cut(with_originals(pages).mapInArrow(run, "path string, records bigint, bytes bigint"), "archive-list")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import suppress
 from urllib.parse import urlparse
 
 import numpy as np
@@ -55,7 +57,26 @@ def make_folder(uri: str) -> None:
     fs.create_dir(path, recursive=True)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+#: Rows and bytes of an Arrow batch between Spark and its Python workers at most.
+BATCH_ROWS, BATCH_BYTES = 2000, "8m"
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Lower the session's limits for Arrow batches: texts are long, and a batch is held on both sides."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def release() -> None:
+    """Give freed memory back: a worker is kept between tasks, and what it holds is counted beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most about ``most`` bytes in a text column; one longer text is a slice of its own."""
     for batch in batches:
         lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
@@ -67,6 +88,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 6 << 20)
             size += n
         if len(lengths) > lo:
             yield batch.slice(lo)
+        release()
 
 
 
@@ -75,6 +97,7 @@ def by_group(df: DataFrame, keys: Sequence[str], fn: Callable[[tuple, pa.RecordB
 
     For very many small groups: a task walks its sorted rows and holds one group at a time.
     """
+    bounded_batches(df)
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
     types = [kinds[c.split()[1]] for c in schema.split(", ")]
@@ -106,5 +129,6 @@ def by_group(df: DataFrame, keys: Sequence[str], fn: Callable[[tuple, pa.RecordB
             rows += fn(now, join(held)) or []
         if rows:
             yield batch(rows)
+        release()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

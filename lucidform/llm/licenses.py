@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidform.llm.common import chunks
+from lucidform.llm.common import bounded_batches, chunks
 from lucidform.llm.words import split_words
 
 GRAM, WINDOW, BAND = 4, 4, 12
@@ -189,5 +189,6 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, cove
                 kinds = (pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "license", "template", "coverage", "matched", "start", "end"])
 
+    bounded_batches(docs)
     plain_rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain_rows.mapInArrow(run, "doc_id bigint, license string, template int, coverage double, matched bigint, start bigint, end bigint")

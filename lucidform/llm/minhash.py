@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidform.llm.common import by_group, chunks, cut, few_ids
+from lucidform.llm.common import bounded_batches, by_group, chunks, cut, few_ids
 from lucidform.llm.components import components
 from lucidform.llm.words import split_words
 
@@ -94,7 +94,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, words, signature): ``words`` is null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 8 << 20):
+        for batch in chunks(batches, "text"):
             hashes, bounds, words = shingle_hashes(batch.column("text"))
             sigs = signatures(hashes, bounds)
             n = [len(np.unique(hashes[a:b])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
@@ -103,6 +103,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_shingles", "words", "signature"],
             )
 
+    bounded_batches(docs)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, words binary, signature binary")
 
@@ -185,11 +186,12 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """(id, shingles): the distinct 64-bit shingle hashes of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 8 << 20):
+        for batch in chunks(batches, "text"):
             hashes, bounds, _ = shingle_hashes(batch.column("text"))
             sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
+    bounded_batches(docs)
     return docs.select("id", "text").mapInArrow(run, "id bigint, shingles binary")
 
 

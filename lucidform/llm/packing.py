@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucidform.llm.common import chunks, cut
+from lucidform.llm.common import bounded_batches, chunks, cut
 from lucidform.llm.tokens import encoder, tokenizer_path, with_end
 from lucidform.llm.words import ragged
 
@@ -58,6 +58,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, voc
                 names=["doc_id", "piece", "start", "length", "ids", "part", "nth"],
             )
 
+    bounded_batches(docs)
     return cut(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES), "pieces")
 
 

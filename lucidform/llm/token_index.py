@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucidform.llm.common import chunks, cut, file_system, make_folder, shared_folder, shuffle_parts
+from lucidform.llm.common import bounded_batches, chunks, cut, file_system, make_folder, shared_folder, shuffle_parts
 from lucidform.llm.tokens import encoder, tokenizer_path, with_end
 
 MAGIC = 0x3144524853444D4C
@@ -84,6 +84,7 @@ def write_shards(docs: DataFrame, end_id: int = 2, vocabulary: str | None = None
             out.write(np.array([n, enc.width, MAGIC], dtype="<i8").tobytes())
             out.close()
 
+    bounded_batches(docs)
     records = cut(ordered.mapInArrow(run, RECORDS), "token-records")
     made = records.groupBy("shard", "path").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("ids")).orderBy("shard").collect()
     return Shards(records, [r["path"] for r in made], np.array([r["n"] for r in made], dtype=np.int64), np.array([r["ids"] for r in made], dtype=np.int64))

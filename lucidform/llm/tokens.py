@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from lucidform.llm.words import ragged, split_words
 
 #: Words kept by a worker; beyond it the memory starts anew.  Results don't depend on it.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 #: A Latin letter (none that lower-casing or composing turns into several characters) before one mark and a space.
 PARTED = r"([a-zA-Z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}])([.,]\s)"

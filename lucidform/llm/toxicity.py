@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucidform.llm.common import chunks, cut
+from lucidform.llm.common import bounded_batches, chunks, cut
 from lucidform.llm.words import split_words
 
 #: Labelled documents that the fit uses at most, about; all are used where there are fewer.
@@ -103,6 +103,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Da
     share = min(1.0, limit / max(1, told.count()))
     some = told.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bounded_batches(docs)
     return cut(texts.join(F.broadcast(some), "doc_id").select("toxic", "text"), "labelled")
 
 
@@ -207,6 +208,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             )
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"score double, predicted int, sentences {SENTENCES}"])
+    bounded_batches(docs)
     return docs.select(*kept).mapInArrow(run, schema)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from lucidform.llm.common import cut
+from lucidform.llm.common import bounded_batches, cut
 
 FINITE = "forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
 NONZERO = "exists(embedding, x -> x <> 0)"
@@ -56,6 +56,7 @@ def as_bytes(rows: DataFrame, kind: str) -> DataFrame:
             packed = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.asarray(column.flatten()).astype(kind).tobytes())])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), packed], names=[*kept, "vector"])
 
+    bounded_batches(rows)
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), "vector binary"]))
 
 

@@ -12,13 +12,17 @@ from lucidform.llm import minhash, mixing, packing, toxicity
 from lucidform.llm.common import cut
 
 
+#: Least similarity (percent of five-word shingles) of copies; op10 has a threshold of its own.
+COPIES_PERCENT = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.accepted(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.one_of_each(docs)
+    return minhash.one_of_each(docs, percent=COPIES_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

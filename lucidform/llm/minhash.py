@@ -11,8 +11,8 @@
     returns a forest: fewer links than members.
 5.  Links become components; copies take their class's.
 
-At the threshold of 0.85 a pair shares no band with probability 3e-7; the signature check (0.70) is 5 standard
-deviations below it.
+At the threshold of 0.85 a pair shares no band with probability 3e-7, at 0.80 (the least allowed) with 6e-5; the
+signature check (0.65) is 5 standard deviations below 0.80.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from lucidform.llm.words import split_words
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 32, 6
 #: Least share of agreeing minima for two sets to be compared in full.
-LIKELY = 0.70
+LIKELY = 0.65
 #: Members of a block; two blocks meet in a group.
 BLOCK = 256
 

@@ -1,11 +1,13 @@
 """Stages of the corpus pipeline, each on what the one before it kept."""
 
+import math
+import random
 from collections import Counter
 
 import __spark_entry__
 import corpus_pipeline
-from lucidform.llm import mixing, queries, toxicity
-from test_near_duplicates import brute
+from lucidform.llm import minhash, mixing, queries, toxicity
+from test_near_duplicates import brute, shingles, smallest
 from test_tokens_packing import check_placed
 
 
@@ -38,3 +40,31 @@ def test_registered():
 
 def test_pipeline_runs(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_copies_stage_takes_pairs_from_080(spark, sf, docs_of):
+    rng = random.Random(6)
+    rows, close = [], 0
+    for i in range(120):
+        n, places = ((49, [24]), (90, [2, 40]), (90, [30, 60]), (94, [30, 60]), (90, [45]))[i % 5]  # 0.80, 0.83, 0.79, 0.80, 0.89
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        copy = list(words)
+        for at in places:
+            copy[at] = f"v{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    pairs = []
+    for (a, s), (b, t) in zip(rows[::2], rows[1::2]):
+        s, t = shingles(s), shingles(t)
+        if 100 * len(s & t) >= 80 * len(s | t):
+            pairs.append((a, b))
+            close += 100 * len(s & t) < 85 * len(s | t)
+    want = smallest(pairs, [i for i, _ in rows])
+    assert close > 30 and len(pairs) < 120
+    got = corpus_pipeline.drop_copies(spark, docs_of(rows), sf)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, c in want.items() if i == c)
+
+
+def test_signature_check_lies_well_below_080():
+    n = minhash.BANDS * minhash.ROWS
+    need, agree = math.ceil(minhash.LIKELY * n), 0.8 + 0.2 / 256
+    assert sum(math.comb(n, k) * agree**k * (1 - agree) ** (n - k) for k in range(need)) < 1e-6

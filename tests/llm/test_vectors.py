@@ -1,6 +1,7 @@
 """Neighbour search and cap filters against all pairs."""
 
 import numpy as np
+import pytest
 from lucidform.llm import caps, probing, queries
 
 ODD = [(900, None), (901, []), (902, [0.0] * 8), (903, [1.0, None] + [0.0] * 6), (904, [float("nan")] * 8), (905, [float("inf")] * 8), (None, [1.0] * 8), (906, [1.0, 2.0])]
@@ -59,6 +60,18 @@ def test_few_pairs_at_the_threshold_share_no_filter():
     assert len({row for row, _ in a & b}) >= 797
 
 
+@pytest.mark.parametrize("dims, vectors", [(64, 50_000_000), (64, 80_000), (32, 1_000_000), (16, 100_000), (8, 100_000), (4, 100_000), (2, 50)])
+def test_few_pairs_share_no_filter_in_large_tables_and_low_dims(dims, vectors):
+    rng = np.random.default_rng(11)
+    x, z = rng.standard_normal((2, 800, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    codes = caps.codes_for(dims, vectors)
+    a, b = (row * (1 << 50) + number for row, number in (caps.decode_all(codes, y) for y in (x, 0.95 * x + np.sqrt(1 - 0.95**2) * z)))
+    assert len(np.unique(np.intersect1d(a, b) >> 50)) >= 799
+
+
 def test_decoding_finds_all_exceeding_filters():
     code = caps.product_code(10, 300, 1)
     x = np.random.default_rng(2).standard_normal((20, 10))

@@ -1,7 +1,8 @@
 """Largest inner products by multi-probe p-stable hashing.
 
 Vectors get one more component that makes all norms equal, so that the largest inner product is the least distance.
-A table hashes by K random (2-stable) projections cut into cells; K follows from the number of vectors.  A query
+A table hashes by K random (2-stable) projections cut into cells; K follows from the number of vectors, but is held
+at what ``CELLS`` cells can cover (buckets are larger then, and lie in more blocks).  A query
 visits the cells around its own in the order of their estimated chance to hold a neighbour at the distance that
 neighbours have (measured for a few queries against all vectors), until the chances of a table add up to ``REACH``.
 Candidates of a table's buckets are scored exactly where the buckets lie; tables are merged by query.
@@ -78,32 +79,54 @@ def bucket(h: Hashing, x: np.ndarray, table: int) -> np.ndarray:
     return cell_number(np.floor((lifted(h, x, False) @ a + b) / width))
 
 
-def probes(h: Hashing, x: np.ndarray, table: int, reach: float = REACH) -> tuple[np.ndarray, np.ndarray]:
+def probes(h: Hashing, x: np.ndarray, table: int, reach: float = REACH, most: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket): each query's buckets of a table, likeliest first, until their chances add up to ``reach``.
 
     A neighbour's projection lies around the query's with the distance as deviation; the chance of a cell is the
     product over projections.  The best cells of all projections are extensions of the best cells of the first ones,
-    so lists of CELLS partial cells are enough.
+    so lists of ``most`` partial cells are enough; queries for which these hold less chance than ``reach`` get longer
+    lists, up to all cells.
     """
+    row, number, short = _probes(h, x, table, reach, most)
+    if not len(short):
+        return row, number
+    keep = ~np.isin(row, short)
+    again, more = probes(h, x[short], table, reach, 4 * most)
+    return np.concatenate([row[keep], short[again]]), np.concatenate([number[keep], more])
+
+
+def _probes(h: Hashing, x: np.ndarray, table: int, reach: float, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and buckets by lists of ``longest`` partial cells, and the rows that these fall short for."""
     a, b, width = projections(h, table)
     at = (lifted(h, x, True) @ a + b) / width
     home = np.floor(at)
     spread = h.distance / width
-    steps = np.arange(-3, 4)
-    n = len(x)
+    far = max(3, int(np.ceil(2.5 * spread)))
+    steps = np.arange(-far, far + 1)
+    n, every = len(x), len(steps) ** a.shape[1]
     chance, cells = np.ones((n, 1)), np.zeros((n, 1, 0))
     for k in range(a.shape[1]):
         edge = np.concatenate([home[:, k, None] + steps, home[:, k, None] + steps[-1] + 1], axis=1)
         own = np.diff(_normal((edge - at[:, k, None]) / spread), axis=1)
         grown = (chance[:, :, None] * own[:, None, :]).reshape(n, -1)
-        most = min(CELLS, grown.shape[1])
+        most = min(longest, grown.shape[1])
         best = np.argsort(-grown, axis=1, kind="stable")[:, :most]
         chance = np.take_along_axis(grown, best, 1)
         before = np.take_along_axis(cells, (best // len(steps))[:, :, None], 1)
         cells = np.concatenate([before, (home[:, k, None] + steps[best % len(steps)])[:, :, None]], axis=2)
     total = np.cumsum(chance, axis=1) - chance
     row, place = np.nonzero(total < reach)
-    return row, cell_number(cells[row, place])
+    short = np.flatnonzero(chance.sum(1) < reach) if longest < every else np.zeros(0, dtype=np.int64)
+    return row, cell_number(cells[row, place]), short
+
+
+def projections_for(h: Hashing, x: np.ndarray, wanted: int) -> int:
+    """The largest number of projections up to ``wanted`` at which CELLS cells reach REACH for most of the queries x."""
+    for k in range(wanted, 0, -1):
+        short = [len(_probes(h._replace(cells=k), x, t, REACH, CELLS)[2]) for t in range(TABLES)]
+        if 10 * sum(short) <= TABLES * len(x):
+            return k
+    return 0
 
 
 def _normal(z: np.ndarray) -> np.ndarray:
@@ -260,6 +283,8 @@ def nearest_vectors(rows: DataFrame, asks: str = "vec_id % 20 = 0", nearest: int
     measured = [bytes(r["vector"]) for r in _some(asking, DISTANCE_SAMPLE / queries, 2).collect()]
     distance = neighbour_distance(packed, measured, norm, kind, nearest) if measured else norm
     h = Hashing(dims, norm, max(0, round(np.log2(max(1, vectors / BUCKET)) / 2)), distance)
+    if measured:
+        h = h._replace(cells=projections_for(h, matrix(measured, kind), h.cells))
     index = cut(_indexed(packed, h, kind), "buckets", "none")
     crowds = cut(index.groupBy("t", "bucket").agg(F.count("*").alias("n")), "crowds")
     asking = cut(floors(asking, sample, rank, kind), "asking", "none")

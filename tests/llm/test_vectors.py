@@ -128,3 +128,31 @@ def test_neighbours_of_copies_odd_and_few_vectors(vectors_of):
     assert recall(few, nearest(rows[:9], lambda i: i % 20 == 0)) == 1
     assert probing.nearest_vectors(vectors_of(ODD[:4])).collect() == []
     assert probing.nearest_vectors(vectors_of(rows[:0])).collect() == []
+
+
+@pytest.mark.parametrize("cells, distance", [(7, 1.0), (9, 1.0)])
+def test_probed_cells_reach_their_share_with_many_projections(cells, distance):
+    """Queries and unit vectors at the distance that neighbours have in tables of many millions."""
+    rng = np.random.default_rng(4)
+    x, z = rng.standard_normal((2, 60, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    cosine = 1 - distance**2 / 2
+    y = cosine * x + np.sqrt(1 - cosine**2) * z
+    h = probing.Hashing(64, 1.0, cells, distance)
+    found = np.zeros(len(x), dtype=bool)
+    for t in range(probing.TABLES):
+        row, number = probing.probes(h, x, t)
+        hit = number == probing.bucket(h, y, t)[row]
+        found[row[hit]] = True
+    assert found.mean() >= 0.85
+
+
+def test_projections_are_held_at_what_the_cells_cover():
+    x = np.random.default_rng(5).standard_normal((16, 64))
+    h = probing.Hashing(64, 1.0, 0, 1.0)
+    assert probing.projections_for(h, x, 3) == 3
+    k = probing.projections_for(h, x, 10)
+    assert 5 <= k < 10
+    assert sum(len(probing._probes(h._replace(cells=k), x, t, probing.REACH, probing.CELLS)[2]) for t in range(probing.TABLES)) <= 4

@@ -56,3 +56,20 @@ def test_op2_keeps_every_message(spark, sf):
 def test_no_python_in_the_plan(spark, sf):
     plan = queries.QUERIES["op2_quotation_linking"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+
+
+def test_trimmed_and_nested_announced_quotes(spark):
+    rows = [
+        (3, 0, "user", "First part, line one.\nFirst part, line two.\nFirst part, line three.\n\nSecond part.\n\nThird part."),
+        (3, 1, "user", "Second part.\nsomething else"),
+        (3, 2, "user", "> First part, line one.\n> First part, line two.\n> First part, line three.\n>\n> Second part.\nTwo of three paragraphs."),
+        (3, 3, "user", "> First part, line two.\n> First part, line three.\nTwo of three lines."),
+        (3, 4, "user", "I agree.\nIt is so.\nOn Monday Ann wrote:\n> Third part.\nYes."),
+        (3, 5, "user", "On Tuesday Bob wrote:\n> I agree.\n> It is so.\n> On Monday Ann wrote:\n>> Third part.\n> Yes.\nFine."),
+        (3, 6, "user", "> On Monday Ann wrote:\n>> Third part.\nOnly the inner one."),
+        (3, 7, "user", "> not said\n> nor this\nNothing found."),
+    ]
+    got = {r["turn"]: (r["parent"], r["root"], r["n_quoted"], r["n_linked"]) for r in quotes.conversations(talk(spark, rows)).collect()}
+    assert got == {0: (None, 0, 0, 0), 1: (None, 1, 0, 0), 2: (0, 0, 1, 1), 3: (0, 0, 1, 1), 4: (0, 0, 1, 1), 5: (4, 0, 3, 3), 6: (None, 6, 1, 1), 7: (None, 7, 1, 0)}
+    texts = {r["turn"]: r["text"] for r in quotes.conversations(talk(spark, rows)).collect()}
+    assert texts[5] == "Fine." and texts[4] == "I agree.\nIt is so.\nYes."

@@ -183,46 +183,53 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: i
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(id, shingles): the distinct 64-bit shingle hashes of whole texts."""
+    """(id, shingles): the distinct 64-bit shingle hashes of whole texts, from rows (id, words, text).
+
+    Only texts with the words that ``words`` is the hash of: another text under the same doc_id isn't the class's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            hashes, bounds, _ = shingle_hashes(batch.column("text"))
-            sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            hashes, bounds, words = shingle_hashes(batch.column("text"))
+            own = [i for i, w in enumerate(batch.column("words").to_pylist()) if w == words[i]]
+            sets = [np.unique(hashes[bounds[i] : bounds[i + 1]]).tobytes() for i in own]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(own, pa.int64())), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     bounded_batches(docs)
-    return docs.select("id", "text").mapInArrow(run, "id bigint, shingles binary")
+    return docs.select("id", "words", "text").mapInArrow(run, "id bigint, shingles binary").dropDuplicates(["id"])
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document.
 
     Null, empty and blank texts have no shingles and link with nothing.  Rows with a null doc_id link with nothing
-    and have a null component; they are kept.  Rows that repeat a doc_id are taken row by row;
-    where they stand for their texts, these count as one.  Columns other than
-    doc_id and text are ignored.  ``percent`` should not be below 80: bands and check are laid out for it.
+    and have a null component; they are kept.  Rows that repeat a doc_id are taken row by row, each by its own text.
+    Very long texts are read whole, one at a time.  Columns other than doc_id and text are ignored.  ``percent``
+    should not be below 80: bands and check are laid out for it.
     """
     sketched = cut(sketch(docs), "sketches")
     usable = sketched.where("doc_id IS NOT NULL AND words IS NOT NULL")
-    classes = cut(usable.groupBy("words").agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")), "classes")
+    own = usable.groupBy("words").agg(F.min("doc_id").alias("first"), F.min("signature").alias("signature"))
+    classes = cut(own.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbers are fixed as they are written
     banded = buckets(classes)
     several = cut(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = met(banded.join(several, "key"), block)
     grouped = members.join(classes.select("id", "signature"), "id")
 
     likely = cut(by_group(grouped, ["key", "x", "y"], _likely, "key bigint, x int, y int, own int, id bigint"), "likely")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    wanted = few_ids(cut(likely.select("id").distinct(), "wanted"))
-    sets = cut(full_sets(texts.join(wanted, "id", "left_semi")), "full-sets")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("first"), F.col("text").cast("string").alias("text"))
+    wanted = few_ids(cut(classes.select("id", "first", "words").join(likely.select("id").distinct(), "id", "left_semi"), "wanted"))
+    sets = full_sets(texts.join(wanted, "first"))
 
     def compare(key: tuple[int, int, int], rows: pa.RecordBatch) -> list[tuple]:
         side = rows.column("own").to_numpy() if key[1] != key[2] else None
         return forest(rows.column("id").to_numpy(), [np.frombuffer(b, dtype=np.uint64) for b in rows.column("shingles").to_pylist()], side, percent)
 
     links = by_group(likely.join(sets, "id"), ["key", "x", "y"], compare, "a bigint, b bigint")
-    found = components(links)
-    labels = cut(classes.join(found, "id", "left").select("words", F.coalesce("component", "id").alias("component")), "labels")
+    joined_classes = cut(classes.select("id", "first").join(components(links), "id"), "joined-classes")
+    least = joined_classes.groupBy("component").agg(F.min("first").alias("least"))
+    moved = joined_classes.join(least, "component").select("id", "least")
+    labels = cut(classes.select("id", "words", "first").join(moved, "id", "left").select("words", F.coalesce("least", "first").alias("component")), "labels")
     own = F.when(F.col("words").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     joined = sketched.join(labels, "words", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), own))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -232,6 +239,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that stand for their groups, with all their columns.
 
     Of rows that repeat a doc_id and its text one stays; a doc_id that has a text of its own keeps all its texts.
+    Rows with a null doc_id and rows without words all stay.  An empty table stays empty.
     """
     found = cut(near_duplicates(docs, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "kept")
     dropped = cut(found.where(~F.col("kept")).select("doc_id"), "dropped")

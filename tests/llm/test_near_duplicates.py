@@ -26,12 +26,12 @@ def smallest(pairs, ids):
     return {i: find(i) for i in ids}
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [(i, shingles(t)) for i, t in rows]
     pairs = []
     for k, (a, s) in enumerate(sets):
         for b, t in sets[:k]:
-            if s and t and 100 * len(s & t) >= 85 * len(s | t):
+            if s and t and 100 * len(s & t) >= percent * len(s | t):
                 pairs.append((a, b))
     return smallest(pairs, [i for i, _ in rows]), {i: len(s) for i, s in sets}
 
@@ -79,6 +79,23 @@ def test_null_and_repeated_ids(docs_of):
     assert minhash.near_duplicates(docs_of(rows).where("false")).collect() == []
 
 
+def test_repeated_ids_with_blank_and_other_texts(docs_of):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    near = " ".join([*base[:40], "x", *base[41:]])
+    far = [" ".join(f"f{k}{rng.randrange(10**6)}" for _ in range(30)) for k in range(4)]
+    rows = [(7, " ".join(base)), (7, None), (7, ""), (7, " \n"), (9, near), (9, far[0]), (9, None), (4, far[0]), (4, far[1]), (12, far[1] + " tail"), (12, far[2]), (12, far[2]), (15, far[3])]
+    got = minhash.near_duplicates(docs_of(rows)).collect()
+    texts = [(k, t) for k, (_, t) in enumerate(rows)]
+    groups, sizes = brute(texts)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[groups[k]] = min(i, least.get(groups[k], i))
+    want = sorted((i, sizes[k], least[groups[k]]) for k, (i, _) in enumerate(rows))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    assert {(9, 76, 7), (9, 26, 4), (9, 0, 9), (4, 26, 4)} < set(want)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)

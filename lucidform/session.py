@@ -45,21 +45,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Contexts that have the package already.
+_SHIPPED: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the workers of a cluster where it isn't installed."""
+    """Send the package to the workers, once a context: they needn't have it installed or start in its folder.
+
+    The archive is named by its content and written to the shared folder, so a session that finds it uses it.
+    """
+    import hashlib
     import io
     import zipfile
     from pathlib import Path
 
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
     root = Path(__file__).resolve().parent
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
         for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    target = f"{checkpoint_dir(spark)}/lucidform.zip"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-    out.write(bytearray(data.getvalue()))
-    out.close()
-    spark.sparkContext.addPyFile(target)
+            z.writestr(zipfile.ZipInfo(str(f.relative_to(root.parent))), f.read_bytes())
+    target = f"{checkpoint_dir(spark)}/lucidform-{hashlib.sha256(data.getvalue()).hexdigest()[:16]}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        out = files.create(path, True)
+        out.write(bytearray(data.getvalue()))
+        out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)

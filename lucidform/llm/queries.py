@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidform.llm import archives, caps, licenses, minhash, mixing, packing, probing, quotes, token_index, toxicity
+from lucidform.llm import archives, caps, licenses, minhash, mixing, packing, probing, quotes, repeats, token_index, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,3 +84,9 @@ def op6(spark, sf_dir):
 @query("op9_license_scan")
 def op9(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_fm_index_dedup", repeats.SQL)
+def op11(spark, sf_dir):
+    done = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

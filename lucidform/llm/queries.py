@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucidform.llm import archives, caps, licenses, minhash, mixing, packing, probing, quotes, repeats, token_index, toxicity
+from lucidform.llm import archives, caps, interactions, licenses, minhash, mixing, packing, probing, quotes, repair, repeats, token_index, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,3 +90,13 @@ def op9(spark, sf_dir):
 def op11(spark, sf_dir):
     done = repeats.without_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_filter_interactions", interactions.SQL)
+def op12(spark, sf_dir):
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_conversation_repair", repair.SQL)
+def op13(spark, sf_dir):
+    return repair.repaired_after_damage(table(spark, sf_dir, "conversations"))

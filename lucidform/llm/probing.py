@@ -9,8 +9,12 @@ Candidates of a table's buckets are scored exactly where the buckets lie; tables
 
 Buckets are dealt to slots of some thousand vectors, large ones in blocks over several slots, so that a task scores
 its part of the queries against its part of the vectors as matrices.  A query carries a floor: the score of a few
-best among a fixed sample of vectors, below which nothing can be among its nearest; queries that are left with too
-few are run again without it.
+best among a fixed sample of vectors, below which nothing can be among its nearest.  Queries that are left with too
+few finds are scored against all vectors, in blocks.
+
+Vectors of one length are searched among each other.  Their norms are split into ranges of a factor of two, each with
+tables of its own, so that a few long vectors don't squeeze all others into one cell; a query skips ranges that its
+floor rules out.  A length that few vectors have is scored whole.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucidform.llm.common import by_group, cut
+from lucidform.llm.common import FEW_IDS, by_group, cut
 from lucidform.llm.vectors import as_bytes, classes, held_as, matrix, usable
 
 NEAREST = 20
@@ -38,6 +42,10 @@ BUCKET, SLOT, QUERIES = 512, 2048, 4096
 FLOOR_SAMPLE, DISTANCE_SAMPLE, CELLS = 2048, 64, 4096
 #: Vectors that a query's floor should leave, about.
 LEFT = 80
+#: Norm ranges; the last holds all smaller norms.
+RANGES = 12
+#: Vectors of a length up to which they are scored whole, as one group; queries scored against all vectors at once.
+WHOLE, BLOCK = 2048, 4096
 BINS = 2000
 
 
@@ -165,27 +173,43 @@ def neighbour_distance(packed: DataFrame, asking: list[bytes], norm: float, kind
     return float(np.median(np.sqrt(np.maximum(4 * (last + 1) / BINS, 1e-3))) * norm)
 
 
-def _indexed(packed: DataFrame, h: Hashing, kind: str) -> DataFrame:
+def norm_range(largest: float) -> Column:
+    """Number of a vector's norm range below the largest norm."""
+    return F.least(F.greatest(F.floor(F.log2(F.lit(largest) / F.col("norm")) + 1e-12), F.lit(0)), F.lit(RANGES - 1)).cast("int")
+
+
+def _indexed(packed: DataFrame, ranges: dict[int, Hashing], kind: str) -> DataFrame:
+    """(t, bucket, id, vector): a table's number holds the norm range and the table in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column("vector").to_pylist(), kind)
+            own = batch.column("range").to_numpy()
+            for r in np.unique(own):
+                part = batch.filter(pa.array(own == r))
+                x = matrix(part.column("vector").to_pylist(), kind)
                 for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(bucket(h, x, t)), batch.column("id"), batch.column("vector")], names=["t", "bucket", "id", "vector"])
+                    table = pa.array(np.full(len(x), TABLES * r + t, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([table, pa.array(bucket(ranges[int(r)], x, t)), part.column("id"), part.column("vector")], names=["t", "bucket", "id", "vector"])
+
+    return packed.select("id", "vector", "range").mapInArrow(run, "t int, bucket bigint, id bigint, vector binary")
 
-    return packed.select("id", "vector").mapInArrow(run, "t int, bucket bigint, id bigint, vector binary")
 
+def _probed(asking: DataFrame, ranges: dict[int, Hashing], kind: str) -> DataFrame:
+    """(t, bucket, id) of the buckets that each query visits.  No inner product exceeds the product of the norms, so
+    a range that this bounds below the query's floor is left out."""
 
-def _probed(asking: DataFrame, h: Hashing, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
-                x, ids = matrix(batch.column("vector").to_pylist(), kind), batch.column("id").to_numpy()
-                for t in range(TABLES):
-                    row, number = probes(h, x, t)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, dtype=np.int32)), pa.array(number), pa.array(ids[row])], names=["t", "bucket", "id"])
+                every, ids, floor = matrix(batch.column("vector").to_pylist(), kind), batch.column("id").to_numpy(), batch.column("floor").to_numpy()
+                for r, h in ranges.items():
+                    near = np.linalg.norm(every, axis=1) * h.norm * (1 + 1e-9) >= floor
+                    x, own = every[near], ids[near]
+                    for t in range(TABLES if len(x) else 0):
+                        row, number = probes(h, x, t)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), TABLES * r + t, dtype=np.int32)), pa.array(number), pa.array(own[row])], names=["t", "bucket", "id"])
 
-    return asking.select("id", "vector").mapInArrow(run, "t int, bucket bigint, id bigint")
+    return asking.select("id", "vector", "floor").mapInArrow(run, "t int, bucket bigint, id bigint")
 
 
 def floors(asking: DataFrame, sample: list[bytes], rank: int, kind: str) -> DataFrame:
@@ -229,22 +253,101 @@ def _score(rows: pa.RecordBatch, kind: str, nearest: int) -> list[tuple]:
     return out
 
 
-def _search(index: DataFrame, crowds: DataFrame, asking: DataFrame, h: Hashing, vectors: int, queries: int, kind: str, nearest: int) -> DataFrame:
-    """(query, id, score) over classes, each pair once."""
+def _search(index: DataFrame, crowds: DataFrame, asking: DataFrame, ranges: dict[int, Hashing], vectors: int, queries: int, kind: str, nearest: int) -> DataFrame:
+    """(query, id, score) over classes, each pair once.  A slot's vectors go to the query parts that visit it only."""
     slots, parts = max(1, -(-vectors // SLOT)), max(1, -(-queries // QUERIES))
     blocks = F.ceil(F.col("n") / SLOT).cast("int")
     slot = lambda b: F.pmod(F.xxhash64("t", "bucket", b), F.lit(slots)).cast("int")
+    visits = _probed(asking, ranges, kind).join(crowds, ["t", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    visits = cut(visits.withColumn("slot", slot(F.col("block"))).groupBy("t", "slot", "id").agg(F.collect_set("bucket").alias("buckets")), "visits")
+    visits = visits.withColumn("part", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(parts)).cast("int"))
+    asked = visits.join(asking, "id").select("t", "slot", "part", F.lit(1).alias("query"), "id", "vector", "buckets", "floor")
+    visited = visits.groupBy("t", "slot").agg(F.collect_set("part").alias("parts"))
     mine = index.join(crowds, ["t", "bucket"]).withColumn("slot", slot(F.pmod(F.xxhash64("id"), blocks).cast("int")))
-    mine = mine.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    mine = mine.join(visited, ["t", "slot"]).withColumn("part", F.explode("parts"))
     mine = mine.select("t", "slot", "part", F.lit(0).alias("query"), "id", "vector", F.array("bucket").alias("buckets"), F.lit(float("-inf")).alias("floor"))
-    visits = _probed(asking, h, kind).join(crowds, ["t", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    visits = visits.withColumn("slot", slot(F.col("block"))).groupBy("t", "slot", "id").agg(F.collect_set("bucket").alias("buckets"))
-    asked = visits.join(asking, "id").withColumn("part", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(parts)).cast("int"))
-    asked = asked.select("t", "slot", "part", F.lit(1).alias("query"), "id", "vector", "buckets", "floor")
     found = by_group(mine.unionByName(asked), ["t", "slot", "part"], lambda _, rows: _score(rows, kind, nearest), "query bigint, id bigint, score double")
     return found.groupBy("query", "id").agg(F.max("score").alias("score"))
 
 
+def exact_nearest(packed: DataFrame, asking: DataFrame, kind: str, nearest: int, block: int = BLOCK) -> DataFrame:
+    """(query, id, score) of each query's best ``nearest`` + 1 classes, by scores against all vectors.
+
+    A pass takes a block of queries, at most ``block`` vectors on the driver and in each task; a task sends its own best.
+    """
+    spark, schema, out = packed.sparkSession, "query bigint, id bigint, score double", None
+    blocks = max(1, -(-asking.count() // block))
+    split = asking.select("id", "vector", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).alias("block"))
+    for k in range(blocks):
+        rows = split.where(F.col("block") == k).collect()
+        if not rows:
+            continue
+        ids, wanted = np.array([r["id"] for r in rows]), spark.sparkContext.broadcast(b"".join(bytes(r["vector"]) for r in rows))
+
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, wanted=wanted) -> Iterator[pa.RecordBatch]:
+            q = np.frombuffer(wanted.value, dtype=kind).reshape(len(ids), -1).astype(np.float64)
+            best, named = np.full((len(ids), nearest + 1), -np.inf), np.zeros((len(ids), nearest + 1), dtype=np.int64)
+            for whole in batches:
+                for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                    scores = np.hstack([best, q @ matrix(batch.column("vector").to_pylist(), kind).T])
+                    who = np.hstack([named, np.tile(batch.column("id").to_numpy(), (len(ids), 1))])
+                    top = np.argpartition(-scores, nearest, axis=1)[:, : nearest + 1]
+                    best, named = np.take_along_axis(scores, top, 1), np.take_along_axis(who, top, 1)
+            r, c = np.nonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(named[r, c]), pa.array(best[r, c])], names=["query", "id", "score"])
+
+        found = cut(packed.select("id", "vector").mapInArrow(run, schema), "exact")
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def _whole_lengths(packed: DataFrame, askers: DataFrame, kind: str, nearest: int) -> DataFrame:
+    """(query, id, score) for lengths that few vectors have: each length is one group, scored whole."""
+    asking = packed.join(askers.select("id").distinct().withColumn("query", F.lit(1)), "id", "left")
+    rows = asking.select("dims", "id", "vector", F.coalesce("query", F.lit(0)).alias("query"))
+
+    def score(key: tuple, batch: pa.RecordBatch) -> list[tuple]:
+        x, ids = matrix(batch.column("vector").to_pylist(), kind), batch.column("id").to_numpy()
+        out = []
+        for q in np.flatnonzero(batch.column("query").to_numpy()):
+            s = x @ x[q]
+            top = np.flatnonzero(s >= np.partition(s, -nearest - 1)[-nearest - 1]) if len(s) > nearest + 1 else np.arange(len(s))
+            out += zip([int(ids[q])] * len(top), ids[top].tolist(), s[top].tolist())
+        return out
+
+    return by_group(rows, ["dims"], score, "query bigint, id bigint, score double")
+
+
+def _found(packed: DataFrame, askers: DataFrame, kind: str, nearest: int) -> DataFrame:
+    """(query, id, score) for the classes of one length."""
+    stats = packed.agg(F.count("*").alias("n"), F.max("norm").alias("norm"), F.min("dims").alias("dims")).head()
+    vectors, norm = stats["n"], stats["norm"]
+    packed = packed.withColumn("range", norm_range(norm))
+    asking = packed.join(askers.select("id").distinct(), "id", "left_semi")
+    queries = asking.count()
+    if not queries:
+        return packed.sparkSession.createDataFrame([], "query bigint, id bigint, score double")
+    sample = [bytes(r["vector"]) for r in _some(packed, FLOOR_SAMPLE / vectors, 1).collect()]
+    rank = max(4, -(-LEFT * len(sample) // vectors))
+    measured = [bytes(r["vector"]) for r in _some(asking, DISTANCE_SAMPLE / queries, 2).collect()]
+    ranges = {}
+    for r in packed.groupBy("range").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).collect():  # RANGES rows at most
+        own = packed.where(F.col("range") == r["range"])
+        distance = neighbour_distance(own, measured, r["norm"], kind, nearest) if measured else r["norm"]
+        h = Hashing(stats["dims"], r["norm"], max(0, round(np.log2(max(1, r["n"] / BUCKET)) / 2)), distance)
+        ranges[r["range"]] = h._replace(cells=projections_for(h, matrix(measured, kind), h.cells)) if measured else h
+    index = cut(_indexed(packed, ranges, kind), "buckets", "none")
+    crowds = cut(index.groupBy("t", "bucket").agg(F.count("*").alias("n")), "crowds")
+    asking = cut(floors(asking.select("id", "vector"), sample, rank, kind), "asking", "none")
+    found = cut(_search(index, crowds, asking, ranges, vectors, queries, kind, nearest), "found")
+    enough = found.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= min(nearest + 1, vectors)).select(F.col("query").alias("id"))
+    short = cut(asking.select("id", "vector").join(enough, "id", "left_anti"), "short", "none")
+    if short.isEmpty():
+        return found
+    rest = found.join(short.select(F.col("id").alias("query")), "query", "left_anti").select("query", "id", "score")
+    return rest.unionByName(exact_nearest(packed, short, kind, nearest))
+
+
 def _first_members(valid: DataFrame, own: DataFrame, most: int) -> DataFrame:
     """(class, vec_id): the ``most`` smallest vec_ids of each class, in three rounds so that a class of very many
     members is never in one place."""
@@ -259,41 +362,23 @@ def nearest_vectors(rows: DataFrame, asks: str = "vec_id % 20 = 0", nearest: int
     """(query_id, rank, vec_id, score): for each row that ``asks``, its nearest other rows by inner product.
 
     Ties go to the smaller vec_id.  Vectors that are null, empty, zero or hold null or non-finite components, and
-    rows without a vec_id, neither ask nor are found.  Equal vectors are searched once.  Only vectors of the length
-    that most have take part.  Other columns are ignored.  The driver holds samples of FLOOR_SAMPLE and
-    DISTANCE_SAMPLE vectors, about.
+    rows without a vec_id, neither ask nor are found; vectors of different lengths have no inner product.  Equal
+    vectors are searched once, rows that repeat a vec_id are taken row by row.  A very long vector is one row of a
+    slot.  Other columns are ignored; an empty table gives no rows.  The driver holds samples of FLOOR_SAMPLE and
+    DISTANCE_SAMPLE vectors, about, and a row for each length that more than WHOLE vectors have.
     """
-    spark, kind = rows.sparkSession, held_as(rows)
+    kind = held_as(rows)
     valid = cut(usable(rows), "vectors")
-    lengths = valid.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not lengths:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dims = lengths[0]["n"]
-    valid = valid.where(F.size("embedding") == dims)
-    own = classes(valid)
-    packed = cut(as_bytes(own.select("id", "embedding"), kind), "packed-vectors", "none")
+    own = classes(valid).withColumn("norm", F.expr("sqrt(aggregate(embedding, 0D, (a, x) -> a + x * x))")).withColumn("dims", F.size("embedding"))
+    lengths = cut(own.groupBy("dims").agg(F.count("*").alias("n")), "lengths")
+    long = lengths.where(F.col("n") > WHOLE)
+    marked = own.join(F.broadcast(long) if lengths.count() <= FEW_IDS else long, "dims", "left")
+    packed = cut(as_bytes(marked.select("id", "embedding", "norm", "dims", F.col("n").isNotNull().alias("many")), kind), "packed-vectors", "none")
     askers = cut(valid.where(asks).join(own.select("h1", "h2", "id"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "id"), "askers")
-    asking = packed.join(askers.select("id").distinct(), "id", "left_semi")
-    stats = own.agg(F.count("*").alias("n"), F.max(F.expr("sqrt(aggregate(embedding, 0D, (a, x) -> a + x * x))")).alias("norm")).head()
-    vectors, norm, queries = stats["n"], stats["norm"] or 1.0, askers.select("id").distinct().count()
-    if not queries:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sample = [bytes(r["vector"]) for r in _some(packed, FLOOR_SAMPLE / vectors, 1).collect()]
-    rank = max(4, -(-LEFT * len(sample) // vectors))
-    measured = [bytes(r["vector"]) for r in _some(asking, DISTANCE_SAMPLE / queries, 2).collect()]
-    distance = neighbour_distance(packed, measured, norm, kind, nearest) if measured else norm
-    h = Hashing(dims, norm, max(0, round(np.log2(max(1, vectors / BUCKET)) / 2)), distance)
-    if measured:
-        h = h._replace(cells=projections_for(h, matrix(measured, kind), h.cells))
-    index = cut(_indexed(packed, h, kind), "buckets", "none")
-    crowds = cut(index.groupBy("t", "bucket").agg(F.count("*").alias("n")), "crowds")
-    asking = cut(floors(asking, sample, rank, kind), "asking", "none")
-    found = cut(_search(index, crowds, asking, h, vectors, queries, kind, nearest), "found")
-    few = found.groupBy("query").count().where(F.col("count") <= min(nearest, vectors - 1))
-    short = cut(asking.select("id").join(found.select(F.col("query").alias("id")).distinct(), "id", "left_anti").union(few.select("query")), "short")
-    if not short.isEmpty() and rank <= len(sample):
-        again = asking.join(short, "id", "left_semi").withColumn("floor", F.lit(float("-inf")))
-        found = found.join(short.withColumnRenamed("id", "query"), "query", "left_anti").unionByName(cut(_search(index, crowds, again, h, vectors, short.count(), kind, nearest), "found-again"))
+    found = _whole_lengths(packed.where("NOT many"), askers, kind, nearest)
+    for r in long.orderBy("dims").collect():
+        found = found.unionByName(_found(packed.where(F.col("dims") == r["dims"]), askers, kind, nearest))
+    found = cut(found, "all-found")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     best = found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= nearest + 1)
     pairs = best.select("query", F.col("id").alias("class"), "score").join(_first_members(valid, own, nearest + 1), "class").join(askers.withColumnRenamed("id", "query"), "query")

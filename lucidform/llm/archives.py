@@ -32,9 +32,14 @@ PAGES = "page_id bigint, url string, record_type string, payload_bytes bigint, p
 
 
 def train(pages: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from about ``sample`` records chosen by a hash of page_id; empty if they are too few to train on."""
+    """A dictionary from about ``sample`` different records; empty if they are too few to train on.
+
+    Records are drawn by a hash of page_id and payload, and equal rows once, so neither a repeated page_id nor copies
+    add to what the driver gets.
+    """
     share = min(1.0, sample / max(1, pages.count()))
-    chosen = pages.where(F.pmod(F.xxhash64("page_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = pages.withColumn("draw", F.xxhash64("page_id", "html", F.lit(5)))
+    chosen = drawn.where(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["draw"])
     clipped = chosen.select(F.expr(f"substring(encode(html, 'UTF-8'), 1, {SAMPLE_BYTES})").alias("html")).where("html IS NOT NULL AND octet_length(html) > 8")
     parts = sorted(bytes(r["html"]) for r in clipped.collect())
     try:

@@ -19,7 +19,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 PASSES = 2
 #: Bits of a document's hash, and of one level of the histogram.
-HASH_BITS, LEVEL_BITS = 60, 15
+HASH_BITS, LEVEL_BITS = 60, 10
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to this number are joined by broadcast.
 FEW_SOURCES = 100_000
@@ -43,12 +43,14 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[int] = WE
 
 
 def doc_hash() -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+    """Hash bits of doc_id and text: other texts of a repeated or missing doc_id are drawn on their own."""
+    both = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, hash): words of the whole text (null: 0) and 60 hash bits of doc_id.  Equal ids have
-    equal hashes and are taken together; null ids hash like empty text."""
+    """(doc_id, source, size, hash): words of the whole text (null: 0) and 60 hash bits of doc_id and text.  Rows
+    equal in both have equal hashes and are taken together; a null hashes like empty text."""
     return docs.select(
         "doc_id", F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
@@ -128,7 +130,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHAR
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) AS hash
+         CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15)) AS BIGINT) AS hash
   FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM sources),

@@ -90,13 +90,15 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    """Never null: a null doc_id counts as empty text, which isn't held out (and has no label to learn from)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """(toxic, text) of about ``limit`` labelled documents that aren't held out, chosen by a hash of doc_id.
 
-    A document with several labels counts as toxic if one says so.
+    A document with several labels counts as toxic if one says so.  Where doc_ids repeat, so that the chosen ids have
+    clearly more texts than ``limit``, about so many are chosen among these by a hash of id and text, equal ones once.
     """
     told = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("toxic").isNotNull())
     told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -104,7 +106,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Da
     some = told.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bounded_batches(docs)
-    return cut(texts.join(F.broadcast(some), "doc_id").select("toxic", "text"), "labelled")
+    rows = cut(texts.join(F.broadcast(some), "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text", F.lit(8)).alias("draw")), "labelled")
+    n = rows.count()
+    if n > 1.25 * limit:
+        rows = cut(rows.where(F.pmod("draw", F.lit(1 << 20)) < int(limit / n * (1 << 20))).dropDuplicates(["draw"]), "labelled-texts")
+    return rows.select("toxic", "text")
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:

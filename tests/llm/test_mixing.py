@@ -38,3 +38,12 @@ def test_taken_words_are_near_and_nested(docs_of):
     assert mixed.columns == docs_of(rows).columns
     assert mixed.count() == sum(r["copies"] for r in got)
     assert mixing.mix(docs_of(rows).where("false")).collect() == []
+
+
+def test_rows_without_doc_id_are_drawn_one_by_one(docs_of):
+    """Half of the rows have no doc_id, many share one; their words still come near the target."""
+    rows = [(None if i % 2 else 5 if i % 4 else i, f"{i} a b c d", "big" if i % 8 else "small") for i in range(3000)]
+    got = mixing.mix(docs_of(rows)).collect()
+    for source in ("big", "small"):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5

@@ -1,5 +1,8 @@
 """Toxicity: held-out accuracy, sentences, odd texts."""
 
+import math
+import re
+
 import numpy as np
 from lucidform.llm import queries, toxicity
 
@@ -47,3 +50,38 @@ def test_without_labels_nothing_is_toxic(spark, docs_of):
     docs = docs_of([(1, "any text"), (2, None)])
     assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0.0}
     assert toxicity.score(docs.where("false"), learned(docs_of, spark)).collect() == []
+
+
+def plain_score(text, model):
+    """Noisy-or over sentences from the model's weights, word by word."""
+    weight = dict(zip(model.words, model.weights))
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").replace("\n", " . ")) if w]
+    sentences = []
+    for k, w in enumerate(words):
+        if not k or (re.search(toxicity.SENTENCE_END, words[k - 1]) and w.strip(toxicity.TRIMMED)):
+            sentences.append([])
+        sentences[-1].append(w.strip(toxicity.TRIMMED).lower())
+    clean = 1.0
+    for s in sentences:
+        known = [weight[f] for w in s for f in [w, *(w[:n] + "|" for n in toxicity.OPENINGS if len(w) > n)] if f in weight]
+        clean *= 1 - (1 / (1 + math.exp(-model.bias - sum(known))) if known else 0.0)
+    return 1 - clean
+
+
+def test_scores_are_the_noisy_or_of_sentences(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    assert len(model.words) > 5 and any(r["score"] > 0.3 for r in got)
+    for r in got:
+        assert abs(r["score"] - plain_score(r["text"], model)) < 1e-9
+        assert all(0 <= s["score"] <= 1 for s in r["sentences"])
+
+
+def test_repeated_ids_dont_lift_the_sample(spark, docs_of):
+    rows = [(i % 3, f"text number {i} here.") for i in range(900)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id bigint, toxic int")
+    some = toxicity.training_rows(docs_of(rows), labels, limit=100).count()
+    assert 50 < some < 160
+    held = docs_of([(None, "x"), (2, "y")]).select(toxicity.held_out().alias("h")).collect()
+    assert {r["h"] for r in held} <= {True, False}

@@ -2,32 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucidform.operators.ranking import hash_order, row_numbers
 from lucidform.sources.labelled import Labelled
 
 
+def fold_starts(df: DataFrame, repeats: int, seed: int = 42, label: str = "y", rid: str = "rid") -> DataFrame:
+    """(rid, label, starts): for each repeat, the place of a row identity among those of its class in digest order.
+
+    Only identities move, once for all repeats: digests are sorted inside buckets of their leading digits, whose offsets
+    come from a table of counts.  Rows with the same identity and class take consecutive places.
+    """
+    own = df.groupBy(F.coalesce(F.col(rid), F.lit("")).alias("rid"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("copies"))
+    d = own.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = hash_order(seed, F.concat_ws("/", F.col("repeat"), F.col("rid")))
+    placed = row_numbers(d, ["repeat", "label"], order, "place", weight="copies")
+    starts = F.sort_array(F.collect_list(F.struct("repeat", "place")))  # one entry a repeat
+    return placed.groupBy("rid", "label").agg(F.transform(starts, lambda s: s["place"]).alias("starts"))
+
+
+def _with_starts(df: DataFrame, repeats: int, seed: int, label: str, rid: str) -> tuple[DataFrame, Column]:
+    """Rows with their identity's starts, and the 0-based place of a row from a start: rows move once."""
+    starts = fold_starts(df, repeats, seed, label, rid).withColumnRenamed("rid", "_rid").withColumnRenamed("label", "_label")
+    rows = df.withColumn("_rid", F.coalesce(F.col(rid), F.lit(""))).withColumn("_label", F.col(label))
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_rid", "_label").orderBy("_rid")))
+    return rows.join(starts, ["_rid", "_label"]).drop("_rid", "_label"), F.col("_copy") - 2
+
+
 def stratified_folds(df: DataFrame, k: int, repeats: int = 1, seed: int = 42, label: str = "y", rid: str = "rid") -> DataFrame:
     """Rows times repeats with a fold number; class sizes of folds differ by at most one.
 
-    Rows of a class are numbered in digest order by many tasks, never by one.
+    Rows of a class are numbered in digest order by many tasks, never by one; rows are repeated only after the last
+    shuffle.
     """
-    d = df.withColumn("repeat", F.explode(F.array(*[F.lit(i) for i in range(repeats)])))
-    order = hash_order(seed, F.concat_ws("/", F.col("repeat"), F.col(rid)))
-    return row_numbers(d, ["repeat", label], order, "_rn").withColumn("fold", F.pmod(F.col("_rn") - 1, F.lit(k)).cast("int")).drop("_rn")
+    d, offset = _with_starts(df, repeats, seed, label, rid)
+    long = d.select(*df.columns, "_copy", F.posexplode("starts").alias("repeat", "_start"))
+    return long.withColumn("fold", F.pmod(F.col("_start") + offset, F.lit(k)).cast("int")).drop("_copy", "_start")
 
 
 def with_fold_columns(lab: Labelled, k: int, repeats: int = 1, seed: int = 42) -> tuple[Labelled, list[str]]:
     """One group column per repeat holding ``repeat * k + fold``, next to the row."""
-    out, cols = lab.df, []
-    for r in range(repeats):
-        order = hash_order(seed, F.concat_ws("/", F.lit(r), F.col(lab.rid)))
-        c = f"fold_{r}"
-        out = row_numbers(out, [lab.label], order, "_rn").withColumn(c, (F.lit(r * k) + F.pmod(F.col("_rn") - 1, F.lit(k))).cast("int")).drop("_rn")
-        cols.append(c)
-    return lab.with_df(out), cols
+    d, offset = _with_starts(lab.df, repeats, seed, lab.label, lab.rid)
+    cols = {f"fold_{r}": (F.lit(r * k) + F.pmod(F.col("starts")[r] + offset, F.lit(k))).cast("int") for r in range(repeats)}
+    return lab.with_df(d.withColumns(cols).drop("_copy", "starts")), list(cols)
 
 
 def fold_split(assigned: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:

@@ -160,21 +160,29 @@ def hash_order(seed: int | str, rid: str | Column = "rid") -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(rid) if isinstance(rid, str) else rid))
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Column, out: str = "rn", digits: int | None = None) -> DataFrame:
+def row_numbers(
+    df: DataFrame, keys: Sequence[str], order: Column, out: str = "rn", digits: int | None = None, weight: str | None = None
+) -> DataFrame:
     """Exact 1-based row numbers per key in the order of a hex digest.
 
     The leading hex digits are the bucket, so a key with most rows is numbered
     by 16**digits tasks; their number follows from the size of the plan's sources.
+    With ``weight`` a row takes so many numbers and gets the first of them.
     """
     digits = max(2, -(-levels_for(df) // 4)) if digits is None else digits
-    d = df.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, digits))
-    sizes = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    size = F.lit(1) if weight is None else F.col(weight)
+    d = df.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, digits)).withColumn("_h", F.unhex("_h"))
+    sizes = d.groupBy(*keys, "_b").agg(F.sum(size).alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     heads = sizes.select(*keys, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*keys, "_b").orderBy("_h")
+    if weight is None:
+        place = F.row_number().over(inside)
+    else:
+        place = F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(weight) + 1
     # at most 16**digits offsets per key; AQE broadcasts them where that is small
     joined = _join_keys(d, heads, [*keys, "_b"], False)
-    return joined.withColumn(out, F.col("_off") + F.row_number().over(inside)).drop("_h", "_b", "_off")
+    return joined.withColumn(out, F.col("_off") + place).drop("_h", "_b", "_off")
 
 
 def dense_codes(distinct: DataFrame, column: str, levels: int | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lucidform.functions.formulas import OpSet
 from lucidform.functions.traces import Trace, apply_step, evaluate, text
-from lucidform.operators.ranking import hash_order
+from lucidform.operators.ranking import hash_order, tie_prefix
 from lucidform.operators.scoring import SWEEP, VAR_FLOOR, best_cut, covers_percentile, cut_table, percentile_f1, score
 from lucidform.sources.labelled import Labelled
 
@@ -31,6 +31,7 @@ SAMPLE_ROWS = 4096  # rows used only to place bin edges
 CELL_BUDGET = 4_000_000  # counters one task holds at a time
 OPEN_ROW_FACTOR = 8  # finish exactly once open (row, candidate) pairs drop below this many table sizes
 OPEN_ROWS_SMALL = 4_000_000
+TASK_ROWS = 500_000  # distinct values that one ordered window of the last step may hold
 BATCH = 10_000  # rows per Arrow batch
 EMIT_ROWS = 200_000  # rows per emitted Arrow batch
 MAX_REFINE = 10
@@ -609,20 +610,8 @@ def _finish(lab, traces, edges, todo, waiting, best_so_far, ops, cols, k, folded
             (F.col("n") - F.coalesce(F.try_element_at("gn", (F.col("rep") * k + F.col("f")).cast("int")), F.lit(0))).alias("n"),
             (F.col("p") - F.coalesce(F.try_element_at("gp", (F.col("rep") * k + F.col("f")).cast("int")), F.lit(0))).alias("p"),
         ).where(F.col("n") > 0)
-    heads = lab.df.sparkSession.createDataFrame(
-        [
-            (pos_of[c], r["grp"], o["bin"], o["tp0"], o["np0"], r["pos"], r["tot"])
-            for c, r, still in waiting
-            for o in still
-        ],
-        "cand int, grp int, bin int, tp0 long, np0 long, pos long, tot long",
-    )
-    w = Window.partitionBy("cand", "grp", "bin").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = rows.join(F.broadcast(heads), ["cand", "grp", "bin"]).select(
-        "cand", "grp", "v", "n", "p", "pos", "tot",
-        (F.col("tp0") + F.sum("p").over(w)).alias("tp"),
-        (F.col("np0") + F.sum("n").over(w)).alias("np"),
-    )
+    heads = [(pos_of[c], r["grp"], o["bin"], o["n"], o["tp0"], o["np0"], r["pos"], r["tot"]) for c, r, still in waiting for o in still]
+    j = _running(rows, heads, lab.df.sparkSession)
     two = F.lit(2.0)
     down = F.struct((two * F.col("tp") / (F.col("np") + F.col("pos"))).alias("f1"), F.lit(1).alias("d"), F.col("v").alias("t"))
     up = F.struct(
@@ -691,7 +680,7 @@ def percentile_scores(
                 continue
             span[c] = (r["lo"], r["hi"])
             open_bins.setdefault(c, set()).add(b)
-            heads.append((c, b, r["tp"] - r["p"], r["np"] - r["n"], r["pos"], r["tot"]))
+            heads.append((c, b, r["n"], r["tp"] - r["p"], r["np"] - r["n"], r["pos"], r["tot"]))
             load += min(r["n"], spread[c] * (1 + r["tot"] // BATCH))
         if not open_bins:
             break
@@ -724,13 +713,23 @@ def _open_prefix(lab, traces, edges, open_bins, heads, ops) -> DataFrame:
         _kernel_input(lab, ()).mapInArrow(task, _OPEN).groupBy("cand", "bin", "v").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     )
     at = {c: i for i, c in enumerate(cands)}
-    head = spark.createDataFrame(
-        [(at[c], c, *rest) for c, *rest in heads], "cand int, id int, bin int, tp0 long, np0 long, pos long, tot long"
-    )
-    w = Window.partitionBy("cand", "bin").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.join(F.broadcast(head), ["cand", "bin"]).select(
-        F.col("id").alias("cand"), "v", "p", "n",
-        (F.col("tp0") + F.sum("p").over(w)).alias("tp"),
-        (F.col("np0") + F.sum("n").over(w)).alias("np"),
-        "pos", "tot",
-    )
+    totals = _running(rows.withColumn("grp", F.lit(0)), [(at[c], 0, *rest) for c, *rest in heads], spark)
+    names = spark.createDataFrame(list(enumerate(cands)), "cand int, id int")
+    return totals.join(F.broadcast(names), "cand").select(F.col("id").alias("cand"), "v", "p", "n", "tp", "np", "pos", "tot")
+
+
+def _running(rows: DataFrame, heads: list[tuple], spark) -> DataFrame:
+    """(cand, grp, v, n, p, pos, tot, tp, np): running totals over the distinct values of open bins.
+
+    ``heads`` has (cand, grp, bin, rows, tp0, np0, pos, tot) of each bin.  A bin that may hold more than TASK_ROWS values
+    is cut at its quantiles, summed piece by piece, and ordered inside the pieces only.
+    """
+    key, more = ["cand", "grp", "bin"], ["tp0", "np0", "pos", "tot"]
+    own = spark.createDataFrame([(*h[:3], *h[4:], h[3] > TASK_ROWS) for h in heads], "cand int, grp int, bin int, tp0 long, np0 long, pos long, tot long, large boolean")
+    mine = rows.join(F.broadcast(own), key)
+    w = Window.partitionBy(*key).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    done = mine.where("NOT large").select(*key, "v", "n", "p", *more, F.sum("p").over(w).alias("_tp"), F.sum("n").over(w).alias("_np"))
+    if any(h[3] > TASK_ROWS for h in heads):
+        cut = tie_prefix(mine.where("large").select(*key, "v", "p", "n"), key).select(*key, "v", "n", "p", F.col("tp").alias("_tp"), F.col("np").alias("_np"))
+        done = done.unionByName(cut.join(F.broadcast(own.drop("large")), key).select(*done.columns))
+    return done.select("cand", "grp", "v", "n", "p", "pos", "tot", (F.col("tp0") + F.col("_tp")).alias("tp"), (F.col("np0") + F.col("_np")).alias("np"))

@@ -41,6 +41,13 @@ def _l01(spark, sf):
     return stratified_folds(urgent(spark, sf).df, 5, 3).select("repeat", "fold", "rid")
 
 
+@query("l01_twenty_by_five", f"SELECT repeat, fold, y, count(*) AS n, min(rid) AS least, max(rid) AS most FROM {_fold_sql(5, 20)} GROUP BY repeat, fold, y")
+def _l01b(spark, sf):
+    """Twenty repeats of five folds, from one sort of identities."""
+    d = stratified_folds(urgent(spark, sf).df, 5, 20)
+    return d.groupBy("repeat", "fold", "y").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("least"), F.max("rid").alias("most"))
+
+
 @query("d13_fold_join", f"SELECT fold AS held, 'train' AS part, count(*) AS n, (sum(y))::BIGINT AS positives FROM (SELECT a.y, f.fold FROM {_fold_sql(4, 1)} a, range(4) f(fold) WHERE a.fold <> f.fold) GROUP BY fold UNION ALL SELECT fold, 'test', count(*), (sum(y))::BIGINT FROM {_fold_sql(4, 1)} GROUP BY fold")
 def _d13(spark, sf):
     a = stratified_folds(urgent(spark, sf).df, 4)

@@ -3,8 +3,11 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lucidform.functions.formulas import BINARY, UNARY, OpSet
 from lucidform.functions.traces import apply_step, binary, evaluate, leaf, text, unary
+from lucidform.operators import screening
 from lucidform.operators.scoring import percentile_f1, score
 from lucidform.operators.screening import percentile_scores, quantile_edges, search_scores, split_edges
 
@@ -106,6 +109,43 @@ def test_screening_keeps_the_true_best(tied, small, monkeypatch):
             assert got[t].auroc_low - 1e-9 <= brute_auroc(values(x, t), y) <= got[t].auroc_high + 1e-9
 
 
+def test_last_step_cuts_large_bins(make, monkeypatch):
+    """Every open bin goes through the piecewise sums, after one pass; also for percentiles."""
+    monkeypatch.setattr(screening, "TASK_ROWS", 20)
+    monkeypatch.setattr(screening, "MAX_REFINE", 1)
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(1500, 3)), 2)
+    y = (x[:, 0] + rng.normal(size=1500) > 0.3).astype(int)
+    lab = make(x, y)
+    traces = [leaf(0), leaf(1), binary(leaf(0), "+", 2), binary(leaf(0), "*", 1)]
+    for s in search_scores(lab, traces, keep=4):
+        assert s.f1 == pytest.approx(brute_f1(values(x, s.trace), y), abs=1e-12)
+    ps = list(screening.SWEEP)
+    for r in percentile_scores(lab, traces).collect():
+        assert r["f1"] == pytest.approx(brute_percentile(values(x, traces[r["cand"]]), y, ps)[0], abs=1e-12)
+
+
+def test_one_dominating_open_bin_is_spread(spark, monkeypatch):
+    """40,000 distinct values of one open bin: no task of the ordered step gets more than a small share."""
+    monkeypatch.setattr(screening, "TASK_ROWS", 5000)
+    n = 40_000
+    rows = spark.range(n).selectExpr("0 AS cand", "0 AS grp", "3 AS bin", "double(id) * id AS v", "1L AS n", "id % 2 AS p")
+    small = spark.range(100).selectExpr("1 AS cand", "0 AS grp", "2 AS bin", "double(id) AS v", "1L AS n", "id % 2 AS p")
+    heads = [(0, 0, 3, n, 10, 20, n // 2 + 15, n + 50), (1, 0, 2, 100, 0, 0, 50, 100)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = screening._running(rows.unionByName(small), heads, spark)
+        most = got.where("cand = 0").groupBy(F.spark_partition_id().alias("part")).count().agg(F.max("count")).first()[0]
+        assert most <= 5000
+        top = got.where("cand = 0").orderBy("v").first()
+        assert (top["np"], top["tp"]) == (20 + n, 10 + n // 2) and got.count() == n + 100
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_screening_by_training_fold(tied):
     from lucidform.operators.folds import with_fold_columns
 

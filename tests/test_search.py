@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lucidform.functions.formulas import Op, OpSet, python_op
 from lucidform.functions.traces import binary, leaf, text
 from lucidform.operators import pruning as pr
-from lucidform.operators.folds import stratified_folds
+from lucidform.operators.folds import stratified_folds, with_fold_columns
 from lucidform.operators.metrics import student_p
 from lucidform.operators.projections import PCA, PLS, LinearModel, augment
 from lucidform.operators.ranking import dense_codes, exact_quantiles, row_numbers, hash_order
@@ -66,6 +66,39 @@ def test_folds_are_balanced(make):
             assert len(c) == 5 and max(c) - min(c) <= 1
 
 
+def exchanges(df, column):
+    """Shuffles of the plan whose rows hold the column."""
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.inputPlan())
+            continue
+        found += node.nodeName() == "Exchange" and f"{column}#" in node.output().mkString(" ")
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_rows_move_once_for_all_repeats(make):
+    lab = table(make, "circles", 203)
+    tagged, cols = with_fold_columns(lab, 5, 20)
+    assert len(cols) == 20 and exchanges(tagged.df, "x1") == 1 and exchanges(stratified_folds(lab.df, 5, 20), "x1") == 1
+    long = {(r["repeat"], r["rid"]): r["fold"] for r in stratified_folds(lab.df, 5, 20).collect()}
+    for r in tagged.df.collect():
+        assert [r[c] for c in cols] == [5 * k + long[k, r["rid"]] for k in range(20)]
+
+
+def test_folds_of_repeated_and_missing_identities(spark):
+    rows = [("a", 1, i) for i in range(7)] + [(None, 1, i) for i in range(6)] + [("a", 0, i) for i in range(9)] + [(str(i), 0, i) for i in range(11)]
+    d = spark.createDataFrame(rows, "rid string, y int, x int").repartition(3)
+    got = stratified_folds(d, 4, 3).collect()
+    assert len(got) == 3 * len(rows)
+    for rep in range(3):
+        for y in (0, 1):
+            c = [sum(r["fold"] == f for r in got if r["repeat"] == rep and r["y"] == y) for f in range(4)]
+            assert max(c) - min(c) <= 1 and sum(c) == sum(r[1] == y for r in rows)
+
+
 def test_fair_cv_on_a_clean_rule(make):
     rows = fair_cv(table(make, "linear", 300), folds=3, depth=2, beam=5, pls=1).collect()
     assert len(rows) == 3 and min(r["test_f1"] for r in rows) > 0.9

@@ -49,6 +49,13 @@ def with_fold_columns(lab: Labelled, k: int, repeats: int = 1, seed: int = 42) -
     return lab.with_df(d.withColumns(cols).drop("_copy", "starts")), list(cols)
 
 
+def with_fold_array(lab: Labelled, k: int, repeats: int = 1, seed: int = 42, out: str = "folds") -> Labelled:
+    """One array column with ``repeat * k + fold`` for each repeat: a plan of the same width for any number of repeats."""
+    d, offset = _with_starts(lab.df, repeats, seed, lab.label, lab.rid)
+    number = F.transform("starts", lambda start, r: (r * k + F.pmod(start + offset, F.lit(k))).cast("int"))
+    return lab.with_df(d.withColumn(out, number).drop("_copy", "starts"))
+
+
 def fold_split(assigned: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     """(train, test) of one fold."""
     return assigned.where(F.col("fold") != fold), assigned.where(F.col("fold") == fold)

@@ -251,19 +251,53 @@ def ci_outcome(compared: DataFrame, margin: float = 0.005, z: float = 1.96) -> D
     return c.withColumn("outcome", F.when(tie, "tie").when(F.col("diff") > 0, "win").otherwise("loss"))
 
 
+FRACTION_STEPS = 200  # far more than the continued fraction needs on either side of its switch
+
+
+def _gamma_ratio(a: Column) -> Column:
+    """Gamma(a + 1/2) / Gamma(a) for a >= 1/2: Stirling's series at a + 16, brought down by the recurrence."""
+    z = a + 16
+    series = F.sqrt(z) * (1 - 1 / (8 * z) + 1 / (128 * z * z) + 5 / (1024 * F.pow(z, F.lit(3))) - 21 / (32768 * F.pow(z, F.lit(4))) - 399 / (262144 * F.pow(z, F.lit(5))))
+    for k in range(16):
+        series = series * (a + k) / (a + k + 0.5)
+    return series
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, from its last of a fixed number of terms."""
+
+    def term(acc: Column, k: Column) -> Column:
+        m = F.floor(k / 2)
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return 1 + F.when(F.pmod(k, F.lit(2)) == 0, even).otherwise(odd) / acc
+
+    return 1 / F.aggregate(F.sequence(F.lit(FRACTION_STEPS), F.lit(1), F.lit(-1)), F.lit(1.0), term)
+
+
+def _tail_fraction(a: Column, y: Column) -> Column:
+    """The continued fraction of the incomplete beta function with b = 1/2 at 1 - y that holds near 1: it needs y and
+    a y alone, so very many degrees of freedom cost no digits."""
+    b, x = F.lit(0.5), 1 - y
+    lean = a * y - b * x
+
+    def term(acc: Column, k: Column) -> Column:
+        n = k - 1
+        inner = F.when(n > 0, n * (b - n) * x / (a + 2 * n - 1)).otherwise(0.0)
+        beta = n + inner + (a + n) / (a + 2 * n + 1) * (lean + 1 + n * (1 + y))
+        alpha = (a + k - 1) * (a + b + k - 1) * k * (b - k) * x * x / ((a + 2 * k - 1) * (a + 2 * k - 1))
+        return beta + alpha / acc
+
+    return 1 / F.aggregate(F.sequence(F.lit(FRACTION_STEPS), F.lit(1), F.lit(-1)), F.lit(2.0 * FRACTION_STEPS), term)
+
+
 def student_p(t: Column, dof: Column) -> Column:
-    """Two-sided p of Student's t for whole degrees of freedom: the finite series in the angle atan(t / sqrt(dof))."""
-    angle = F.atan(F.abs(t) / F.sqrt(dof))
-    even = F.pmod(dof, F.lit(2)) == 0
-    start = F.when(even, F.lit(1.0)).otherwise(F.cos(angle))
-    last = F.floor((dof - F.when(even, 2).otherwise(3)) / 2).cast("int")
-    steps = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-
-    def add(acc: Column, k: Column) -> Column:
-        ratio = F.when(even, (2 * k - 1) / (2 * k)).otherwise(2 * k / (2 * k + 1))
-        term = acc["term"] * ratio * F.cos(angle) * F.cos(angle)
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
-
-    series = F.aggregate(steps, F.struct(start.alias("term"), start.alias("sum")), add)["sum"]
-    odd = F.lit(2.0 / math.pi) * (angle + F.when(dof > 1, F.sin(angle) * series).otherwise(0.0))
-    return F.greatest(F.lit(1.0) - F.when(even, F.sin(angle) * series).otherwise(odd), F.lit(0.0))
+    """Two-sided p of Student's t: the incomplete beta function at dof / (dof + t^2), by a fixed number of steps for
+    any number of degrees of freedom."""
+    t, dof = t.cast("double"), dof.cast("double")
+    a, half, far = dof / 2, F.lit(0.5), t * t / (dof + t * t)
+    front = F.exp(-a * F.log1p(t * t / dof)) * F.sqrt(far) * _gamma_ratio(a) / math.sqrt(math.pi)
+    tail = front * _tail_fraction(a, far)
+    body = 1 - front / half * _beta_fraction(half, a, far)
+    p = F.when(t * t >= 3, tail).otherwise(body)
+    return F.when(t == 0, F.lit(1.0)).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Estimator, Model
+from pyspark.ml.util import MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,9 +57,97 @@ def batch_map(df: DataFrame, features: Sequence[str], names: Sequence[str], fn)
     return wide.select(*df.columns, *[F.col("_m")[i].alias(n) for i, n in enumerate(names)])
 
 
-class LinearModel(Model):
+class SavedModel(Model, MLWritable, MLReadable):
+    """A fitted projection that ML's writers and readers keep: ``FIELDS`` are its constructor's arguments and its
+    attributes.  A file holds a row for each field of the model and of the models inside it."""
+
+    FIELDS: tuple[str, ...] = ()
+
+    def write(self) -> MLWriter:
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ModelReader()
+
+
+def _rows_of(model: SavedModel, at: str = "") -> list[tuple]:
+    """(path, kind, shape, numbers, texts) of the model's fields, models inside it included."""
+    rows = [(at, "model", [], [], [type(model).__name__])]
+    for name in model.FIELDS:
+        value, path = getattr(model, name), f"{at}/{name}"
+        if isinstance(value, SavedModel):
+            rows += _rows_of(value, path)
+        elif isinstance(value, str):
+            rows.append((path, "text", [], [], [value]))
+        elif isinstance(value, (list, tuple)) and value and isinstance(value[0], SavedModel):
+            rows.append((path, "models", [len(value)], [], []))
+            rows += [r for k, m in enumerate(value) for r in _rows_of(m, f"{path}/{k}")]
+        elif isinstance(value, (list, tuple)):
+            rows.append((path, "texts", [], [], list(value)))
+        else:
+            array = np.asarray(value)
+            kind = "number" if array.ndim == 0 else "integers" if array.dtype.kind == "i" else "numbers"
+            rows.append((path, kind, list(array.shape), array.astype(float).ravel().tolist(), []))
+    return rows
+
+
+def _model_from(rows: dict[str, tuple], at: str = "") -> SavedModel:
+    cls = next(c for c in SavedModel.__subclasses__() if c.__name__ == rows[at][4][0])
+
+    def value(path: str):
+        _, kind, shape, numbers, texts = rows[path]
+        if kind == "model":
+            return _model_from(rows, path)
+        if kind == "models":
+            return [_model_from(rows, f"{path}/{k}") for k in range(shape[0])]
+        if kind in ("text", "texts"):
+            return texts[0] if kind == "text" else list(texts)
+        array = np.array(numbers).reshape(shape)
+        return float(array) if kind == "number" else array.astype(int) if kind == "integers" else array
+
+    return cls(*[value(f"{at}/{name}") for name in cls.FIELDS])
+
+
+class _ModelWriter(MLWriter):
+    def __init__(self, model: SavedModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        schema = "path string, kind string, shape array<int>, numbers array<double>, texts array<string>"
+        self.sparkSession.createDataFrame(_rows_of(self.model), schema).coalesce(1).write.parquet(path)
+
+
+class _ModelReader(MLReader):
+    def load(self, path: str) -> SavedModel:
+        return _model_from({r["path"]: tuple(r) for r in self.sparkSession.read.parquet(path).collect()})  # one row a field
+
+
+class Chain(SavedModel):
+    """Fitted projections applied one after the other."""
+
+    FIELDS = ("models",)
+
+    def __init__(self, models: Sequence[SavedModel]):
+        super().__init__()
+        self.models = list(models)
+
+    @property
+    def names(self) -> list[str]:
+        return [n for m in self.models for n in m.names]
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        for m in self.models:
+            dataset = m.transform(dataset)
+        return dataset
+
+
+class LinearModel(SavedModel):
     """Adds ``(x - mean) / scale @ weights`` as columns."""
 
+    FIELDS = ("features", "mean", "scale", "weights", "prefix")
+
     def __init__(self, features: Sequence[str], mean, scale, weights, prefix: str):
         super().__init__()
         self.features = list(features)
@@ -222,8 +311,8 @@ class SparsePCA(Projection):
         return LinearModel(self.features, mean, std, _fix_signs(np.array(out).T), self.prefix)
 
 
-#: Products whose moment matrix (this number squared, in doubles) the driver holds at most.
-MOST_PRODUCTS = 8192
+#: Up to so many products the driver holds their moment matrix; beyond that a block of a few columns.
+GRAM_PRODUCTS = 1024
 
 
 def product_moments(df: DataFrame, features: Sequence[str], left: np.ndarray, right: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
@@ -268,9 +357,52 @@ def product_moments(df: DataFrame, features: Sequence[str], left: np.ndarray, ri
     return n, mean, np.array([got[i] for i in range(len(left))])
 
 
-class InteractionModel(Model):
+def product_directions(df: DataFrame, features: Sequence[str], left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means of the products and the ``k`` leading directions of the centred ones, by block power iterations.
+
+    A round is one pass in which every task sends products times a few columns, summed in blocks of rows.
+    """
+    from lucidform.operators.tensors import leading_directions
+
+    wide = df.select(F.array(*[F.col(f).cast("double") for f in features]).alias("_m"))
+
+    def times(v: np.ndarray | None, mean: np.ndarray | None) -> np.ndarray:
+        """Sums of the products and their number, or X'Xv of the centred products X."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(left) + 1, 1) if v is None else v.shape)
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    x = np.asarray(part.column(0).flatten()).reshape(part.num_rows, len(features))
+                    z = x[:, left] * x[:, right]
+                    if v is None:
+                        total[:-1, 0] += z.sum(0)
+                        total[-1, 0] += len(z)
+                    else:
+                        z -= mean
+                        total += z.T @ (z @ v)
+            for b, lo in enumerate(range(0, len(total), 4096)):
+                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([total[lo : lo + 4096].tobytes()], pa.binary())], names=["b", "v"])
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"b": pdf["b"].iloc[:1], "v": [np.sum([np.frombuffer(x) for x in pdf["v"]], axis=0).tobytes()]})
+
+        rows = wide.mapInArrow(run, "b bigint, v binary").groupBy("b").applyInPandas(add, "b bigint, v binary").collect()
+        flat = np.concatenate([np.frombuffer(r["v"]) for r in sorted(rows, key=lambda r: r["b"])])
+        return flat if v is None else flat.reshape(v.shape)
+
+    first = times(None, None)
+    mean = first[:-1] / max(first[-1], 1.0)
+    _, vectors = leading_directions(lambda v: times(v, mean), len(left), min(k + 8, len(left)))
+    return mean, vectors[:, :k]
+
+
+class InteractionModel(SavedModel):
     """Pair products, then a linear map."""
 
+    FIELDS = ("features", "left", "right", "inner")
+
     def __init__(self, features: Sequence[str], left: np.ndarray, right: np.ndarray, inner: LinearModel):
         super().__init__()
         self.features, self.left, self.right, self.inner = list(features), left, right, inner
@@ -298,16 +430,20 @@ class InteractionSVD(Projection):
         if self.pairs is not None and self.pairs < len(left):
             some = np.sort(np.random.default_rng(42).choice(len(left), self.pairs, replace=False))
             left, right = left[some], right[some]
-        if len(left) > MOST_PRODUCTS:
-            raise ValueError(f"{len(left)} products: give pairs, at most {MOST_PRODUCTS}")
-        _, mean, s = product_moments(dataset, self.features, left, right)
-        w, v = np.linalg.eigh(s)
-        top = _fix_signs(v[:, np.argsort(w)[::-1][: min(self.k, len(w))]])
+        if len(left) > GRAM_PRODUCTS:
+            mean, top = product_directions(dataset, self.features, left, right, self.k)
+        else:
+            _, mean, s = product_moments(dataset, self.features, left, right)
+            w, v = np.linalg.eigh(s)
+            top = v[:, np.argsort(w)[::-1][: min(self.k, len(w))]]
+        top = _fix_signs(top)
         inner = LinearModel([f"{self.features[i]}*{self.features[j]}" for i, j in zip(left, right)], mean, np.ones(len(mean)), top, self.prefix)
         return InteractionModel(self.features, left, right, inner)
 
 
-class FourierModel(Model):
+class FourierModel(SavedModel):
+    FIELDS = ("features", "w", "b", "prefix")
+
     def __init__(self, features, w: np.ndarray, b: np.ndarray, prefix: str):
         super().__init__()
         self.features, self.w, self.b, self.prefix = list(features), w, b, prefix
@@ -341,7 +477,9 @@ class RandomFourier(Projection):
         return FourierModel(self.features, w, rng.uniform(0.0, 2.0 * np.pi, self.k), self.prefix)
 
 
-class KernelModel(Model):
+class KernelModel(SavedModel):
+    FIELDS = ("features", "landmarks", "gamma", "inner")
+
     def __init__(self, features, landmarks: np.ndarray, gamma: float, inner: LinearModel):
         super().__init__()
         self.features, self.landmarks, self.gamma, self.inner = list(features), landmarks, gamma, inner
@@ -384,7 +522,9 @@ class NystromKPCA(Projection):
         return KernelModel(self.features, z, self.gamma, inner)
 
 
-class NeuralModel(Model):
+class NeuralModel(SavedModel):
+    FIELDS = ("features", "mean", "scale", "w", "b", "prefix")
+
     def __init__(self, features, mean, scale, w, b, prefix: str):
         super().__init__()
         self.features, self.mean, self.scale, self.w, self.b, self.prefix = list(features), mean, scale, w, b, prefix

@@ -15,6 +15,7 @@ from lucidform.functions.traces import Trace, binary, leaf, project_formulas, te
 from lucidform.operators import candidates as cd
 from lucidform.operators.scoring import score
 from lucidform.operators.screening import _batch_columns, _tree, _walk
+from lucidform.session import written
 from lucidform.sources.labelled import Labelled
 
 INLINE = 64  # larger families of criteria are evaluated on Arrow batches
@@ -42,7 +43,7 @@ def catalog(lab: Labelled, depth: int = 2, ops: OpSet | str = "minimal") -> Data
         )
         s = score(lab, traces, ops=ops)
         if d < depth:
-            s = s.persist()  # a level is needed again to grow the next one
+            s = written(s, "level")  # needed again to grow the next one
             keep = {r["formula"] for r in s.where(F.col("f1") > 0).select("formula").collect()}
             level = cd.expand(cd.from_traces(spark, [t for t in traces if text(t, names) in keep], names), names, ops)
         parts.append(s.where(F.col("f1") > 0).select("formula", "f1", "auroc").join(F.broadcast(nodes), "formula"))

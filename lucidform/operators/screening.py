@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from lucidform.functions.formulas import OpSet
-from lucidform.functions.traces import Trace, apply_step, evaluate, text
+from lucidform.functions.formulas import OpSet, sanitize_array
+from lucidform.functions.traces import Trace, apply_step, evaluate, feats, text
 from lucidform.operators.ranking import hash_order, tie_prefix
 from lucidform.operators.scoring import SWEEP, VAR_FLOOR, best_cut, covers_percentile, cut_table, percentile_f1, score
 from lucidform.sources.labelled import Labelled
@@ -148,10 +149,46 @@ def _batch_columns(batch: pa.RecordBatch, d: int) -> list[np.ndarray]:
 
 
 def _batch_groups(batch: pa.RecordBatch, d: int, n_sets: int) -> list[np.ndarray]:
-    return [batch.column(d + 1 + s).to_numpy(zero_copy_only=False).astype(np.int64) for s in range(n_sets)]
+    if not n_sets:
+        return [np.zeros(batch.num_rows, dtype=np.int64)]
+    flat = batch.column(d + 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return list(np.ascontiguousarray(flat.reshape(-1, n_sets).T))
 
 
-def _histogram_task(traces, edges, shift, ops, d, n_sets, n_groups):
+@dataclass
+class Rotations:
+    """Derived columns whose weights differ by training group: ``(x - mean) / scale @ weights`` of the group.
+
+    ``folds`` groups belong to one repeat.  Formulas name the derived columns after the table's own; a row has as many
+    values of them as it has training groups, so they are made inside the tasks and never stored.
+    """
+
+    names: list[str]
+    mean: np.ndarray  # (groups, features)
+    scale: np.ndarray
+    weights: np.ndarray  # (groups, features, derived columns)
+    folds: int
+
+    def columns(self, group: int, columns: Sequence[np.ndarray]) -> list[np.ndarray]:
+        x = (np.stack(columns, axis=1) - self.mean[group]) / self.scale[group]
+        return [sanitize_array(v) for v in (x @ self.weights[group]).T]
+
+
+def _passes(batch: pa.RecordBatch, d: int, n_sets: int, own: Rotations | None):
+    """(columns, labels, group numbers) to count a batch by: once, or once for each training group with its columns."""
+    cols, y = _batch_columns(batch, d), batch.column(d).to_numpy(zero_copy_only=False).astype(np.int64)
+    sets = _batch_groups(batch, d, n_sets)
+    if own is None:
+        yield cols, y, sets
+        return
+    for g in range(len(own.mean)):
+        mine = sets[g // own.folds] != g
+        if mine.any():
+            part = [c[mine] for c in cols]
+            yield part + own.columns(g, part), y[mine], [np.full(int(mine.sum()), g)]
+
+
+def _histogram_task(traces, edges, shift, ops, d, n_sets, n_groups, own=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = _tree(traces)
         width = max(len(e) for e in edges) + 1
@@ -161,12 +198,7 @@ def _histogram_task(traces, edges, shift, ops, d, n_sets, n_groups):
         # one value seen per bin, and whether another one was seen too
         seen = np.full((len(traces), width), np.nan)
         many = np.zeros((len(traces), width), dtype=bool)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            cols = _batch_columns(batch, d)
-            y = batch.column(d).to_numpy(zero_copy_only=False).astype(np.int64)
-            groups = _batch_groups(batch, d, n_sets) or [np.zeros(len(y), dtype=np.int64)]
+        for cols, y, groups in (p for batch in batches if batch.num_rows for p in _passes(batch, d, n_sets, own)):
             base = [(g * width) * 2 + y for g in groups]
             for c, v in _walk(tree, cols, ops):
                 at = np.searchsorted(edges[c], v, side="right")
@@ -224,17 +256,12 @@ def _open_batch(parts: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _open_rows_task(traces, edges, wanted, ops, d, n_sets):
+def _open_rows_task(traces, edges, wanted, ops, d, n_sets, own=None):
     """Rows of open bins, counted per distinct value within a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = _tree(traces)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            cols = _batch_columns(batch, d)
-            y = batch.column(d).to_numpy(zero_copy_only=False).astype(np.int64)
-            groups = _batch_groups(batch, d, n_sets) or [np.zeros(len(y), dtype=np.int64)]
+        for cols, y, groups in (p for batch in batches if batch.num_rows for p in _passes(batch, d, n_sets, own)):
             out, held = [], 0
             for c, v in _walk(tree, cols, ops):
                 at = np.searchsorted(edges[c], v, side="right")
@@ -259,11 +286,12 @@ def _open_rows_task(traces, edges, wanted, ops, d, n_sets):
 
 
 def _kernel_input(lab: Labelled, group_cols: Sequence[str]) -> DataFrame:
-    return lab.df.select(
-        *[F.col(f).cast("double").alias(f) for f in lab.features],
-        F.col(lab.label).cast("int").alias("_y"),
-        *[F.col(g).cast("int") for g in group_cols],
-    )
+    """Features, label and one array of group numbers."""
+    if len(group_cols) == 1 and isinstance(lab.df.schema[group_cols[0]].dataType, ArrayType):
+        groups = [F.col(group_cols[0]).cast("array<int>").alias("_groups")]
+    else:
+        groups = [F.array(*[F.col(g).cast("int") for g in group_cols]).alias("_groups")] if group_cols else []
+    return lab.df.select(*[F.col(f).cast("double").alias(f) for f in lab.features], F.col(lab.label).cast("int").alias("_y"), *groups)
 
 
 def histograms(
@@ -275,11 +303,15 @@ def histograms(
     group_cols: Sequence[str] = (),
     n_groups: int = 1,
     max_tasks: int | None = None,
+    n_sets: int | None = None,
+    own: Rotations | None = None,
 ) -> DataFrame:
     """(cand, grp, bin, n, p, s1, s2) over all rows.
 
     ``group_cols`` hold group numbers, one column per way of grouping the rows
-    (a repeat of a fold split); numbers of different columns do not overlap.
+    (a repeat of a fold split) or one array column with ``n_sets`` numbers; numbers of
+    different ways do not overlap.  With ``own`` the formulas use columns of each training
+    group, and counts are those of the training parts.
     ``max_tasks`` coalesces the input without a shuffle: each task sends at most
     candidates x bins counters, so fewer tasks mean less to add up.
     """
@@ -292,7 +324,7 @@ def histograms(
     out = None
     for i in range(0, len(traces), per):
         task = _histogram_task(
-            list(traces[i : i + per]), list(edges[i : i + per]), list(shift[i : i + per]), ops, len(lab.features), len(group_cols), n_groups
+            list(traces[i : i + per]), list(edges[i : i + per]), list(shift[i : i + per]), ops, len(lab.features), len(group_cols) if n_sets is None else n_sets, n_groups, own
         )
         part = src.mapInArrow(task, _HIST).withColumn("cand", F.col("cand") + i)
         out = part if out is None else out.unionByName(part)
@@ -468,11 +500,13 @@ def search_scores(
     folds: tuple[Sequence[str], int, int] | None = None,
     eligible: Sequence[Sequence[int]] | None = None,
     max_tasks: int | None = None,
+    own: Rotations | None = None,
 ) -> list[Score]:
     """Exact scores of the candidates that can be among the best ``keep``.
 
     With ``folds = (columns, repeats, k)`` every candidate is scored on the
     training part of each fold; ``eligible`` may limit candidates to some folds.
+    ``own`` holds columns that each training part has of its own.
     The result covers at least the true best ``keep`` per group, in no order.
     """
     ops = ops or OpSet()
@@ -486,8 +520,12 @@ def search_scores(
     cols, repeats, k = folds if folds else ((), 1, 1)
     n_groups = repeats * k if folds else 1
     sample = sample if sample is not None else sample_columns(lab)
+    d = len(lab.features)
+    derived = [max(feats(t)) >= d for t in traces]
+    some = range(0, n_groups, max(1, n_groups // 5))
     with np.errstate(all="ignore"):
-        values = [evaluate(t, sample, ops) for t in traces]
+        wide = {g: [*sample, *own.columns(g, sample)] for g in some} if own else {}
+        values = [np.concatenate([evaluate(t, wide[g], ops) for g in some]) if w else evaluate(t, sample, ops) for t, w in zip(traces, derived)]
     edges = [quantile_edges(v) for v in values]
     shift = [float(np.median(v)) if len(v) else 0.0 for v in values]
     # formulas with few distinct values collapse inside a batch, however many rows they cover
@@ -497,14 +535,21 @@ def search_scores(
 
     best: dict[tuple[int, int], Score] = {}
     settled: list[np.ndarray | None] = [None] * len(traces)
-    live = list(range(len(traces)))
+    live = sorted(range(len(traces)), key=lambda c: (derived[c], c))
     spark = lab.df.sparkSession
-    for turn in range(MAX_REFINE):
+
+    def counted(which: list[int], rotations: Rotations | None) -> DataFrame:
         hist = histograms(
-            lab, [traces[c] for c in live], [edges[c] for c in live], [shift[c] for c in live], ops, cols, n_groups, max_tasks
+            lab, [traces[c] for c in which], [edges[c] for c in which], [shift[c] for c in which], ops, cols, n_groups, max_tasks, repeats if folds else 0, rotations
         )
-        if folds:
-            hist = train_counts(hist, repeats, k)
+        return train_counts(hist, repeats, k) if folds and rotations is None else hist.drop("a")
+
+    for turn in range(MAX_REFINE):
+        plain, rotated = [c for c in live if not derived[c]], [c for c in live if derived[c]]
+        hist = counted(plain, None) if plain else None
+        if rotated:
+            more = counted(rotated, own).withColumn("cand", F.col("cand") + len(plain))
+            hist = more if hist is None else hist.unionByName(more)
         b = bounds(hist)
         if eligible is not None:
             pairs = [(i, g) for i, c in enumerate(live) for g in eligible[c]]
@@ -542,9 +587,9 @@ def search_scores(
             break
         table_rows = max(r["tot"] for r in rows)
         if open_rows <= max(OPEN_ROW_FACTOR * table_rows, OPEN_ROWS_SMALL) or turn == MAX_REFINE - 1:
-            _finish(lab, traces, edges, todo, waiting, best, ops, cols, k, bool(folds))
+            _finish(lab, traces, edges, todo, waiting, best, ops, cols, folds, derived, own)
             break
-        live = sorted(todo)
+        live = sorted(todo, key=lambda c: (derived[c], c))
         for c in live:
             edges[c], settled[c] = split_edges(edges[c], sorted(todo[c]), *span[c])
     bars = _bars(best, keep)
@@ -577,39 +622,27 @@ def _edge_score(trace: Trace, r: dict, edges: np.ndarray) -> Score:
     return Score(trace, r["grp"], up["up"], -1, float(-thr), r["auroc_low"], r["auroc_high"])
 
 
-def _finish(lab, traces, edges, todo, waiting, best_so_far, ops, cols, k, folded) -> None:
+def _finish(lab, traces, edges, todo, waiting, best_so_far, ops, cols, folds, derived, own) -> None:
     """Count the rows of open bins per distinct value and take the best threshold."""
-    cands = sorted(todo)
+    cands = sorted(todo, key=lambda c: (derived[c], c))
     pos_of = {c: i for i, c in enumerate(cands)}
-    wanted = []
-    for c in cands:
-        w = np.zeros(len(edges[c]) + 1, dtype=bool)
-        w[list(todo[c])] = True
-        wanted.append(w)
-    task = _open_rows_task(
-        [traces[c] for c in cands], [edges[c] for c in cands], wanted, ops, len(lab.features), len(cols)
-    )
-    rows = (
-        _kernel_input(lab, cols)
-        .mapInArrow(task, _OPEN)
-        .groupBy("cand", "grp", "bin", "v")
-        .agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    )
-    if folded:
-        # counts of a fold's training part, per distinct value
-        h = rows.withColumn("rep", F.floor(F.col("grp") / k))
-        total = h.groupBy("cand", "rep", "bin", "v").agg(
-            F.sum("n").alias("n"), F.sum("p").alias("p"), F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("gn"),
-            F.map_from_entries(F.collect_list(F.struct("grp", "p"))).alias("gp"),
-        )
-        rows = total.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select(
-            "cand",
-            (F.col("rep") * k + F.col("f")).cast("int").alias("grp"),
-            "bin",
-            "v",
-            (F.col("n") - F.coalesce(F.try_element_at("gn", (F.col("rep") * k + F.col("f")).cast("int")), F.lit(0))).alias("n"),
-            (F.col("p") - F.coalesce(F.try_element_at("gp", (F.col("rep") * k + F.col("f")).cast("int")), F.lit(0))).alias("p"),
-        ).where(F.col("n") > 0)
+    n_sets = folds[1] if folds else 0
+
+    def counted(which: list[int], rotations: Rotations | None) -> DataFrame:
+        wanted = []
+        for c in which:
+            w = np.zeros(len(edges[c]) + 1, dtype=bool)
+            w[list(todo[c])] = True
+            wanted.append(w)
+        task = _open_rows_task([traces[c] for c in which], [edges[c] for c in which], wanted, ops, len(lab.features), n_sets, rotations)
+        found = _kernel_input(lab, cols).mapInArrow(task, _OPEN).groupBy("cand", "grp", "bin", "v").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+        return _training_values(found, folds[2]) if folds and rotations is None else found
+
+    plain, rotated = [c for c in cands if not derived[c]], [c for c in cands if derived[c]]
+    rows = counted(plain, None) if plain else None
+    if rotated:
+        more = counted(rotated, own).withColumn("cand", F.col("cand") + len(plain))
+        rows = more if rows is None else rows.unionByName(more.select(*rows.columns))
     heads = [(pos_of[c], r["grp"], o["bin"], o["n"], o["tp0"], o["np0"], r["pos"], r["tot"]) for c, r, still in waiting for o in still]
     j = _running(rows, heads, lab.df.sparkSession)
     two = F.lit(2.0)
@@ -627,6 +660,21 @@ def _finish(lab, traces, edges, todo, waiting, best_so_far, ops, cols, k, folded
             s.f1, s.direction, s.threshold = b["f1"], b["d"], b["t"]
 
 
+def _training_values(rows: DataFrame, k: int) -> DataFrame:
+    """Counts of a fold's training part, per distinct value, from those of the folds."""
+    h = rows.withColumn("rep", F.floor(F.col("grp") / k))
+    total = h.groupBy("cand", "rep", "bin", "v").agg(
+        F.sum("n").alias("n"), F.sum("p").alias("p"), F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("gn"),
+        F.map_from_entries(F.collect_list(F.struct("grp", "p"))).alias("gp"),
+    )
+    grp = (F.col("rep") * k + F.col("f")).cast("int")
+    return total.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select(
+        "cand", grp.alias("grp"), "bin", "v",
+        (F.col("n") - F.coalesce(F.try_element_at("gn", grp), F.lit(0))).alias("n"),
+        (F.col("p") - F.coalesce(F.try_element_at("gp", grp), F.lit(0))).alias("p"),
+    ).where(F.col("n") > 0)
+
+
 def percentile_scores(
     lab: Labelled,
     traces: Sequence[Trace],

@@ -105,25 +105,73 @@ def spectrum(cells: DataFrame, keys: Sequence[str], symmetric: bool = True) -> D
     )
 
 
-def mode_gram(coo: DataFrame, modes: Sequence[str], keep: Sequence[str], keys: Sequence[str] = (), salt: int = 1) -> DataFrame:
+#: Entries of one combination of the other modes that meet in one piece; larger ones are split into blocks of so many.
+BLOCK = 1024
+
+
+def _outer(rows: pa.RecordBatch, keep: Sequence[str], keys: Sequence[str], starts: np.ndarray) -> pa.Table:
+    """Products of all pairs of entries inside the groups that begin at ``starts``, added up by (keys, a.., b..)."""
+    sizes = np.diff(np.append(starts, rows.num_rows))
+    each = np.repeat(sizes, sizes)
+    left = np.repeat(np.arange(rows.num_rows), each)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(np.repeat(starts, sizes), each)
+    own, cross = rows.column("_own").to_numpy(), rows.column("_cross").to_numpy(zero_copy_only=False)
+    ok = ~cross[left] | (own[left] != own[right])  # two blocks meet: only pairs across
+    left, right = left[ok], right[ok]
+    v = rows.column("v").to_numpy()
+    cols = {k: rows.column(k).take(pa.array(left)) for k in keys}
+    for m in keep:
+        cols |= {f"{m}_a": rows.column(m).take(pa.array(left)), f"{m}_b": rows.column(m).take(pa.array(right))}
+    table = pa.table({**cols, "v": pa.array(v[left] * v[right])})
+    return table.group_by(list(cols)).aggregate([("v", "sum")]).rename_columns([*cols, "v"])
+
+
+def mode_gram(coo: DataFrame, modes: Sequence[str], keep: Sequence[str], keys: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """(keys, a.., b.., v): the unfolding of the tensor along ``keep`` times its transpose.
 
-    Entries with the same index are added first.  The self-join is on all other
-    modes; with ``salt`` > 1 one side is split and the other copied, which
-    spreads a frequent combination of the other modes.
+    Entries with the same index are added first.  Entries are then brought together by the other modes and multiplied
+    where they meet, so only sums of products are shuffled again.  A combination of the other modes with more than
+    ``block`` entries, by count, is split into blocks, and every two blocks meet in a group of their own.
     """
     rest = [m for m in modes if m not in keep]
-    t = coo.groupBy(*keys, *modes).agg(F.sum("v").alias("v"))
-    a = t.select(*keys, *rest, *[F.col(m).alias(f"{m}_a") for m in keep], F.col("v").alias("va"))
-    b = t.select(*keys, *rest, *[F.col(m).alias(f"{m}_b") for m in keep], F.col("v").alias("vb"))
-    on = [*keys, *rest]
-    if salt > 1:
-        a = a.withColumn("_s", F.pmod(F.xxhash64(*[f"{m}_a" for m in keep]), F.lit(salt)).cast("int"))
-        b = b.withColumn("_s", F.explode(F.array(*[F.lit(i) for i in range(salt)])))
-        on.append("_s")
-    j = a.join(b, on) if on else a.crossJoin(b)
-    idx = [c for m in keep for c in (f"{m}_a", f"{m}_b")]
-    return j.groupBy(*keys, *idx).agg(F.sum(F.col("va") * F.col("vb")).alias("v"))
+    on, order = [*keys, *rest], [*keys, *keep]
+    t = coo.groupBy(*keys, *modes).agg(F.sum("v").cast("double").alias("v"))
+    key = F.struct(*on) if on else F.struct(F.lit(0))
+    t = t.select(*order, "v", F.xxhash64(key).alias("_g1"), F.xxhash64(F.lit(1), key).alias("_g2"))
+    many = t.groupBy("_g1", "_g2").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks")).where("_blocks > 1")
+    t = t.join(many, ["_g1", "_g2"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    t = t.withColumn("_own", F.pmod(F.xxhash64(*keep, F.lit(2)), F.col("_blocks")).cast("int"))
+    t = t.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    t = t.withColumns({"_x": F.least("_own", "_other"), "_y": F.greatest("_own", "_other"), "_cross": F.col("_own") != F.col("_other")})
+    group = ["_g1", "_g2", "_x", "_y"]
+    rows = t.select(*group, *order, "v", "_own", "_cross").repartition(*group).sortWithinPartitions(*group)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"`{m}_{s}` {types[m]}" for m in keep for s in "ab"), "v double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = batch if held is None else pa.concat_batches([held, batch])
+            cols = [held.column(c).to_numpy() for c in group]
+            starts = np.append(0, np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1)
+            yield from pieces(held.slice(0, starts[-1]), starts[:-1])
+            held = held.slice(starts[-1])  # may go on in the next batch
+        if held is not None:
+            yield from pieces(held, np.zeros(1, dtype=np.int64))
+
+    def pieces(rows: pa.RecordBatch, starts: np.ndarray, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+        sizes = np.diff(np.append(starts, rows.num_rows))
+        work, lo = np.cumsum(sizes.astype(np.int64) ** 2), 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + most, side="right")))
+            end = starts[hi] if hi < len(starts) else rows.num_rows
+            yield from _outer(rows.slice(starts[lo], end - starts[lo]), keep, keys, starts[lo:hi] - starts[lo]).to_batches()
+            lo = hi
+
+    idx = [f"{m}_{s}" for m in keep for s in "ab"]
+    return rows.mapInArrow(run, schema).groupBy(*keys, *idx).agg(F.sum("v").alias("v"))
 
 
 def block_norms(cells: DataFrame, keys: Sequence[str], block: Column, block_col: Column) -> DataFrame:
@@ -220,23 +268,71 @@ def flatten_index(digits: Sequence[Column], shape: Sequence[int]) -> Column:
     return reduce(lambda acc, x: acc * x[1] + x[0], zip(digits, shape), F.lit(0)).cast("int")
 
 
+#: Modes up to this size have their Gram matrix on the driver; larger ones a block of a few columns.
+GRAM_SIZE = 512
+BLOCK_COLUMNS, BLOCK_ROUNDS = 16, 40
+
+
+def _unfolded_twice(t: DataFrame, modes: Sequence[str], m: str, v: np.ndarray) -> np.ndarray:
+    """The unfolding along ``m`` times its transpose times ``v``: two sparse products as aggregates.
+
+    The columns of ``v`` (mode size times a few) are broadcast, and as many numbers come back.
+    """
+    rest, k = [x for x in modes if x != m], v.shape[1]
+    table = pa.table({m: pa.array(np.arange(len(v)), pa.int32()), **{f"_c{j}": pa.array(v[:, j]) for j in range(k)}})
+    left = t.join(F.broadcast(t.sparkSession.createDataFrame(table)), m)
+    inner = left.groupBy(*rest).agg(*[F.sum(F.col("v") * F.col(f"_c{j}")).alias(f"_z{j}") for j in range(k)])
+    out = t.join(inner, rest).groupBy(m).agg(*[F.sum(F.col("v") * F.col(f"_z{j}")).alias(f"_z{j}") for j in range(k)]).toArrow()
+    w = np.zeros_like(v)
+    w[out.column(m).to_numpy()] = np.stack([out.column(f"_z{j}").to_numpy() for j in range(k)], axis=1)
+    return w
+
+
+def leading_directions(multiply, size: int, columns: int, rounds: int = BLOCK_ROUNDS, tolerance: float = 1e-11) -> tuple[np.ndarray, np.ndarray]:
+    """Largest eigenvalues of a symmetric matrix and their vectors by block power iterations, from products with
+    ``columns`` vectors alone: a QR of that many columns a round, and a small matrix that turns them at the end."""
+    q = np.linalg.qr(np.random.default_rng(42).standard_normal((size, columns)))[0]
+    before = np.zeros(columns)
+    for _ in range(rounds):
+        w = multiply(q)
+        values, turn = np.linalg.eigh((q.T @ w + w.T @ q) / 2)
+        order = np.argsort(values)[::-1]
+        values, vectors = values[order], q @ turn[:, order]
+        if np.abs(values - before).max() <= tolerance * max(values[0], 1e-300):
+            break
+        before, q = values, np.linalg.qr(w)[0]
+    return np.maximum(values, 0.0), vectors
+
+
 def hosvd_factors(coo: DataFrame, modes: Sequence[str], sizes: Sequence[int], share: float = 0.99) -> dict[str, tuple[np.ndarray, int]]:
-    """Per mode: eigenvectors of the mode Gram matrix and the rank that keeps ``share``.
+    """Per mode: leading vectors of the unfolding and the rank that keeps ``share``.
 
-    Only mode-size squared numbers per mode reach the driver.
+    A mode of up to GRAM_SIZE has its Gram matrix on the driver.  A larger one sends a block of columns, doubled until
+    the share is reached; the whole is the sum of squares of the entries.
     """
     out = {}
-    for m, n in zip(modes, sizes):
-        g = np.zeros((n, n))
-        for r in mode_gram(coo, modes, [m]).collect():
-            g[r[f"{m}_a"], r[f"{m}_b"]] = r["v"]
-        w, u = np.linalg.eigh(g)
-        order = np.argsort(w)[::-1]
-        w, u = np.maximum(w[order], 0.0), u[:, order]
-        u = u * np.where(u[np.abs(u).argmax(axis=0), np.arange(n)] < 0, -1.0, 1.0)
-        total = w.sum()
-        rank = int(np.searchsorted(np.cumsum(w) / total, share) + 1) if total > 0 else 1
-        out[m] = (u, min(rank, n))
+    t = coo.groupBy(*modes).agg(F.sum("v").cast("double").alias("v")).persist()
+    try:
+        total = t.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
+        for m, n in zip(modes, sizes):
+            if n <= GRAM_SIZE:
+                g = np.zeros((n, n))
+                for r in mode_gram(t, modes, [m]).toLocalIterator():
+                    g[r[f"{m}_a"], r[f"{m}_b"]] = r["v"]
+                w, u = np.linalg.eigh(g)
+                w, u = np.maximum(w[::-1], 0.0), u[:, ::-1]
+            else:
+                k = BLOCK_COLUMNS
+                while True:
+                    w, u = leading_directions(lambda v, m=m: _unfolded_twice(t, modes, m, v), n, min(k, n))
+                    if k >= n or w[: max(1, k - 4)].sum() >= share * total:
+                        break
+                    k *= 2
+            u = u * np.where(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])] < 0, -1.0, 1.0)
+            rank = int(np.searchsorted(np.cumsum(w), share * total) + 1) if total > 0 else 1
+            out[m] = (u, min(rank, u.shape[1]))
+    finally:
+        t.unpersist()
     return out
 
 
@@ -313,35 +409,6 @@ def leave_one_out_stamps(edges: DataFrame, every: int = 4) -> DataFrame:
     return own.join(whole, ["i", "j"]).select("dropped", "i", "j", (F.col("_re") - F.col("re")).alias("re"), (F.col("_im") - F.col("im")).alias("im"))
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, component): smallest node id reachable, by alternating neighbour and
-    pointer steps.
-
-    Every round takes the minimum over neighbours and then follows the label of
-    the label, so the number of rounds grows with the logarithm of a path's
-    length.  Lineage is cut by reliable checkpoints in the shared folder.
-    """
-    from lucidform.session import checkpoint_dir
-
-    checkpoint_dir(edges.sparkSession)
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
-    cur = nodes.select("node", F.col("node").alias("component")).checkpoint()
-    for _ in range(max_rounds):
-        near = both.join(cur, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("_n")).agg(F.min("component").alias("_c"))
-        step = cur.join(near, F.col("node") == F.col("_n"), "left").select(
-            "node", F.least("component", F.coalesce("_c", "component")).alias("component")
-        )
-        up = step.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        nxt = step.join(up, F.col("component") == F.col("_n"), "left").select(
-            "node", F.least("component", F.coalesce("_c", "component")).alias("component")
-        ).checkpoint()
-        moved = nxt.join(cur.withColumnRenamed("component", "_old"), "node").where(F.col("component") != F.col("_old")).limit(1)
-        cur = nxt
-        if moved.isEmpty():
-            return cur
-    raise RuntimeError("components did not settle; raise max_rounds")
-
-
 def bootstrap_weights(df: DataFrame, rid: Column, replicates: int, seed: int = 42) -> DataFrame:
     """Rows times replicates with Poisson(1) counts drawn from the row identity."""
     from lucidform.sources.grids import uniform

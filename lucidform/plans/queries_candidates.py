@@ -12,7 +12,7 @@ from lucidform.operators import folds
 from lucidform.operators.scoring import long_values, score
 from lucidform.plans.registry import query
 from lucidform.plans.search import subspaces
-from lucidform.plans.sqltext import ITEMS, NAMES, sql_formula, sql_scores, sql_values
+from lucidform.plans.sqltext import ENTROPY_SQL, ITEMS, NAMES, binned_sql, sql_formula, sql_scores, sql_values
 from lucidform.sources.labelled import Labelled, returned_items, table
 
 RID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
@@ -58,7 +58,14 @@ def _c04(spark, sf):
     return v.orderBy(F.desc("v")).limit(3).select("name", F.round("v", 4).alias("variance"))
 
 
-@query("c05_mi_filter")
+def _mi_sql() -> str:
+    each = " UNION ALL ".join(f"SELECT '{g}' AS feature, {ENTROPY_SQL.format(k=g)} + {ENTROPY_SQL.format(k='y')} - {ENTROPY_SQL.format(k=g + ', y')} AS mi" for g in ("qty", "price", "disc", "tax"))
+    return f"""WITH o AS MATERIALIZED (SELECT * FROM {binned_sql()}), m AS (SELECT feature, greatest(mi, 0) AS mi FROM ({each})),
+ k AS (SELECT *, mi >= 0.1::DOUBLE * max(mi) OVER () AS hit FROM m)
+ SELECT feature, round(mi, 6) AS mi FROM k WHERE hit OR (SELECT count(*) FROM k WHERE hit) < 3"""
+
+
+@query("c05_mi_filter", _mi_sql())
 def _c05(spark, sf):
     from lucidform.operators.information import informative_features
 

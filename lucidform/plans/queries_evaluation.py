@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from lucidform.functions.formulas import BINARY, UNARY, OpSet
 from lucidform.functions.traces import binary, leaf, replay, unary
 from lucidform.operators import projections as pj
 from lucidform.operators.folds import fold_split, holdout, stratified_folds
@@ -12,6 +16,7 @@ from lucidform.operators.scoring import score
 from lucidform.plans import evaluation as ev
 from lucidform.plans.registry import query
 from lucidform.plans.sqltext import ITEMS, sql_scores, sql_values
+from lucidform.session import checkpoint_dir
 from lucidform.sources.labelled import Labelled, embedded_items, load_labelled, returned_items, table
 
 # urgent orders: one row per order, unique identity
@@ -74,6 +79,32 @@ def _l02(spark, sf):
     return ev.fair_cv(returned_items(spark, sf), folds=4, repeats=1, depth=2, beam=10, pls=2)
 
 
+_SMALL = OpSet({k: BINARY[k] for k in ("+", "*")}, {"sq": UNARY["sq"]})
+_SMALL_TRACES = [leaf(i) for i in range(4)] + [binary(leaf(i), o, j) for o in _SMALL.binary for i in range(4) for j in range(4)] + [unary("sq", leaf(i)) for i in range(4)]
+
+
+def _fair_cv_sql(folds: int, repeats: int) -> str:
+    """Best formula of each training part (F1, then depth, then text), its cut, and its F1 on the held-out rows."""
+    tagged = f"""(SELECT *, ((row_number() OVER (PARTITION BY repeat, y ORDER BY md5('42|' || repeat || '/' || rid)) - 1) % {folds})::INTEGER AS fold
+      FROM {ITEMS}, (SELECT i::INTEGER AS repeat FROM range({repeats}) r(i)))"""
+    held = f"SELECT formula, repeat, h::INTEGER AS h, v, y FROM vals, range({folds}) t(h) WHERE fold <> h"
+    return f"""
+WITH vals AS MATERIALIZED ({sql_values(_SMALL_TRACES, source=tagged, extra=", repeat, fold")}),
+scored AS ({sql_scores(held, "formula, repeat, h")}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY repeat, h ORDER BY f1 DESC, CASE WHEN formula LIKE '%(%' THEN 2 ELSE 1 END, formula) AS place FROM scored),
+best AS (SELECT repeat, h AS fold, formula, direction, threshold, f1 AS train_f1 FROM ranked WHERE place = 1),
+tested AS (
+  SELECT b.repeat, b.fold, sum(CASE WHEN b.direction * v.v >= b.threshold THEN y ELSE 0 END) AS tp, count(*) FILTER (WHERE b.direction * v.v >= b.threshold) AS pr, sum(y) AS pos
+  FROM best b JOIN vals v ON v.formula = b.formula AND v.repeat = b.repeat AND v.fold = b.fold GROUP BY ALL)
+SELECT b.*, CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (pr + pos) ELSE 0.0::DOUBLE END AS test_f1 FROM best b JOIN tested USING (repeat, fold)"""
+
+
+@query("l02_fair_cv_formulas", _fair_cv_sql(3, 2))
+def _l02b(spark, sf):
+    """Two repeats of three folds over every formula of a small operator set to depth 2."""
+    return ev.fair_cv(returned_items(spark, sf), folds=3, repeats=2, depth=2, beam=100, ops=_SMALL)
+
+
 _REPLAY = unary("sqrt", binary(binary(leaf(0), "*", 2), "+", 3))
 
 
@@ -85,14 +116,14 @@ def _l03(spark, sf):
 
 @query("l04_baselines")
 def _l04(spark, sf):
-    return ev.baselines(returned_items(spark, sf), folds=2)
+    return ev.baselines(returned_items(spark, sf), folds=5)
 
 
 @query("l05_compare")
 def _l05(spark, sf):
     lab = returned_items(spark, sf)
     cv = ev.fair_cv(lab, folds=3, depth=1, beam=5)
-    return ev.compare(cv, ev.baselines(lab, folds=3, models=["LR", "RF"]))
+    return ev.compare(cv, ev.baselines(lab, folds=3))
 
 
 @query("l06_tree_rules")
@@ -119,7 +150,7 @@ def _l08(spark, sf):
 
 @query("l09_cv_score")
 def _l09(spark, sf):
-    b = ev.baselines(returned_items(spark, sf), folds=3, models=["LR", "RF"])
+    b = ev.baselines(returned_items(spark, sf), folds=3)
     return b.groupBy("model").agg(F.avg("f1").alias("mean"), F.stddev_pop("f1").alias("std"))
 
 
@@ -190,9 +221,11 @@ def _k05(spark, sf):
 
 @query("k09_projection_protocol")
 def _k09(spark, sf):
-    """Two projections fitted one after the other, a round trip of parameters, and scores of raw and derived columns."""
-    lab, models = pj.augment(returned_items(spark, sf), ["pca", "pls"], 2)
-    again = pj.LinearModel.from_json(models[0].to_json())
-    assert again.names == models[0].names
+    """Two projections fitted one after the other, saved, loaded, and scores of raw and derived columns."""
+    raw = returned_items(spark, sf)
+    _, models = pj.augment(raw, ["pca", "pls"], 2)
+    where = f"{checkpoint_dir(spark)}/projections-{uuid.uuid4().hex}"
+    pj.Chain(models).save(where)
+    again = pj.Chain.load(where)
+    lab = replace(raw, df=again.transform(raw.df), features=(*raw.features, *again.names))
     return score(lab, [leaf(i) for i in range(len(lab.features))]).select("formula", F.round("f1", 6).alias("f1"))
-

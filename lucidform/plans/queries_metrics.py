@@ -16,7 +16,7 @@ from lucidform.operators.scoring import count_values, cut_table, percentile_f1,
 from lucidform.operators.screening import percentile_scores, search_scores
 from lucidform.plans.queries_candidates import ORDER_SQL, RULE_SQL, SINGLES, _pair_traces, order_features, rules
 from lucidform.plans.registry import query
-from lucidform.plans.sqltext import ITEMS, NAMES, sql_cuts, sql_formula, sql_percentile_f1, sql_scores, sql_values
+from lucidform.plans.sqltext import ENTROPY_SQL, ITEMS, NAMES, binned_sql, sql_cuts, sql_formula, sql_percentile_f1, sql_scores, sql_values
 from lucidform.sources.labelled import returned_items, table, working_copy
 
 _SET = [*SINGLES, binary(leaf(0), "+", 1), binary(leaf(2), "*", 3), binary(leaf(0), "/", 2), binary(leaf(1), "min", 0)]
@@ -186,30 +186,19 @@ def _e15(spark, sf):
     return spark.createDataFrame([(text(t, lab.features), round(v, 6)) for t, v in got.items()], "formula string, diversity double")
 
 
-_H = "(SELECT -sum(p * ln(p + 1e-30)) FROM (SELECT count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM o GROUP BY {k}))"
-
-
 @query(
     "e16_mutual_info",
-    f"WITH o AS MATERIALIZED (SELECT l_returnflag AS a, l_linestatus AS b FROM lineitem) SELECT round(ha, 6) AS ha, round(hb, 6) AS hb, round(hab, 6) AS hab, round(greatest(ha + hb - hab, 0), 6) AS mi FROM (SELECT {_H.format(k='a')} AS ha, {_H.format(k='b')} AS hb, {_H.format(k='a, b')} AS hab)",
+    f"WITH o AS MATERIALIZED (SELECT l_returnflag AS a, l_linestatus AS b FROM lineitem) SELECT round(ha, 6) AS ha, round(hb, 6) AS hb, round(hab, 6) AS hab, round(greatest(ha + hb - hab, 0), 6) AS mi FROM (SELECT {ENTROPY_SQL.format(k='a')} AS ha, {ENTROPY_SQL.format(k='b')} AS hb, {ENTROPY_SQL.format(k='a, b')} AS hab)",
 )
 def _e16(spark, sf):
     d = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b"))
     return mt.mutual_info(d, "a", "b").select(*[F.round(c, 6).alias(c) for c in ("ha", "hb", "hab", "mi")])
 
 
-def _binned_sql(cols=("qty", "price", "disc", "tax"), bins: int = 10) -> str:
-    """Columns replaced by their percentile bin."""
-    qs = "[" + ", ".join(f"{(i + 1) / bins}::DOUBLE" for i in range(bins - 1)) + "]"
-    cuts = ", ".join(f"quantile_cont({c}, {qs}) AS q_{c}" for c in cols)
-    b = ", ".join(f"len(list_filter(q_{c}, lambda x: x <= {c}))::INTEGER AS {c}" for c in cols)
-    return f"(SELECT y, {b} FROM {ITEMS}, (SELECT {cuts} FROM {ITEMS}))"
-
-
 @query(
     "e17_cond_mutual_info",
-    f"""WITH o AS MATERIALIZED (SELECT * FROM {_binned_sql()}) SELECT feature, round(greatest(hgf - hf - hgfy + hfy, 0), 6) AS cmi FROM ("""
-    + " UNION ALL ".join(f"SELECT '{g}' AS feature, {_H.format(k=g + ', qty')} AS hgf, {_H.format(k='qty')} AS hf, {_H.format(k=g + ', qty, y')} AS hgfy, {_H.format(k='qty, y')} AS hfy" for g in ("price", "disc", "tax"))
+    f"""WITH o AS MATERIALIZED (SELECT * FROM {binned_sql()}) SELECT feature, round(greatest(hgf - hf - hgfy + hfy, 0), 6) AS cmi FROM ("""
+    + " UNION ALL ".join(f"SELECT '{g}' AS feature, {ENTROPY_SQL.format(k=g + ', qty')} AS hgf, {ENTROPY_SQL.format(k='qty')} AS hf, {ENTROPY_SQL.format(k=g + ', qty, y')} AS hgfy, {ENTROPY_SQL.format(k='qty, y')} AS hfy" for g in ("price", "disc", "tax"))
     + ")",
 )
 def _e17(spark, sf):
@@ -219,15 +208,15 @@ def _e17(spark, sf):
     return c.select(F.regexp_replace("feature", "_bin$", "").alias("feature"), F.round("cmi", 6).alias("cmi"))
 
 
-@query("e18_irrelevant_features", """SELECT feature FROM (SELECT feature, greatest(hgf - hf - hgfy + hfy, 0) AS cmi FROM (WITH o AS MATERIALIZED (SELECT * FROM """ + _binned_sql() + ") "
-    + " UNION ALL ".join(f"SELECT '{g}' AS feature, {_H.format(k=g + ', qty')} AS hgf, {_H.format(k='qty')} AS hf, {_H.format(k=g + ', qty, y')} AS hgfy, {_H.format(k='qty, y')} AS hfy" for g in ("price", "disc", "tax"))
+@query("e18_irrelevant_features", """SELECT feature FROM (SELECT feature, greatest(hgf - hf - hgfy + hfy, 0) AS cmi FROM (WITH o AS MATERIALIZED (SELECT * FROM """ + binned_sql() + ") "
+    + " UNION ALL ".join(f"SELECT '{g}' AS feature, {ENTROPY_SQL.format(k=g + ', qty')} AS hgf, {ENTROPY_SQL.format(k='qty')} AS hf, {ENTROPY_SQL.format(k=g + ', qty, y')} AS hgfy, {ENTROPY_SQL.format(k='qty, y')} AS hfy" for g in ("price", "disc", "tax"))
     + ")) WHERE cmi < 0.001::DOUBLE")
 def _e18(spark, sf):
     return info.irrelevant_features(returned_items(spark, sf), "qty", 0.001).select("feature")
 
 
 _PAIRS = [(a, b) for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]]
-_PAIR_SQL = f"WITH o AS MATERIALIZED (SELECT * FROM {_binned_sql()}) SELECT a, b, f1 FROM (" + sql_scores(
+_PAIR_SQL = f"WITH o AS MATERIALIZED (SELECT * FROM {binned_sql()}) SELECT a, b, f1 FROM (" + sql_scores(
     " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, avg(y) OVER (PARTITION BY {a}, {b}) AS v, y FROM o" for a, b in _PAIRS), "a, b"
 ) + ")"
 

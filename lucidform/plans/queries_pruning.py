@@ -8,7 +8,9 @@ from lucidform.functions.formulas import OpSet
 from lucidform.functions.traces import Trace, binary, leaf, text, unary
 from lucidform.operators import pruning as pr
 from lucidform.plans.registry import query
-from lucidform.plans.sqltext import sql_scores, sql_values
+from lucidform.plans.queries_evaluation import urgent
+from lucidform.plans.sqltext import ITEMS, sql_scores, sql_values
+from lucidform.session import written
 from lucidform.sources.labelled import Labelled, returned_items
 
 _FEATS = ("qty", "disc", "tax")
@@ -26,11 +28,13 @@ def _all() -> list[tuple[Trace, Trace | None, int]]:
     return [(t, None, 1) for t in one] + [(t, t[:1], 2) for t in two]
 
 
-_NODES = ", ".join(
-    f"('{text(t, _FEATS)}', {'NULL' if p is None else repr(text(p, _FEATS))}, {d}, {len({i for _, _, i in t if i >= 0})})" for t, p, d in _all()
-)
-_CAT = f"""(SELECT s.formula, parent, depth, n_features, f1, auroc FROM ({sql_scores(sql_values([t for t, _, _ in _all()], _FEATS))}) s
- JOIN (VALUES {_NODES}) n(formula, parent, depth, n_features) ON s.formula = n.formula WHERE f1 > 0)"""
+def _cat_sql(names=_FEATS, source: str = ITEMS) -> str:
+    nodes = ", ".join(f"('{text(t, names)}', {'NULL' if p is None else repr(text(p, names))}, {d}, {len({i for _, _, i in t if i >= 0})})" for t, p, d in _all())
+    return f"""(SELECT s.formula, parent, depth, n_features, f1, auroc FROM ({sql_scores(sql_values([t for t, _, _ in _all()], names, source))}) s
+ JOIN (VALUES {nodes}) n(formula, parent, depth, n_features) ON s.formula = n.formula WHERE f1 > 0)"""
+
+
+_CAT = _cat_sql()
 _EPS = 0.00001
 _ALIVE = f"""WITH cat AS MATERIALIZED (SELECT * FROM {_CAT}), top AS (SELECT max(f1) AS b FROM cat),
  own AS (SELECT cat.*, CASE WHEN f1 >= b - {_EPS} THEN 1 ELSE 0 END AS a FROM cat, top),
@@ -39,7 +43,7 @@ _ALIVE = f"""WITH cat AS MATERIALIZED (SELECT * FROM {_CAT}), top AS (SELECT max
 
 
 def _nodes(spark, sf):
-    return pr.viability(pr.catalog(_lab(spark, sf), 2, _OPS).persist(), _EPS)
+    return pr.viability(written(pr.catalog(_lab(spark, sf), 2, _OPS), "catalog"), _EPS)
 
 
 def _prev(spark, sf) -> float:
@@ -96,17 +100,27 @@ def _j03(spark, sf):
 @query("j03_deep_criteria")
 def _j03d(spark, sf):
     """Criteria to depth 3 over node features."""
-    d = pr.deep_criteria(pr.node_features(_nodes(spark, sf), _prev(spark, sf)).persist(), ops="minimal")
-    return d.orderBy(F.desc("prune_rate"), "criterion").limit(20)
+    return pr.deep_criteria(written(pr.node_features(_nodes(spark, sf), _prev(spark, sf)), "nodes"), ops="minimal")
 
 
 # the first seven are fixed values: the tolerances swept; the others tell these close formulas apart
 _EPSES = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.10, 0.000001, 0.00001, 0.0001)
 
 
-@query("j04_pareto_sweep")
+_OWN_EPS = f"""own AS (SELECT eps, formula, parent, depth, n_features, f1, auroc, CASE WHEN f1 >= (SELECT max(f1) FROM cat) - eps THEN 1 ELSE 0 END AS a FROM cat, e),
+ up AS (SELECT eps, parent AS p, max(a) AS u FROM own WHERE depth = 2 GROUP BY ALL),
+ nodes AS MATERIALIZED (SELECT own.eps, formula, depth, n_features, f1, auroc, greatest(a, coalesce(u, 0)) AS alive FROM own LEFT JOIN up ON own.eps = up.eps AND formula = p AND depth = 1)"""
+_PARETO = f"""WITH cat AS MATERIALIZED (SELECT * FROM {_CAT}), e(eps) AS (VALUES {', '.join(f'({x!r}::DOUBLE)' for x in _EPSES)}), {_OWN_EPS},
+ feat AS MATERIALIZED ({_FEAT_SQL}), vals AS ({_LONG.replace(', alive FROM', ', alive, eps FROM')}),
+ cut AS (SELECT eps, criterion, min(v) FILTER (alive = 1) AS low, max(v) FILTER (alive = 1) AS high, count(*) FILTER (alive = 1) AS total_alive, count(*) FILTER (alive = 0) AS total_dead FROM vals GROUP BY ALL),
+ cnt AS (SELECT eps, criterion, total_alive, total_dead, count(*) FILTER (v < low) AS dn, count(*) FILTER (v > high) AS up FROM vals JOIN cut USING (eps, criterion) WHERE alive = 0 AND total_alive > 0 GROUP BY ALL),
+ best AS (SELECT eps, criterion, greatest(dn, up) / total_dead AS prune_rate, total_alive, row_number() OVER (PARTITION BY eps ORDER BY greatest(dn, up) / total_dead DESC, criterion DESC) AS r FROM cnt)
+ SELECT eps, criterion, prune_rate, total_alive FROM best WHERE r = 1"""
+
+
+@query("j04_pareto_sweep", _PARETO)
 def _j04(spark, sf):
-    return pr.pareto(pr.catalog(_lab(spark, sf), 2, _OPS).persist(), _prev(spark, sf), _EPSES, _SIX, 3)
+    return pr.pareto(written(pr.catalog(_lab(spark, sf), 2, _OPS), "catalog"), _prev(spark, sf), _EPSES, _SIX, 3)
 
 
 @query("j04_alive_by_eps", f"""WITH cat AS MATERIALIZED (SELECT * FROM {_CAT}), e(eps) AS (VALUES {', '.join(f'({x!r}::DOUBLE)' for x in _EPSES)}),
@@ -115,7 +129,7 @@ def _j04(spark, sf):
  SELECT own.eps, (sum(greatest(a, coalesce(u, 0))))::BIGINT AS alive, count(*) AS nodes FROM own LEFT JOIN up ON own.eps = up.eps AND formula = p AND depth = 1 GROUP BY own.eps""")
 def _j04b(spark, sf):
     e = spark.createDataFrame([(x,) for x in _EPSES], "eps double")
-    v = pr.viability(pr.catalog(_lab(spark, sf), 2, _OPS).persist().crossJoin(F.broadcast(e)), by=["eps"])
+    v = pr.viability(written(pr.catalog(_lab(spark, sf), 2, _OPS), "catalog").crossJoin(F.broadcast(e)), by=["eps"])
     return v.groupBy("eps").agg(F.sum("alive").alias("alive"), F.count(F.lit(1)).alias("nodes"))
 
 
@@ -126,10 +140,28 @@ def _j04b(spark, sf):
  sum(CASE WHEN alive = 1 AND NOT k THEN 1 ELSE 0 END) = 0 AS admissible FROM (SELECT criterion, alive, CASE WHEN direction = '>' THEN v >= threshold ELSE v <= threshold END AS k FROM vals JOIN found USING (criterion)) GROUP BY criterion""",
 )
 def _j05(spark, sf):
-    nodes = pr.node_features(_nodes(spark, sf), _prev(spark, sf)).persist()
+    nodes = written(pr.node_features(_nodes(spark, sf), _prev(spark, sf)), "nodes")
     return pr.cross_check(nodes, pr.criterion_search(nodes, _SIX), _SIX)
 
 
+_ORDERS = "(SELECT o_totalprice AS price, o_custkey::DOUBLE AS cust, month(o_orderdate)::DOUBLE AS month, CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END AS y FROM orders)"
+_OTHER = f"""other AS (SELECT criterion, v, alive FROM ({_ALIVE.replace(_CAT, _cat_sql(("price", "cust", "month"), _ORDERS))}, feat AS ({_FEAT_SQL}), vals AS ({_LONG}) SELECT criterion, v, alive FROM vals))"""
+
+
+@query(
+    "j05_second_table",
+    f"""{_ALIVE}, {_FOUND}, {_OTHER} SELECT criterion, count(*) FILTER (alive = 1 AND NOT k) AS fn, count(*) FILTER (alive = 0 AND NOT k) AS tn, count(*) FILTER (alive = 0 AND k) AS fp, count(*) FILTER (alive = 1 AND k) AS tp,
+ coalesce(avg(CASE WHEN alive = 0 THEN CASE WHEN k THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END END), 0) AS prune_rate, count(*) FILTER (alive = 1 AND NOT k) = 0 AS admissible
+ FROM (SELECT criterion, alive, CASE WHEN direction = '>' THEN v >= threshold ELSE v <= threshold END AS k FROM other JOIN found USING (criterion)) GROUP BY criterion""",
+)
+def _j05b(spark, sf):
+    """Criteria learned on line items, checked on the catalog of urgent orders."""
+    found = pr.criterion_search(pr.node_features(_nodes(spark, sf), _prev(spark, sf)), _SIX)
+    orders = urgent(spark, sf)
+    other = pr.viability(written(pr.catalog(orders, 2, _OPS), "catalog"), _EPS)
+    return pr.cross_check(pr.node_features(other, orders.df.agg(F.avg("y")).first()[0]), found, _SIX)
+
+
 @query(
     "j06_meta_ablation",
     f"""{_ALIVE}, feat AS ({_FEAT_SQL}), vals AS (SELECT alive, 'f1' AS feature, f1 AS v FROM feat UNION ALL SELECT alive, 'auroc', auroc FROM feat UNION ALL SELECT alive, 'inputs', inputs FROM feat),
@@ -145,7 +177,15 @@ def _j07(spark, sf):
     return pr.with_hstar(pr.catalog(_lab(spark, sf), 2, _OPS)).select("formula", "hstar")
 
 
-@query("j07_admissible_heuristics")
+_HEUR = f"""WITH cat AS MATERIALIZED (SELECT * FROM {_CAT}), b AS (SELECT max(f1) AS b FROM cat), o AS (SELECT min(depth) AS d FROM cat, b WHERE f1 >= b - 0.001),
+ nodes AS MATERIALIZED (SELECT cat.*, CASE WHEN f1 >= b - 0.001 THEN 0 ELSE greatest(d - depth, 0) END AS alive FROM cat, b, o),
+ feat AS MATERIALIZED ({_FEAT_SQL}), vals AS MATERIALIZED ({_LONG}),
+ scale AS (SELECT criterion, min(alive / v) FILTER (v > 1e-12) AS alpha FROM vals GROUP BY criterion HAVING alpha IS NOT NULL),
+ h AS (SELECT criterion, alpha, alive AS hstar, least(greatest(floor(alpha * v), 0), 10) AS h FROM vals JOIN scale USING (criterion))
+ SELECT criterion, max(alpha) AS alpha, count(*) FILTER (h > hstar) AS violations, avg(hstar - h) AS slack, avg(CASE WHEN h = hstar THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS tightness FROM h GROUP BY criterion"""
+
+
+@query("j07_admissible_heuristics", _HEUR)
 def _j07b(spark, sf):
     nodes = pr.node_features(pr.with_hstar(pr.catalog(_lab(spark, sf), 2, _OPS)), _prev(spark, sf))
     return pr.admissible_heuristics(nodes, _SIX)

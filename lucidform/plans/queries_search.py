@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from lucidform.functions.formulas import OpSet
-from lucidform.functions.traces import binary, leaf, text, unary
+from lucidform.functions.traces import binary, binary_r, leaf, text, unary
 from lucidform.operators.candidates import canonical_text
+from lucidform.operators.projections import augment, top_pair_products
 from lucidform.operators.scoring import SWEEP
 from lucidform.plans import search as se
 from lucidform.plans import studies as st
@@ -18,12 +21,13 @@ _EXACT = OpSet({k: OpSet().binary[k] for k in ("+", "-", "*", "max", "hypot")},
 _ONE = [leaf(i) for i in range(4)]
 
 
-def _children(parents, ops):
+def _children(parents, ops, both=False, ids=range(4)):
     """Distinct children up to argument order, alphabetically first text."""
     seen = {canonical_text(t, NAMES) for t in parents}
     out = {}
     for t in parents:
-        kids = [binary(t, o, j) for o in ops.binary for j in range(4)] + [unary(u, t) for u in ops.unary]
+        kids = [binary(t, o, j) for o in ops.binary for j in ids] + [unary(u, t) for u in ops.unary]
+        kids += [binary_r(j, o, t) for o in ops.binary for j in ids] if both else []
         for k in kids:
             c = canonical_text(k, NAMES)
             if c not in seen and (c not in out or text(k, NAMES) < text(out[c], NAMES)):
@@ -83,7 +87,18 @@ def _i04(spark, sf):
     return se.diverse_beam(returned_items(spark, sf), 2, 10, min_auroc=0.501, ops="minimal").to_df().select("depth", "formula", "f1")
 
 
-@query("i05_fuzzed_search")
+def _fuzzed_sql(k: int, trials: int, beam: int, ops: OpSet) -> str:
+    """Every trial's features are the k with the least digests; a level keeps the trial's best."""
+    parts = []
+    for t in range(trials):
+        ids = sorted(sorted(range(4), key=lambda i: hashlib.md5(f"42|{t}:{i}".encode()).hexdigest())[:k])
+        leaves = [leaf(i) for i in ids]
+        for depth, level in ((1, leaves), (2, _children(leaves, ops, ids=ids))):
+            parts.append(f"SELECT * FROM (SELECT {t} AS trial, {depth} AS depth, formula, f1 FROM ({sql_scores(sql_values(level))}) ORDER BY f1 DESC, formula LIMIT {beam})")
+    return " UNION ALL ".join(parts)
+
+
+@query("i05_fuzzed_search", _fuzzed_sql(2, 4, 5, OpSet.preset("minimal")))
 def _i05(spark, sf):
     return se.fuzzed_search(returned_items(spark, sf), 2, 4, 2, 5, "minimal").to_df().select("trial", "depth", "formula", "f1")
 
@@ -133,20 +148,40 @@ def _i08(spark, sf):
     return r.where((F.col("phase") == 2) & F.col("formula").startswith("(")).select("phase", "formula", F.round("r2", 6).alias("r2"))
 
 
-@query("i09_best_first_search")
+_BOTH = _children(_ONE, OpSet.preset("minimal"), both=True)
+
+
+@query(
+    "i09_best_first_search",
+    f"SELECT * FROM (SELECT 1 AS depth, formula, f1 FROM ({sql_scores(sql_values(_ONE))}) UNION ALL SELECT 2, formula, f1 FROM ({sql_scores(sql_values(_BOTH))})) ORDER BY f1 DESC, formula LIMIT 20",
+)
 def _i09(spark, sf):
+    """The report of the best 20."""
     return se.best_first(returned_items(spark, sf), 2, 20).to_df(20).select("depth", "formula", "f1")
 
 
 @query("i10_deep_funnel")
 def _i10(spark, sf):
+    """As deep as the rows per column allow (7 levels), over raw columns, two components and the best two products."""
     lab = returned_items(spark, sf)
-    return se.funnel(lab, lab.df.count(), "minimal", max_depth=3).to_df(20).select("depth", "formula", "f1")
+    wide, _ = augment(lab, ["pls"], 2)
+    products = {f"{lab.features[t[0][2]]}_{lab.features[t[1][2]]}": F.col(lab.features[t[0][2]]) * F.col(lab.features[t[1][2]]) for _, _, t in top_pair_products(lab, 2)}
+    wide = wide.augmented(products)
+    return se.funnel(wide, lab.df.count(), "minimal").to_df().select("depth", "formula", "f1")
 
 
-@query("i11_wide_shallow")
+@query(
+    "i11_wide_shallow",
+    f"SELECT 1 AS depth, formula, f1 FROM ({sql_scores(sql_values(_ONE))}) UNION ALL SELECT 2, formula, f1 FROM ({sql_scores(sql_values(_children(_ONE, OpSet.preset('minimal'))))})",
+)
 def _i11(spark, sf):
-    return se.wide_shallow(returned_items(spark, sf), 2, "minimal").to_df(20).select("depth", "formula", "f1")
+    return se.wide_shallow(returned_items(spark, sf), 2, "minimal").to_df().select("depth", "formula", "f1")
+
+
+@query("i11_wide_to_depth4")
+def _i11b(spark, sf):
+    """The whole schedule: 500, 300 and 150 formulas kept at depths 2 to 4."""
+    return se.wide_shallow(returned_items(spark, sf), 4, "minimal").to_df().select("depth", "formula", "f1")
 
 
 @query("i13_projection_shootout")
@@ -155,7 +190,17 @@ def _i13(spark, sf):
     return st.projection_shootout(returned_items(spark, sf), cs, 2, 5)
 
 
-@query("i14_filter_benchmark")
+_KIDS = [binary(leaf(i), o, j) for o in OpSet.preset("minimal").binary for i in range(4) for j in range(4)] + [unary(u, leaf(i)) for u in OpSet.preset("minimal").unary for i in range(4)]
+_FIRST = ", ".join(f"('{text(t, NAMES)}', '{NAMES[t[0][2]]}')" for t in _KIDS)
+
+
+@query(
+    "i14_filter_benchmark",
+    f"""WITH good AS (SELECT formula FROM ({sql_scores(sql_values(_ONE))}) WHERE auroc >= 0.5011::DOUBLE),
+ k AS (SELECT f1, first IN (SELECT formula FROM good) AS kept FROM ({sql_scores(sql_values(_KIDS))}) s JOIN (VALUES {_FIRST}) n(formula, first) ON s.formula = n.formula)
+ SELECT max(f1) = coalesce(max(f1) FILTER (kept), 0) AS same_best, count(*)::INTEGER AS exhaustive, (count(*) FILTER (kept))::INTEGER AS filtered,
+  1.0::DOUBLE - (count(*) FILTER (kept))::DOUBLE / greatest(count(*), 1) AS prune_rate FROM k""",
+)
 def _i14(spark, sf):
     return st.filter_benchmark(returned_items(spark, sf), 0.5011)
 

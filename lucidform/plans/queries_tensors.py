@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lucidform.functions import spectrum as sp
 from lucidform.operators import series, tensors
+from lucidform.operators.graph import connected_components
 from lucidform.operators.metrics import distribution
 from lucidform.plans.registry import query
 from lucidform.sources.labelled import array_features, table
@@ -71,7 +72,7 @@ def _mode_gram_sql(m: str, rest: str) -> str:
 
 @query("m03_mode_gram", _mode_gram_sql("t", "u, h"))
 def _m03(spark, sf):
-    return tensors.mode_gram(_coo(spark, sf), ["u", "t", "h"], ["t"], salt=4).withColumn("v", F.round("v", 4))
+    return tensors.mode_gram(_coo(spark, sf), ["u", "t", "h"], ["t"]).withColumn("v", F.round("v", 4))
 
 
 @query("m03_multilinear_rank")
@@ -293,7 +294,7 @@ def _m14(spark, sf):
     e = link("customer", "c", "c_custkey", "n", "c_nationkey").unionByName(link("supplier", "s", "s_suppkey", "n", "s_nationkey"))
     e = e.unionByName(link("nation", "n", "n_nationkey", "r", "n_regionkey"))
     nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
-    return tensors.connected_components(e, nodes).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+    return connected_components(e, nodes).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @query("m15_inner_block_rank")

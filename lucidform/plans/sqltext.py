@@ -112,3 +112,15 @@ WITH vals AS MATERIALIZED ({values}),
    FROM cuts c JOIN d ON {on} GROUP BY {cols}, q, t)
 SELECT {keys}, q, t, pos, tot, direction, tp, predicted, CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (predicted + pos) ELSE 0.0::DOUBLE END AS f1
 FROM ({" UNION ALL ".join(sides)})"""
+
+
+#: Entropy of the columns {k} of a table o.
+ENTROPY_SQL = "(SELECT -sum(p * ln(p + 1e-30)) FROM (SELECT count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM o GROUP BY {k}))"
+
+
+def binned_sql(cols=("qty", "price", "disc", "tax"), bins: int = 10) -> str:
+    """Columns replaced by their percentile bin."""
+    qs = "[" + ", ".join(f"{(i + 1) / bins}::DOUBLE" for i in range(bins - 1)) + "]"
+    cuts = ", ".join(f"quantile_cont({c}, {qs}) AS q_{c}" for c in cols)
+    b = ", ".join(f"len(list_filter(q_{c}, lambda x: x <= {c}))::INTEGER AS {c}" for c in cols)
+    return f"(SELECT y, {b} FROM {ITEMS}, (SELECT {cuts} FROM {ITEMS}))"

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "lucidform") -> SparkSession:
@@ -45,6 +46,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back: computed once, survives lost executors, ends the lineage."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Contexts that have the package already.
 _SHIPPED: set[str] = set()
 

@@ -1,20 +1,27 @@
 """Searches on tables with known truth, folds, projections, pruning, graphs, streams."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lucidform.functions.formulas import Op, OpSet, python_op
-from lucidform.functions.traces import binary, leaf, text
+from lucidform.functions.formulas import BINARY, UNARY, Op, OpSet, python_op
+from lucidform.functions.traces import binary, evaluate, leaf, text
+from lucidform.operators import graph, projections, tensors
 from lucidform.operators import pruning as pr
-from lucidform.operators.folds import stratified_folds, with_fold_columns
+from lucidform.operators.folds import stratified_folds, with_fold_array, with_fold_columns
 from lucidform.operators.metrics import student_p
-from lucidform.operators.projections import PCA, PLS, LinearModel, augment
+from lucidform.operators.projections import PCA, PLS, PROJECTIONS, Chain, LinearModel, augment
 from lucidform.operators.ranking import dense_codes, exact_quantiles, row_numbers, hash_order
 from lucidform.operators.scoring import score
-from lucidform.operators.tensors import connected_components, group_gram, group_gram_wide, spectrum
+from lucidform.operators.screening import search_scores
+from lucidform.operators.graph import connected_components
+from lucidform.operators.tensors import group_gram, group_gram_wide, mode_gram, spectrum
+from lucidform.plans import queries_tensors, registry
 from lucidform.plans import search as se
-from lucidform.plans.evaluation import fair_cv
+from lucidform.plans.evaluation import fair_cv, fold_criteria, fold_pls
+from test_scoring import brute_f1
 
 
 def table(make, kind, n=500, seed=1):
@@ -104,6 +111,53 @@ def test_fair_cv_on_a_clean_rule(make):
     assert len(rows) == 3 and min(r["test_f1"] for r in rows) > 0.9
 
 
+registry.load_all()
+
+
+def test_fold_components_equal_fits_on_training_rows(make):
+    """Screened scores of per-fold columns against a plain fit and sweep on each training part."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(240, 5))
+    y = (x @ np.array([1.0, -2, 0, 0.5, 0]) + rng.normal(size=240) > 0.5).astype(int)
+    lab = with_fold_array(make(x, y), 3, 2)
+    own = fold_pls(lab, 3, 2, 2)
+    rows = {int(r["rid"]): r["folds"] for r in lab.df.select("rid", "folds").collect()}
+    folds = np.array([rows[i] for i in range(len(y))])
+    traces = [leaf(0), leaf(5), leaf(6), binary(leaf(5), "+", 6), binary(leaf(5), "*", 1), binary(leaf(2), "+", 6)]
+    scores = search_scores(lab, traces, folds=(["folds"], 2, 3), own=own)
+    assert {(s.trace, s.group) for s in scores} == {(t, g) for t in traces for g in range(6)}
+    for s in scores:
+        train = folds[:, s.group // 3] != s.group
+        t = nipals(x[train], y[train].astype(float), 2)
+        w = np.linalg.lstsq(np.c_[x[train], np.ones(train.sum())], t, rcond=None)[0]  # components as a map of columns
+        cols = [*x[train].T, *(np.c_[x[train], np.ones(train.sum())] @ w).T]
+        got = own.columns(s.group, list(x[train].T))
+        for k in range(2):
+            assert abs(np.corrcoef(got[k], cols[5 + k])[0, 1]) > 1 - 1e-9
+        wide = [*x[train].T, *got]
+        assert s.f1 == pytest.approx(brute_f1(evaluate(s.trace, wide, OpSet()), y[train]), abs=1e-12)
+
+
+def test_plan_width_does_not_depend_on_folds(make):
+    lab = table(make, "circles", 120)
+    few, many = with_fold_array(lab, 3, 1), with_fold_array(lab, 5, 40)
+    assert len(few.df.columns) == len(many.df.columns)
+    assert all(len(r["folds"]) == 40 and all(5 * k <= f < 5 * k + 5 for k, f in enumerate(r["folds"])) for r in many.df.collect())
+
+
+def test_fair_cv_with_subspaces_and_learned_criteria(make):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(260, 6))
+    lab = make(x, (x[:, 1] + x[:, 4] > 0.4).astype(int))
+    ops = OpSet({k: BINARY[k] for k in ("+", "*")}, {"sq": UNARY["sq"]})
+    rules = fold_criteria(with_fold_array(lab, 3), 3, depth=2, top=3, ops=ops)
+    assert set(rules) <= {0, 1, 2} and all(d in (1, -1) for _, d, _ in rules.values())
+    rows = fair_cv(lab, folds=3, depth=2, beam=6, ops=ops, subspaces=4, subspace_size=4, prune=True).collect()
+    assert len(rows) == 3 and all(r["train_f1"] > 0.6 for r in rows)
+    whole = fair_cv(lab, folds=3, depth=2, beam=20, ops=ops).collect()
+    assert all(r["test_f1"] > 0.9 for r in whole)
+
+
 def nipals(x, y, k):
     x, y = (x - x.mean(0)) / x.std(0, ddof=1), y - y.mean()
     x0, ws, ps = x.copy(), [], []
@@ -191,6 +245,122 @@ def test_p_values(spark):
         assert r["got"] == pytest.approx(r["p"], abs=2e-4)
 
 
+def test_p_values_of_very_many_pairs(spark):
+    """Against the finite series for few pairs, and the normal tail with its first correction for very many."""
+
+    def series(t, n):
+        a, even = math.atan(abs(t) / math.sqrt(n)), n % 2 == 0
+        term = total = 1.0 if even else math.cos(a)
+        for k in range(1, (n - (2 if even else 3)) // 2 + 1):
+            term *= ((2 * k - 1) / (2 * k) if even else 2 * k / (2 * k + 1)) * math.cos(a) ** 2
+            total += term
+        return 1 - math.sin(a) * total if even else 1 - 2 / math.pi * (a + (math.sin(a) * total if n > 1 else 0))
+
+    def tail(t, n):
+        density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        return math.erfc(abs(t) / math.sqrt(2)) + 2 * density * (t**3 + t) / (4 * n)
+
+    rows = [(t, n, series(t, n)) for n in (1, 2, 3, 4, 7, 29, 30, 999, 5000) for t in (-0.01, 0.3, 1.0, 1.7, 1.8, 2.5, 4.0)]
+    rows += [(t, n, tail(t, n)) for n in (10**7, 10**9) for t in (0.001, 0.5, 1.0, 1.72, 1.74, 2.0, 3.0, 6.0)]
+    for r in spark.createDataFrame(rows, "t double, n long, p double").withColumn("got", student_p(F.col("t"), F.col("n"))).collect():
+        assert r["got"] == pytest.approx(r["p"], abs=1e-9), (r["t"], r["n"])
+
+
+def test_every_projection_is_saved_and_loaded(make, tmp_path):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4))
+    lab = make(x, (x[:, 0] > 0).astype(int))
+    whole, models = augment(lab, sorted(PROJECTIONS), 2)
+    again = Chain.load(_saved(Chain(models), tmp_path))
+    assert again.names == [n for m in models for n in m.names] and [type(m) for m in again.models] == [type(m) for m in models]
+    a, b = (np.array([list(r) for r in d.orderBy(F.col("rid").cast("int")).select(*again.names).collect()]) for d in (whole.df, again.transform(lab.df)))
+    assert np.array_equal(a, b)
+
+
+def _saved(model, tmp_path):
+    model.save(str(tmp_path / "model"))
+    return str(tmp_path / "model")
+
+
+def test_components_with_one_hub_and_long_paths(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEAST_HUB", 50)
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1090)] + [(399, 1000), (5000, 5001), (5001, 5000), (7, 7), (None, 3)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    nodes = spark.createDataFrame([(n,) for n in {i for p in edges for i in p if i is not None} | {9999}], "node long")
+    got = {r["node"]: r["component"] for r in connected_components(e, nodes).collect()}
+    want = {n: 0 if n < 2000 else 5000 if n < 6000 else n for n in got}
+    assert got == want and len(got) == nodes.count()
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_unfolding_in_blocks(spark, block):
+    """Gram matrices of unfoldings against numpy, with a combination of the other modes that holds most entries."""
+    rng = np.random.default_rng(8)
+    rows = [("k", int(i), int(j), str(m), float(v)) for i, j, m, v in zip(rng.integers(0, 9, 300), rng.integers(0, 3, 300), rng.integers(0, 2, 300), rng.normal(size=300))]
+    rows += [("k", i % 9, 0, "0", 0.5) for i in range(200)] + [("other", 1, 1, "1", 2.0)]
+    coo = spark.createDataFrame(rows, "k string, a int, b int, c string, v double").repartition(4)
+    for keep in (["a"], ["a", "c"], ["a", "b", "c"]):
+        got = {(r["k"], *(tuple(r[f"{m}_{s}"] for m in keep) for s in "ab")): r["v"] for r in mode_gram(coo, ["a", "b", "c"], keep, ["k"], block=block).collect()}
+        sums = {}
+        for k, a, b, c, v in rows:
+            sums[k, a, b, c] = sums.get((k, a, b, c), 0.0) + v
+        want = {}
+        for (k, *p), v in sums.items():
+            for (l, *q), w in sums.items():
+                i, j = ([dict(zip("abc", x))[m] for m in keep] for x in (p, q))
+                if k == l and all(x == y for m, x, y in zip("abc", p, q) if m not in keep):
+                    want[k, tuple(i), tuple(j)] = want.get((k, tuple(i), tuple(j)), 0.0) + v * w
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_ranks_couplings_and_cores_equal_numpy(spark):
+    """m03, m05, m06 and m07 on the events tensor."""
+    sf = "/root/testdata/sf0.001"
+    t = np.zeros((8, 5, 24))
+    for r in queries_tensors._coo(spark, sf).collect():
+        t[r["u"], r["t"], r["h"]] += r["v"]
+    unfold = lambda *m: np.moveaxis(t, m, range(len(m))).reshape(int(np.prod([t.shape[i] for i in m])), -1)
+    sv = lambda *m: np.linalg.svd(unfold(*m), compute_uv=False)
+    rank = lambda s: int((s / s[0] > 1e-6).sum())
+    run = lambda name: registry.QUERIES[name](spark, sf).collect()
+    assert {(r["mode"], r["rank"]) for r in run("m03_multilinear_rank")} == {(m, rank(sv(i))) for i, m in enumerate("uth")}
+    for r in run("m05_mode_pair_coupling"):
+        s = sv(*("uth".index(m) for m in r["pair"].split("-")))
+        assert r["eff_rank"] == rank(s) and r["concentration"] == pytest.approx(s[0] ** 2 / (s**2).sum(), abs=1e-6)
+    factors = []
+    for i in range(3):
+        u, s, _ = np.linalg.svd(unfold(i), full_matrices=False)
+        k = int(np.searchsorted(np.cumsum(s**2) / (s**2).sum(), 0.99) + 1)
+        factors.append(u[:, :k])
+    core = np.einsum("uth,ua,tb,hc->abc", t, *factors)
+    m06 = run("m06_hosvd")[0]
+    assert [m06[f"rank_{m}"] for m in "uth"] == list(core.shape)
+    assert m06["error"] == pytest.approx(math.sqrt(1 - (core**2).sum() / (t**2).sum()), abs=1e-4)
+    m07 = run("m07_core_sparsity")[0]
+    assert m07["total"] == core.size and m07["small"] == int((abs(core) < 0.01 * abs(core).max()).sum())
+
+
+def test_large_modes_and_many_products_by_block_iterations(spark, make, monkeypatch):
+    """A mode beyond GRAM_SIZE, and products beyond GRAM_PRODUCTS, against numpy."""
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(700, 5)) * np.array([9, 6, 3, 1, 0.5])
+    dense = np.einsum("ir,jr->ij", a, np.linalg.qr(rng.normal(size=(12, 5)))[0]).reshape(700, 4, 3)
+    coo = spark.createDataFrame([(int(i), int(j), int(k), float(dense[i, j, k])) for i, j, k in np.ndindex(dense.shape)], "a int, b int, c int, v double")
+    factors = tensors.hosvd_factors(coo, ["a", "b", "c"], dense.shape)
+    u, s, _ = np.linalg.svd(dense.reshape(700, -1), full_matrices=False)
+    rank = int(np.searchsorted(np.cumsum(s**2), 0.99 * (s**2).sum()) + 1)
+    got, k = factors["a"]
+    assert k == rank and got.shape[1] <= tensors.BLOCK_COLUMNS
+    assert np.abs(np.abs((got[:, :k] * u[:, :k]).sum(0)) - 1).max() < 1e-6
+
+    x = rng.normal(size=(300, 6)) * np.array([3, 2, 1, 1, 1, 0.5])
+    lab = make(x, (x[:, 0] > 0).astype(int))
+    exact = PROJECTIONS["tucker"](lab.features, 2).fit(lab.df)
+    monkeypatch.setattr(projections, "GRAM_PRODUCTS", 5)
+    block = PROJECTIONS["tucker"](lab.features, 2).fit(lab.df)
+    assert np.allclose(exact.inner.mean, block.inner.mean) and np.abs(exact.inner.weights - block.inner.weights).max() < 1e-5
+
+
 def test_stream_scoring(spark, tmp_path):
     from lucidform.streaming.replay import score_stream
 

@@ -312,7 +312,7 @@ class SparsePCA(Projection):
 
 
 #: Up to so many products the driver holds their moment matrix; beyond that a block of a few columns.
-GRAM_PRODUCTS = 1024
+GRAM_PRODUCTS = 4096
 
 
 def product_moments(df: DataFrame, features: Sequence[str], left: np.ndarray, right: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:

@@ -178,12 +178,6 @@ def _i11(spark, sf):
     return se.wide_shallow(returned_items(spark, sf), 2, "minimal").to_df().select("depth", "formula", "f1")
 
 
-@query("i11_wide_to_depth4")
-def _i11b(spark, sf):
-    """The whole schedule: 500, 300 and 150 formulas kept at depths 2 to 4."""
-    return se.wide_shallow(returned_items(spark, sf), 4, "minimal").to_df().select("depth", "formula", "f1")
-
-
 @query("i13_projection_shootout")
 def _i13(spark, sf):
     cs = [st.Config("raw", depth=1, ops="minimal"), st.Config("pca2", ("pca",), 2, 1, "minimal"), st.Config("pls2", ("pls",), 2, 1, "minimal")]

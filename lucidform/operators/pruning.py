@@ -14,7 +14,7 @@ from lucidform.functions.formulas import OpSet
 from lucidform.functions.traces import Trace, binary, leaf, project_formulas, text, unary
 from lucidform.operators import candidates as cd
 from lucidform.operators.scoring import score
-from lucidform.operators.screening import _batch_columns, _tree, _walk
+from lucidform.operators.screening import _batch_columns, _tree, _walk, exact_scores, sample_columns
 from lucidform.session import written
 from lucidform.sources.labelled import Labelled
 
@@ -23,30 +23,30 @@ INLINE = 64  # larger families of criteria are evaluated on Arrow batches
 NODE_PROPERTIES = ("depth", "inputs", "base_rate", "f1", "f1_missing", "auroc", "auroc_missing", "f1_times_auroc", "auroc_per_feature", "both_missing")
 
 
-def catalog(lab: Labelled, depth: int = 2, ops: OpSet | str = "minimal") -> DataFrame:
+def catalog(lab: Labelled, depth: int = 2, ops: OpSet | str = "minimal", max_tasks: int | None = None) -> DataFrame:
     """(formula, parent, depth, n_features, f1, auroc) of every formula to a depth.
 
     Parent and child texts carry the lineage; constant formulas are left out, and
-    with them what would grow from them.
+    with them what would grow from them.  A level costs two scans, whatever its size.
     """
     ops = OpSet.preset(ops) if isinstance(ops, str) else ops
     spark = lab.df.sparkSession
     names = lab.features
     parts: list[DataFrame] = []
     level = cd.leaves(spark, names)
+    sample = sample_columns(lab)
     for d in range(1, depth + 1):
         got = cd.collect_traces(cd.dedup_formula(level))
         traces = [t for t, _ in got]
         nodes = spark.createDataFrame(
-            [(text(t, names), text(t[:-1], names) if len(t) > 1 else None, d, row["n_features"]) for t, row in got],
-            "formula string, parent string, depth int, n_features int",
+            [(k, text(t, names), text(t[:-1], names) if len(t) > 1 else None, d, row["n_features"]) for k, (t, row) in enumerate(got)],
+            "cand int, formula string, parent string, depth int, n_features int",
         )
-        s = score(lab, traces, ops=ops)
+        s = exact_scores(lab, traces, ops, sample, max_tasks).where(F.col("f1") > 0)
         if d < depth:
             s = written(s, "level")  # needed again to grow the next one
-            keep = {r["formula"] for r in s.where(F.col("f1") > 0).select("formula").collect()}
-            level = cd.expand(cd.from_traces(spark, [t for t in traces if text(t, names) in keep], names), names, ops)
-        parts.append(s.where(F.col("f1") > 0).select("formula", "f1", "auroc").join(F.broadcast(nodes), "formula"))
+            level = cd.expand(cd.from_traces(spark, [traces[r["cand"]] for r in s.select("cand").orderBy("cand").collect()], names), names, ops)
+        parts.append(s.join(F.broadcast(nodes), "cand"))
     return reduce(DataFrame.unionByName, parts).select("formula", "parent", "depth", "n_features", "f1", "auroc")
 
 

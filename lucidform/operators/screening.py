@@ -25,7 +25,8 @@ from lucidform.functions.formulas import OpSet, sanitize_array
 from lucidform.functions.traces import Trace, apply_step, evaluate, feats, text
 from lucidform.operators.ranking import hash_order, tie_prefix
 from lucidform.operators.scoring import SWEEP, VAR_FLOOR, best_cut, covers_percentile, cut_table, percentile_f1, score
-from lucidform.sources.labelled import Labelled
+from lucidform.session import written
+from lucidform.sources.labelled import Labelled, spread
 
 BINS = 96
 SAMPLE_ROWS = 4096  # rows used only to place bin edges
@@ -769,15 +770,93 @@ def _open_prefix(lab, traces, edges, open_bins, heads, ops) -> DataFrame:
 def _running(rows: DataFrame, heads: list[tuple], spark) -> DataFrame:
     """(cand, grp, v, n, p, pos, tot, tp, np): running totals over the distinct values of open bins.
 
-    ``heads`` has (cand, grp, bin, rows, tp0, np0, pos, tot) of each bin.  A bin that may hold more than TASK_ROWS values
-    is cut at its quantiles, summed piece by piece, and ordered inside the pieces only.
+    ``heads`` has (cand, grp, bin, rows, tp0, np0, pos, tot) of each bin.
     """
-    key, more = ["cand", "grp", "bin"], ["tp0", "np0", "pos", "tot"]
     own = spark.createDataFrame([(*h[:3], *h[4:], h[3] > TASK_ROWS) for h in heads], "cand int, grp int, bin int, tp0 long, np0 long, pos long, tot long, large boolean")
-    mine = rows.join(F.broadcast(own), key)
+    return _running_from(rows, F.broadcast(own), any(h[3] > TASK_ROWS for h in heads))
+
+
+def _running_from(rows: DataFrame, own: DataFrame, some_large: bool, small_keys: bool = True) -> DataFrame:
+    """The same with the bins' totals as a table, marked where a bin may hold more than TASK_ROWS values: such a bin
+    is cut at its quantiles, summed piece by piece, and ordered inside the pieces only."""
+    key, more = ["cand", "grp", "bin"], ["tp0", "np0", "pos", "tot"]
+    mine = rows.join(own, key)
     w = Window.partitionBy(*key).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     done = mine.where("NOT large").select(*key, "v", "n", "p", *more, F.sum("p").over(w).alias("_tp"), F.sum("n").over(w).alias("_np"))
-    if any(h[3] > TASK_ROWS for h in heads):
-        cut = tie_prefix(mine.where("large").select(*key, "v", "p", "n"), key).select(*key, "v", "n", "p", F.col("tp").alias("_tp"), F.col("np").alias("_np"))
-        done = done.unionByName(cut.join(F.broadcast(own.drop("large")), key).select(*done.columns))
+    if some_large:
+        cut = tie_prefix(mine.where("large").select(*key, "v", "p", "n"), key, small_keys=small_keys).select(*key, "v", "n", "p", F.col("tp").alias("_tp"), F.col("np").alias("_np"))
+        done = done.unionByName(cut.join(own.drop("large"), key).select(*done.columns))
     return done.select("cand", "grp", "v", "n", "p", "pos", "tot", (F.col("tp0") + F.col("_tp")).alias("tp"), (F.col("np0") + F.col("_np")).alias("np"))
+
+
+def exact_scores(
+    lab: Labelled,
+    traces: Sequence[Trace],
+    ops: OpSet | None = None,
+    sample: list[np.ndarray] | None = None,
+    max_tasks: int | None = None,
+) -> DataFrame:
+    """(cand, f1, auroc) of every candidate, exact, in two scans however many there are.
+
+    The first scan counts (positives, rows) per bin.  A bin with one distinct value or one class adds to the rank sum, and
+    to the reachable F1, by its counts alone; the second scan sends only values of the other bins, counted per distinct
+    value before they move, and these are ordered inside their bins.  Same numbers as ``scoring.score``.
+    """
+    ops = ops or OpSet()
+    traces, spark = list(traces), lab.df.sparkSession
+    if not batchable(traces, ops):
+        names = spark.createDataFrame([(i, text(t, lab.features)) for i, t in enumerate(traces)], "cand int, formula string")
+        return score(lab, traces, ops=ops).join(F.broadcast(names), "formula").select("cand", "f1", "auroc")
+    sample = sample if sample is not None else sample_columns(lab)
+    lab = lab.with_df(spread(lab.df.select(lab.label, *lab.features)))
+    with np.errstate(all="ignore"):
+        values = [evaluate(t, sample, ops) for t in traces]
+    edges = [quantile_edges(v) for v in values]
+    shift = [float(np.median(v)) if len(v) else 0.0 for v in values]
+    del values
+
+    above = Window.partitionBy("cand").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("cand")
+    p, n, tp0, np0, P, N = (F.col(c) for c in ("p", "n", "tp0", "np0", "pos", "tot"))
+    bins = written(
+        # windows over the bins of a candidate
+        histograms(lab, traces, edges, shift, ops, max_tasks=max_tasks).select(
+            "cand", "grp", "bin", "n", "p",
+            F.coalesce(F.sum("p").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("np0"),
+            F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("tot"),
+            F.sum("s1").over(whole).alias("s1"), F.sum("s2").over(whole).alias("s2"),
+            ((p > 0) & (n > p) & (F.col("m") > 0)).alias("open"),
+        ),
+        "bins",
+    )
+    todo = bins.where("open").groupBy("cand").agg(F.collect_list("bin").alias("bins"), F.max("n").alias("n")).toArrow().to_pylist()  # one row per candidate
+    two = F.lit(2.0)
+    neg_below = (N - P) - (np0 - tp0) - (n - p)
+    base = bins.groupBy("cand").agg(
+        F.max(F.greatest(two * (tp0 + p) / (np0 + n + P), two * (P - tp0) / (N - np0 + P))).alias("f1"),
+        F.sum(F.when(F.col("open"), 0.0).otherwise(p.cast("double") * (neg_below + (n - p) / two))).alias("u"),
+        F.max("pos").alias("pos"), F.max("tot").alias("tot"), F.max("s1").alias("s1"), F.max("s2").alias("s2"),
+    )
+    if todo:
+        wanted = [np.zeros(len(e) + 1, dtype=bool) for e in edges]
+        for r in todo:
+            wanted[r["cand"]][r["bins"]] = True
+        task = _open_rows_task(traces, edges, wanted, ops, len(lab.features), 0)
+        rows = _kernel_input(lab, ()).mapInArrow(task, _OPEN).groupBy("cand", "grp", "bin", "v").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+        own = bins.where("open").select("cand", "grp", "bin", "tp0", "np0", "pos", "tot", (n > TASK_ROWS).alias("large"))
+        tp, npred = F.col("tp"), F.col("np")
+        inside = _running_from(rows, own, max(r["n"] for r in todo) > TASK_ROWS, False).groupBy("cand").agg(
+            F.max(F.greatest(two * tp / (npred + P), two * (P - tp + p) / (N - npred + n + P))).alias("_f1"),
+            F.sum(p.cast("double") * ((N - P) - (npred - tp) + (n - p) / two)).alias("_u"),
+        )
+        base = base.join(inside, "cand", "left").withColumns(
+            {"f1": F.greatest("f1", "_f1"), "u": F.col("u") + F.coalesce("_u", F.lit(0.0))}
+        )
+    mean = F.col("s1") / N
+    single = (P == 0) | (P == N)
+    a = F.try_divide(F.col("u"), P.cast("double") * (N - P))
+    return base.select(
+        "cand",
+        F.when(single | (F.col("s2") / N - mean * mean < VAR_FLOOR), 0.0).otherwise(F.col("f1")).alias("f1"),
+        F.when(single, 0.5).otherwise(F.greatest(a, F.lit(1.0) - a)).alias("auroc"),
+    )

@@ -9,28 +9,29 @@ from lucidform.functions.traces import Trace, binary, leaf, text, unary
 from lucidform.operators import pruning as pr
 from lucidform.plans.registry import query
 from lucidform.plans.queries_evaluation import urgent
-from lucidform.plans.sqltext import ITEMS, sql_scores, sql_values
+from lucidform.plans.sqltext import ITEMS, NAMES, sql_scores, sql_values
 from lucidform.session import written
-from lucidform.sources.labelled import Labelled, returned_items
+from lucidform.sources.labelled import returned_items
 
-_FEATS = ("qty", "disc", "tax")
 _OPS = OpSet({k: OpSet().binary[k] for k in ("+", "*", "-")}, {k: OpSet().unary[k] for k in ("sq", "sqrt")})
 _SIX = pr.criteria("6")
+_lab = returned_items
 
 
-def _lab(spark, sf) -> Labelled:
-    return returned_items(spark, sf).select_features([0, 2, 3])
+def _all(size: int, depth: int = 2) -> list[tuple[Trace, Trace | None, int]]:
+    """(formula, parent, depth): every formula of ``size`` features, first of equal texts."""
+    level: list[tuple[Trace, Trace | None, int]] = [(leaf(i), None, 1) for i in range(size)]
+    out = list(level)
+    for d in range(2, depth + 1):
+        level = [(t, p, d) for p, _, _ in level for t in [binary(p, o, j) for o in _OPS.binary for j in range(size)] + [unary(u, p) for u in _OPS.unary]]
+        out += level
+    return out
 
 
-def _all() -> list[tuple[Trace, Trace | None, int]]:
-    one = [leaf(i) for i in range(3)]
-    two = [binary(leaf(i), o, j) for i in range(3) for j in range(3) for o in _OPS.binary] + [unary(u, leaf(i)) for i in range(3) for u in _OPS.unary]
-    return [(t, None, 1) for t in one] + [(t, t[:1], 2) for t in two]
-
-
-def _cat_sql(names=_FEATS, source: str = ITEMS) -> str:
-    nodes = ", ".join(f"('{text(t, names)}', {'NULL' if p is None else repr(text(p, names))}, {d}, {len({i for _, _, i in t if i >= 0})})" for t, p, d in _all())
-    return f"""(SELECT s.formula, parent, depth, n_features, f1, auroc FROM ({sql_scores(sql_values([t for t, _, _ in _all()], names, source))}) s
+def _cat_sql(names=NAMES, source: str = ITEMS, depth: int = 2) -> str:
+    every = _all(len(names), depth)
+    nodes = ", ".join(f"('{text(t, names)}', {'NULL' if p is None else repr(text(p, names))}, {d}, {len({i for _, _, i in t if i >= 0})})" for t, p, d in every)
+    return f"""(SELECT s.formula, parent, depth, n_features, f1, auroc FROM ({sql_scores(sql_values([t for t, _, _ in every], names, source))}) s
  JOIN (VALUES {nodes}) n(formula, parent, depth, n_features) ON s.formula = n.formula WHERE f1 > 0)"""
 
 
@@ -46,6 +47,25 @@ def _nodes(spark, sf):
     return pr.viability(written(pr.catalog(_lab(spark, sf), 2, _OPS), "catalog"), _EPS)
 
 
+_LOW = 0.00005  # tells some nodes above the last level of the deeper catalog apart
+
+
+def _alive3(eps) -> str:
+    """Nodes above the last level of the catalog to depth 3, alive or not, for each tolerance."""
+    return f"""WITH every AS MATERIALIZED (SELECT * FROM {_cat_sql(depth=3)}), cat AS MATERIALIZED (SELECT * FROM every WHERE parent IS NULL OR parent IN (SELECT formula FROM every)),
+ e(eps) AS (VALUES {', '.join(f'({x!r}::DOUBLE)' for x in eps)}),
+ own AS (SELECT eps, formula, parent, depth, n_features, f1, auroc, CASE WHEN f1 >= (SELECT max(f1) FROM cat) - eps THEN 1 ELSE 0 END AS a FROM cat, e),
+ up2 AS (SELECT eps AS pe, parent AS p, max(a) AS u FROM own WHERE depth = 3 GROUP BY ALL),
+ two AS MATERIALIZED (SELECT eps, formula, parent, depth, n_features, f1, auroc, greatest(a, coalesce(u, 0)) AS alive FROM own LEFT JOIN up2 ON eps = pe AND formula = p WHERE depth = 2),
+ up1 AS (SELECT eps AS pe, parent AS p, max(alive) AS u FROM two GROUP BY ALL),
+ nodes AS MATERIALIZED (SELECT * FROM two UNION ALL SELECT eps, formula, parent, depth, n_features, f1, auroc, greatest(a, coalesce(u, 0)) FROM own LEFT JOIN up1 ON eps = pe AND formula = p WHERE depth = 1)"""
+
+
+def _deep_nodes(spark, sf):
+    """Nodes of the catalog to depth 3 with what criteria are made of."""
+    return pr.node_features(pr.viability(written(pr.catalog(_lab(spark, sf), 3, _OPS), "catalog"), _LOW), _prev(spark, sf))
+
+
 def _prev(spark, sf) -> float:
     return _lab(spark, sf).df.agg(F.avg("y")).first()[0]
 
@@ -97,20 +117,23 @@ def _j03(spark, sf):
     return _found(spark, sf).withColumn("threshold", F.round("threshold", 8))
 
 
+@query("j03_above_last_level", f"{_alive3([_LOW])}, {_FOUND} SELECT criterion, direction, round(threshold, 8) AS threshold, pruned, total_dead, total_alive, prune_rate FROM found")
+def _j03b(spark, sf):
+    """Criteria learned where pruning saves work: above the last level of a catalog to depth 3."""
+    return pr.criterion_search(_deep_nodes(spark, sf), _SIX, below_depth=3).withColumn("threshold", F.round("threshold", 8))
+
+
 @query("j03_deep_criteria")
 def _j03d(spark, sf):
-    """Criteria to depth 3 over node features."""
-    return pr.deep_criteria(written(pr.node_features(_nodes(spark, sf), _prev(spark, sf)), "nodes"), ops="minimal")
+    """Criteria to depth 3 over node features, all operators, above the last level."""
+    return pr.deep_criteria(written(_deep_nodes(spark, sf), "nodes"), below_depth=3)
 
 
 # the first seven are fixed values: the tolerances swept; the others tell these close formulas apart
-_EPSES = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.10, 0.000001, 0.00001, 0.0001)
+_EPSES = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.10, 0.000001, 0.00001, 0.00005, 0.0001)
 
 
-_OWN_EPS = f"""own AS (SELECT eps, formula, parent, depth, n_features, f1, auroc, CASE WHEN f1 >= (SELECT max(f1) FROM cat) - eps THEN 1 ELSE 0 END AS a FROM cat, e),
- up AS (SELECT eps, parent AS p, max(a) AS u FROM own WHERE depth = 2 GROUP BY ALL),
- nodes AS MATERIALIZED (SELECT own.eps, formula, depth, n_features, f1, auroc, greatest(a, coalesce(u, 0)) AS alive FROM own LEFT JOIN up ON own.eps = up.eps AND formula = p AND depth = 1)"""
-_PARETO = f"""WITH cat AS MATERIALIZED (SELECT * FROM {_CAT}), e(eps) AS (VALUES {', '.join(f'({x!r}::DOUBLE)' for x in _EPSES)}), {_OWN_EPS},
+_PARETO = f"""{_alive3(_EPSES)},
  feat AS MATERIALIZED ({_FEAT_SQL}), vals AS ({_LONG.replace(', alive FROM', ', alive, eps FROM')}),
  cut AS (SELECT eps, criterion, min(v) FILTER (alive = 1) AS low, max(v) FILTER (alive = 1) AS high, count(*) FILTER (alive = 1) AS total_alive, count(*) FILTER (alive = 0) AS total_dead FROM vals GROUP BY ALL),
  cnt AS (SELECT eps, criterion, total_alive, total_dead, count(*) FILTER (v < low) AS dn, count(*) FILTER (v > high) AS up FROM vals JOIN cut USING (eps, criterion) WHERE alive = 0 AND total_alive > 0 GROUP BY ALL),
@@ -120,7 +143,7 @@ _PARETO = f"""WITH cat AS MATERIALIZED (SELECT * FROM {_CAT}), e(eps) AS (VALUES
 
 @query("j04_pareto_sweep", _PARETO)
 def _j04(spark, sf):
-    return pr.pareto(written(pr.catalog(_lab(spark, sf), 2, _OPS), "catalog"), _prev(spark, sf), _EPSES, _SIX, 3)
+    return pr.pareto(written(pr.catalog(_lab(spark, sf), 3, _OPS), "catalog"), _prev(spark, sf), _EPSES, _SIX, 3)
 
 
 @query("j04_alive_by_eps", f"""WITH cat AS MATERIALIZED (SELECT * FROM {_CAT}), e(eps) AS (VALUES {', '.join(f'({x!r}::DOUBLE)' for x in _EPSES)}),

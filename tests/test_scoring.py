@@ -9,7 +9,7 @@ from lucidform.functions.formulas import BINARY, UNARY, OpSet
 from lucidform.functions.traces import apply_step, binary, evaluate, leaf, text, unary
 from lucidform.operators import screening
 from lucidform.operators.scoring import percentile_f1, score
-from lucidform.operators.screening import percentile_scores, quantile_edges, search_scores, split_edges
+from lucidform.operators.screening import exact_scores, percentile_scores, quantile_edges, search_scores, split_edges
 
 
 def brute_f1(v, y):
@@ -109,6 +109,21 @@ def test_screening_keeps_the_true_best(tied, small, monkeypatch):
             assert got[t].auroc_low - 1e-9 <= brute_auroc(values(x, t), y) <= got[t].auroc_high + 1e-9
 
 
+@pytest.mark.parametrize("task_rows", [20, 500_000])
+def test_f1_and_auroc_in_two_scans(tied, make, monkeypatch, task_rows):
+    """Bins that are cut at quantiles or not, ties, a constant, one class only, an empty table."""
+    monkeypatch.setattr(screening, "TASK_ROWS", task_rows)
+    x, y, lab = tied
+    got = {r["cand"]: r for r in exact_scores(lab, TRACES, sample=[c[:9] for c in x.T]).collect()}
+    assert sorted(got) == list(range(len(TRACES)))
+    for c, t in enumerate(TRACES):
+        assert got[c]["f1"] == pytest.approx(brute_f1(values(x, t), y), abs=1e-12)
+        assert got[c]["auroc"] == pytest.approx(brute_auroc(values(x, t), y), abs=1e-12)
+    one = exact_scores(make(x, np.zeros(len(y))), TRACES[:2]).collect()
+    assert [(r["f1"], r["auroc"]) for r in one] == [(0.0, 0.5)] * 2
+    assert exact_scores(lab.with_df(lab.df.where("false")), TRACES[:2]).count() == 0
+
+
 def test_last_step_cuts_large_bins(make, monkeypatch):
     """Every open bin goes through the piecewise sums, after one pass; also for percentiles."""
     monkeypatch.setattr(screening, "TASK_ROWS", 20)

@@ -14,6 +14,7 @@ from lucidform.operators.folds import fold_split, holdout, stratified_folds
 from lucidform.operators.metrics import paired_compare
 from lucidform.operators.scoring import score
 from lucidform.plans import evaluation as ev
+from lucidform.plans import search as se
 from lucidform.plans.registry import query
 from lucidform.plans.sqltext import ITEMS, sql_scores, sql_values
 from lucidform.session import checkpoint_dir
@@ -119,6 +120,13 @@ def _l04(spark, sf):
     return ev.baselines(returned_items(spark, sf), folds=2)
 
 
+@query("e32_ensemble_gap")
+def _e32b(spark, sf):
+    """Best formula of each phase against boosted trees on held-out folds."""
+    lab = returned_items(spark, sf)
+    return ev.complexity_gap(se.phased_search(lab).convergence, ev.baselines(lab, folds=2, models=["GB"]))
+
+
 @query("l05_compare")
 def _l05(spark, sf):
     lab = returned_items(spark, sf)

@@ -20,7 +20,7 @@ from lucidform.operators.graph import connected_components
 from lucidform.operators.tensors import group_gram, group_gram_wide, mode_gram, spectrum
 from lucidform.plans import queries_tensors, registry
 from lucidform.plans import search as se
-from lucidform.plans.evaluation import fair_cv, fold_criteria, fold_pls
+from lucidform.plans.evaluation import baselines, complexity_gap, fair_cv, fold_criteria, fold_pls
 from test_scoring import brute_f1
 
 
@@ -193,6 +193,18 @@ def test_pls_and_pca_match_numpy(make):
     assert len(both.features) == 9 and len(models) == 2
 
 
+def test_gap_to_fitted_models_by_phase(make):
+    lab = table(make, "linear", 300)
+    base = baselines(lab, 2, models=["LR", "RF"], sizes={"RF": 5}).cache()
+    rows = {(r["model"], r["phase"]): r for r in complexity_gap({1: 0.5, 2: 0.875}, base).collect()}
+    assert set(rows) == {(m, k) for m in ("LR", "RF") for k in (1, 2)}
+    for (m, k), r in rows.items():
+        mean = np.mean([b["f1"] for b in base.collect() if b["model"] == m])
+        assert r["ceiling"] == {1: 0.5, 2: 0.875}[k] and r["ensemble"] == pytest.approx(mean, abs=1e-12)
+        assert r["gap"] == pytest.approx(mean - r["ceiling"], abs=1e-12)
+    assert rows["LR", 1]["ensemble"] > 0.9
+
+
 def test_learned_criteria_spare_all_alive_nodes(make):
     lab = table(make, "circles", 200)
     cat = pr.catalog(lab, 2, "minimal")
